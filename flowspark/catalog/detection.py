@@ -156,7 +156,7 @@ def _alerts(spark, sf_dir):
 @query("m1_m3_train_and_evaluate")
 def _train_and_evaluate(spark, sf_dir):
     data = training.load_dataset(flows(spark, sf_dir), ORDER)
-    _, report, _ = training.train_and_evaluate(data, pooling="mean", hidden=(16,), max_iter=15)
+    _, report, _ = training.train_and_evaluate(data, pooling="last", hidden=(16,), max_iter=30)
     return report
 
 
@@ -178,13 +178,14 @@ def _score_single_flows(spark, sf_dir):
     return score.score_positive(vectors, model).drop("features")
 
 
-def bytes_and_packets():
-    """A batch scorer over two inputs of shape (batch, window, 1)."""
+def protocol_share():
+    """A batch scorer over two one-hot inputs of shape (batch, window, width): how often the top
+    protocol or the top application occurs."""
 
     def run(inputs):
-        p = np.clip(inputs[0].mean(axis=(1, 2)), 0.0, 1.0)
-        q = np.clip(inputs[1].mean(axis=(1, 2)), 0.0, 1.0)
-        return np.stack([1 - (p + q) / 2, (p + q) / 2], axis=1)
+        hits = inputs[0][:, :, 0].sum(axis=1) + inputs[1][:, :, 0].sum(axis=1)
+        p = hits / (2 * inputs[0].shape[1])
+        return np.stack([1 - p, p], axis=1)
 
     return run
 
@@ -192,12 +193,12 @@ def bytes_and_packets():
 @query(
     "m3_score_in_batches",
     f"""WITH f AS (SELECT *, row_number() OVER (ORDER BY ts, flow_id) - 1 AS idx FROM ({FLOWS}) q), {params_sql('f')}, e AS ({encoded_sql('f', ['idx'])})
-    SELECT x.idx, round((avg(r.OUT_BYTES) + avg(r.IN_PKTS)) / 2, 4) AS attack_score FROM e x JOIN e r ON r.idx BETWEEN x.idx - 7 AND x.idx
-    WHERE x.idx >= 7 GROUP BY x.idx""",
+    SELECT x.idx, sum(CASE WHEN r.PROTOCOL = 1 THEN 1 ELSE 0 END + CASE WHEN r.L7_PROTO = 1 THEN 1 ELSE 0 END) / 16.0 AS attack_score
+    FROM e x JOIN e r ON r.idx BETWEEN x.idx - 7 AND x.idx WHERE x.idx >= 7 GROUP BY x.idx""",
 )
 def _score_in_batches(spark, sf_dir):
     found, params = encoded_windows(spark, sf_dir)
-    names = ["input_OUT_BYTES", "input_IN_PKTS"]
+    names = ["input_PROTOCOL", "input_L7_PROTO"]
     inputs = windows.model_inputs(found, params, names, keep=["idx"])
-    scored = score.score_with(inputs, bytes_and_packets, names, ["idx"])
-    return scored.select("idx", F.round(F.col("scores")[1], 4).alias("attack_score"))
+    scored = score.score_with(inputs, protocol_share, names, ["idx"])
+    return scored.select("idx", F.col("scores")[1].alias("attack_score"))

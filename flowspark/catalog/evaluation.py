@@ -98,10 +98,10 @@ def _max_score_alert(spark, sf_dir):
 
 @query(
     "g9_score_health",
-    f"""SELECT flow_id, flow_id % 50 = 0 AS has_non_finite, flow_id % 50 <> 0 AND flow_id % 40 = 0 AS near_uniform,
-    CASE WHEN flow_id % 50 = 0 THEN NULL WHEN flow_id % 40 = 0 THEN 0.0
-     ELSE round(sqrt((power(p0 - 1 / 3.0, 2) + power(p1 - 1 / 3.0, 2) + power(p2 - 1 / 3.0, 2)) / 3), 6) END AS output_std
-    FROM ({SCORED}) s""",
+    f"""SELECT flow_id, flow_id % 50 = 0 AS has_non_finite, flow_id % 50 <> 0 AND sd < 1e-7 AS near_uniform,
+    CASE WHEN flow_id % 50 <> 0 THEN round(sd, 6) END AS output_std
+    FROM (SELECT flow_id, CASE WHEN flow_id % 40 = 0 THEN 0.0
+     ELSE sqrt((power(p0 - 1 / 3.0, 2) + power(p1 - 1 / 3.0, 2) + power(p2 - 1 / 3.0, 2)) / 3) END AS sd FROM ({SCORED}) s) h""",
 )
 def _score_health(spark, sf_dir):
     third = F.lit(1 / 3.0)

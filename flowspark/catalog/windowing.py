@@ -246,7 +246,7 @@ def _pooled_records(spark, sf_dir):
         "idx", F.transform("win", lambda row: windows.record_vector(row, params)).alias("v")
     )
     pools = vectors.select(
-        "idx", *[windows.pool_window(F.col("v"), how, width).alias(how) for how in ("mean", "last", "flatten")]
+        "idx", *[windows.pool_window(F.col("v"), how, width, WINDOW).alias(how) for how in ("mean", "last", "flatten")]
     )
     total = F.aggregate("flatten", F.lit(0.0), lambda a, v: a + v)
     return pools.select(

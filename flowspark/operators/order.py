@@ -43,14 +43,25 @@ class OrderedRows:
         return joined.withColumn(idx, F.col("_first") + F.col(POS)).drop("_first")
 
 
+# Input bytes per range of a global sort.
+PART_BYTES = 128 * 1024 * 1024
+
+
+def parts_for(df: DataFrame) -> int:
+    """The session's shuffle partitions, or more when the input's estimated size asks for it."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # an unknown size is reported as (nearly) the largest long
+    return configured if estimate >= 1 << 60 else max(configured, -(-estimate // PART_BYTES))
+
+
 def order_rows(df: DataFrame, order: list[str], partitions: int | None = None) -> OrderedRows:
     """Sort globally with one range shuffle and write the result to the shared folder.
 
     Range bounds come from a sample of the full ``order`` tuple, so parts stay even however skewed
     its leading column is; the tuple must be unique. One row per part goes to the driver.
     """
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or parts_for(df)
     placed = (
         df.repartitionByRange(n_parts, *order)
         .sortWithinPartitions(*order)

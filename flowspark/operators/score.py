@@ -7,7 +7,6 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -31,11 +30,14 @@ def record_width(params: FittedParams, dims: dict[str, int] | None = None) -> in
 
 def window_vectors(
     windows: DataFrame, params: FittedParams, pooling: str = "flatten",
-    dims: dict[str, int] | None = None, keep: list[str] | None = None,
+    dims: dict[str, int] | None = None, keep: list[str] | None = None, window: int | None = None,
 ) -> DataFrame:
     """Encoded windows to one feature array per window: record vectors, then pooling."""
-    vectors = F.transform("win", lambda row: record_vector(row, params, dims))
-    features = pool_window(vectors, pooling, record_width(params, dims))
+    if pooling == "last":
+        vectors = F.array(record_vector(F.element_at("win", -1), params, dims))
+    else:
+        vectors = F.transform("win", lambda row: record_vector(row, params, dims))
+    features = pool_window(vectors, pooling, record_width(params, dims), window or params.window_size)
     return windows.select(*(keep or []), features.alias("features"))
 
 
@@ -61,15 +63,12 @@ def fit_window_classifier(
 ):
     """Softmax classifier over all classes, a multilayer perceptron on the window vectors.
 
-    The optimiser makes many passes, so the vectors are kept (spilling to disk) meanwhile.
+    The optimiser makes many passes and keeps its own blocks of the data; write ``df`` to a table
+    first if it is costly to compute.
     """
-    train = _as_training(df, label).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return MultilayerPerceptronClassifier(
-            layers=[n_features, *hidden, n_classes], maxIter=max_iter, seed=seed
-        ).fit(train)
-    finally:
-        train.unpersist()
+    return MultilayerPerceptronClassifier(
+        layers=[n_features, *hidden, n_classes], maxIter=max_iter, seed=seed
+    ).fit(_as_training(df, label))
 
 
 def fit_binary_classifier(
@@ -77,11 +76,7 @@ def fit_binary_classifier(
 ):
     """Sigmoid classifier: attack against benign."""
     flagged = df.withColumn("_y", is_positive(F.col(label), benign).cast("double"))
-    train = _as_training(flagged, "_y").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return LogisticRegression(maxIter=max_iter, regParam=1e-4).fit(train)
-    finally:
-        train.unpersist()
+    return LogisticRegression(maxIter=max_iter, regParam=1e-4).fit(_as_training(flagged, "_y"))
 
 
 def score(df: DataFrame, model, out: str = "scores") -> DataFrame:

@@ -210,7 +210,7 @@ def record_vector(row: Column, params: FittedParams, dims: dict[str, int] | None
     return F.concat(*parts)
 
 
-def pool_window(vectors: Column, how: str, width: int) -> Column:
+def pool_window(vectors: Column, how: str, width: int, window: int) -> Column:
     """A window of vectors as one: the last flow, all flows one after the other, or their mean."""
     if how == "last":
         return F.element_at(vectors, -1)
@@ -219,7 +219,7 @@ def pool_window(vectors: Column, how: str, width: int) -> Column:
     if how == "mean":
         zero = F.array_repeat(F.lit(0.0), width)
         total = F.aggregate(vectors, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-        return F.transform(total, lambda s: s / F.size(vectors))
+        return F.transform(total, lambda s: s / F.lit(float(window)))
     raise ValueError(f"unknown pooling {how!r}")
 
 

@@ -131,7 +131,7 @@ def window_sets(data: EncodedDataset, label: str = "Attack", pooling: str = "fla
         roles, list(data.spec.feature_names), window, keep=["role", label, "y"],
         ends=F.col("role") != "none",
     )
-    return score.window_vectors(found, data.params, pooling, keep=["idx", "role", label, "y"])
+    return score.window_vectors(found, data.params, pooling, keep=["idx", "role", label, "y"], window=window)
 
 
 def train_and_evaluate(
