@@ -92,12 +92,16 @@ def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flow_id, Attack, score (attack probability) and scores (three class probabilities)."""
     raw = flows(spark, sf_dir).select(
         "flow_id", "Attack",
-        F.array(F.col("OUT_BYTES") / 1000.0, F.col("IN_PKTS") * 0.5, F.col("TCP_FLAGS") / 20.0).alias("raw"),
+        (F.col("OUT_BYTES") / 1000.0).alias("s0"), (F.col("IN_PKTS") * 0.5).alias("s1"),
+        (F.col("TCP_FLAGS") / 20.0).alias("s2"),
+    )
+    exps = raw.withColumn("t", F.greatest("s0", "s1", "s2")).select(
+        "flow_id", "Attack", *[F.exp(F.col(f"s{i}") - F.col("t")).alias(f"e{i}") for i in range(3)]
+    )
+    total = F.col("e0") + F.col("e1") + F.col("e2")
+    return exps.withColumn("total", total).select(
+        "flow_id", "Attack", F.array(*[F.col(f"e{i}") / F.col("total") for i in range(3)]).alias("scores")
     )
-    top = F.array_max("raw")
-    exps = F.transform("raw", lambda v: F.exp(v - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, v: a + v)
-    return raw.select("flow_id", "Attack", F.transform(exps, lambda v: v / total).alias("scores"))
 
 
 SCORED = f"""

@@ -26,7 +26,9 @@ def arg_max(scores: Column) -> Column:
 
 def max_ignoring_nan(scores: Column) -> Column:
     """Maximum without NaN; 0 if nothing finite is found."""
-    best = F.array_max(F.filter(scores, lambda v: ~F.isnan(v)))
+    top = F.array_max(scores)
+    # the per-element filter runs only where there is a NaN
+    best = F.when(F.isnan(top), F.array_max(F.filter(scores, lambda v: ~F.isnan(v)))).otherwise(top)
     return F.when(is_finite(best), best).otherwise(F.lit(0.0))
 
 
@@ -55,10 +57,7 @@ def verdict(
     """
     labels = list(labels or [])
     threshold = min(max(float(threshold), 0.0), 1.0)
-    vec = F.transform(
-        F.coalesce(scores.cast("array<double>"), F.array().cast("array<double>")),
-        lambda v: F.coalesce(v, F.lit(math.nan)),
-    )
+    vec = F.coalesce(scores.cast("array<double>"), F.array().cast("array<double>"))
     size = F.size(vec)
     none = F.lit(None).cast("string")
 
@@ -72,7 +71,7 @@ def verdict(
     )
 
     cls = arg_max(vec)
-    top = F.get(vec, cls)
+    top = F.array_max(vec)
     confidence = F.when(is_finite(top), top).otherwise(F.lit(0.0))
     best = max_ignoring_nan(vec)
     name = none

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from flowspark.operators.order import PART, POS, order_rows
+from flowspark.session import small_table
 
 # Bit per TCP flag.
 FLAG_BITS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32}
@@ -95,32 +96,31 @@ def assemble_flows(
     flow) is one row per part.
     """
     timeout_us = int(round(idle_timeout_s * 1_000_000))
-    order = order_rows(with_conversation(packets), [*KEY, "us", "packet_id"], partitions)
-    rows = order.indexed()
-    spark = packets.sparkSession
     key = F.struct(*KEY)
-
-    tails = dict(
-        (r[PART], (r["key"], r["us"]))
-        for r in rows.groupBy(PART)
-        .agg(F.max_by(F.struct(key.alias("key"), "us"), POS).alias("t"))
-        .select(PART, "t.key", "t.us").collect()
+    tail = F.max_by(F.struct(key.alias("key"), "us"), POS).alias("tail")
+    order = order_rows(
+        with_conversation(packets).drop("ts"), [*KEY, "us", "packet_id"], partitions, [tail]
     )
+    rows = order.indexed()
+
+    tails = {p: (r["tail"]["key"], r["tail"]["us"]) for p, r in order.per_part.items()}
     parts = sorted(order.first_idx)
     before = {p: tails[q] for q, p in zip(parts, parts[1:])}
-    key_type = rows.select(key.alias("k")).schema["k"].dataType.simpleString()
-    tail_table = F.broadcast(
-        spark.createDataFrame(
-            [(p, k, us) for p, (k, us) in before.items()],
-            f"{PART} INT, _tail_key {key_type}, _tail_us BIGINT",
-        )
+    # the previous part's last packet, one row per part
+    types = dict(rows.dtypes)
+    fields = [f"_tail_{c} {types[c]}" for c in [*KEY, "us"]]
+    tail_table = small_table(
+        packets.sparkSession, [(p, *k, us) for p, (k, us) in before.items()],
+        ", ".join([f"{PART} INT", *fields]),
     )
     in_part = W.Window.partitionBy(PART).orderBy(POS)
-    linked = rows.join(tail_table, PART, "left").withColumns({
-        "_prev_key": F.when(F.col(POS) == 0, F.col("_tail_key")).otherwise(F.lag(key).over(in_part)),
+    tail_key = F.struct(*[F.col(f"_tail_{c}").alias(c) for c in KEY])
+    linked = rows.join(F.broadcast(tail_table), PART, "left").withColumns({
+        "_prev_key": F.when(F.col(POS) == 0, tail_key).otherwise(F.lag(key).over(in_part)),
         "_prev_us": F.when(F.col(POS) == 0, F.col("_tail_us")).otherwise(F.lag("us").over(in_part)),
     })
-    starts = ~F.coalesce(F.col("_prev_key").eqNullSafe(key), F.lit(False)) | F.coalesce(
+    # without a previous packet _prev_us is NULL
+    starts = ~F.col("_prev_key").eqNullSafe(key) | F.coalesce(
         F.col("us") - F.col("_prev_us") > timeout_us, F.lit(True)
     )
     marked = linked.withColumn("_start", F.when(starts, F.col("idx")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.numeric import quoted
 from flowspark.functions.verdict import array_std, is_finite
 from flowspark.operators.stats import is_positive
+from flowspark.session import small_table
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -109,9 +110,8 @@ def confusion_matrix(
         found = cells.select(F.inline(F.array(F.struct(F.col("truth").alias("l")), F.struct(F.col("predicted").alias("l"))))).distinct()
         labels = sorted(r["l"] for r in found.collect())
     labels = [str(v) for v in labels]
-    spark = df.sparkSession
     wide = cells.groupBy("truth").pivot("predicted", labels).agg(F.sum("n"))
-    names = spark.createDataFrame([(v,) for v in labels], "truth STRING")
+    names = small_table(df.sparkSession, [(v,) for v in labels], "truth STRING")
     full = names.join(wide, "truth", "left")
     return full.select("truth", *[F.coalesce(quoted(v), F.lit(0).cast("bigint")).alias(v) for v in labels])
 

@@ -5,14 +5,15 @@ None of these sends all rows, or all rows of one group, through a single task.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from flowspark.session import fetch_small, lookup_join, materialize
+from flowspark.session import lookup_join, materialize, small_table
 
 PART, POS = "_part", "_pos"
 _POS_MASK = (1 << 33) - 1  # low bits of monotonically_increasing_id
@@ -23,19 +24,18 @@ class OrderedRows:
     """Rows range-partitioned and sorted by ``order``.
 
     ``rows`` carries ``_part`` and ``_pos``; ``first_idx`` holds the global position of the first
-    row of each non-empty part, and ``n`` the number of rows.
+    row of each non-empty part, ``n`` the number of rows, and ``per_part`` any further aggregates.
     """
 
     rows: DataFrame
     order: list[str]
     first_idx: dict[int, int]
     n: int
+    per_part: dict[int, dict]
 
     def part_table(self, values: dict[int, object], name: str, dtype: str) -> DataFrame:
         """A lookup table with one value per part."""
-        return self.rows.sparkSession.createDataFrame(
-            sorted(values.items()), f"{PART} INT, {name} {dtype}"
-        )
+        return small_table(self.rows.sparkSession, sorted(values.items()), f"{PART} INT, {name} {dtype}")
 
     def indexed(self, idx: str = "idx") -> DataFrame:
         offsets = self.part_table(self.first_idx, "_first", "BIGINT")
@@ -55,11 +55,15 @@ def parts_for(df: DataFrame) -> int:
     return configured if estimate >= 1 << 60 else max(configured, -(-estimate // PART_BYTES))
 
 
-def order_rows(df: DataFrame, order: list[str], partitions: int | None = None) -> OrderedRows:
+def order_rows(
+    df: DataFrame, order: list[str], partitions: int | None = None,
+    per_part: list[Column] | None = None,
+) -> OrderedRows:
     """Sort globally with one range shuffle and write the result to the shared folder.
 
     Range bounds come from a sample of the full ``order`` tuple, so parts stay even however skewed
-    its leading column is; the tuple must be unique. One row per part goes to the driver.
+    its leading column is; the tuple must be unique. One row per part goes to the driver, with the
+    aggregates in ``per_part``.
     """
     n_parts = partitions or parts_for(df)
     placed = (
@@ -69,10 +73,12 @@ def order_rows(df: DataFrame, order: list[str], partitions: int | None = None) -
         .withColumn(POS, F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)))
     )
     rows = materialize(placed, "ordered")
-    sizes = sorted(rows.groupBy(PART).agg(F.count("*").alias("n")).collect())
+    found = rows.groupBy(PART).agg(F.count("*").alias("n"), *(per_part or [])).collect()
+    sizes = sorted(found, key=lambda r: r[PART])
     ends = list(accumulate(r["n"] for r in sizes))
     first_idx = {r[PART]: end - r["n"] for r, end in zip(sizes, ends)}
-    return OrderedRows(rows, list(order), first_idx, ends[-1] if ends else 0)
+    extras = {r[PART]: r.asDict() for r in sizes}
+    return OrderedRows(rows, list(order), first_idx, ends[-1] if ends else 0, extras)
 
 
 def index_rows(
@@ -104,14 +110,14 @@ def hash_key(col, seed: int):
 
 def flag_first_by_hash(
     df: DataFrame, id_col: str, seed: int, quota: int | dict, group: str | None = None,
-    where=None, flag: str = "picked",
+    where=None, flag: str = "picked", n_hint: int | None = None,
 ) -> DataFrame:
     """Flag exactly ``quota`` rows (per value of ``group`` if ``quota`` is a dict): the first ones by
     (hash of id, id) among the rows satisfying ``where``. Ids must be unique.
 
     Counts per hash prefix locate the prefix that holds the last flagged row; only that sliver is
     ranked, which yields a threshold per group. Flagging itself is a map-only comparison, so the
-    table is never shuffled.
+    table is never shuffled. ``n_hint``, the rough row count, sets the prefix length.
     """
     where = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     label = F.col(group).cast("string") if group else F.lit("all")
@@ -123,9 +129,11 @@ def flag_first_by_hash(
     )
     if group:
         keyed = keyed.filter(F.col("_g").isin(list(quotas)))
-    prefix = F.substring("_h", 1, 4)
+    # about 4096 rows per prefix, at most 16^5 prefixes
+    digits = 4 if n_hint is None else min(max(math.ceil(math.log(max(n_hint, 1) / 4096, 16)), 1), 5)
+    prefix = F.substring("_h", 1, digits)
     counts = keyed.groupBy("_g", prefix.alias("_b")).agg(F.count("*").alias("_n"))
-    wanted = F.broadcast(spark.createDataFrame(list(quotas.items()), "_g STRING, _m BIGINT"))
+    wanted = F.broadcast(small_table(spark, list(quotas.items()), "_g STRING, _m BIGINT"))
     upto = W.Window.partitionBy("_g").orderBy("_b").rowsBetween(W.Window.unboundedPreceding, 0)
     cuts = (
         counts.withColumn("_end", F.sum("_n").over(upto))
@@ -139,8 +147,8 @@ def flag_first_by_hash(
     thresholds = {}
     if cut_rows:
         table = F.broadcast(
-            spark.createDataFrame(
-                [(g, b, need) for g, (b, need) in cut_rows.items()],
+            small_table(
+                spark, [(g, b, need) for g, (b, need) in cut_rows.items()],
                 "_g STRING, _b STRING, _need BIGINT",
             )
         )
@@ -175,9 +183,3 @@ def shuffle_rows(df: DataFrame, id_col: str, seed: int, idx: str = "idx") -> Dat
     """A seeded random order, written as a row index."""
     keyed = df.withColumn("_hash", hash_key(id_col, seed))
     return index_rows(keyed, ["_hash", id_col], idx).drop("_hash")
-
-
-__all__ = [
-    "OrderedRows", "fetch_small", "first_rows", "flag_first_by_hash", "hash_key",
-    "index_in_groups", "index_rows", "order_rows", "shuffle_rows",
-]

@@ -12,7 +12,7 @@ from flowspark.functions.numeric import quoted
 from flowspark.operators.order import flag_first_by_hash, index_in_groups, shuffle_rows
 from flowspark.operators.stats import is_positive
 from flowspark.schemas import require_columns
-from flowspark.session import MAX_LOOKUP_ROWS
+from flowspark.session import MAX_LOOKUP_ROWS, small_table
 
 
 # -- splits ----------------------------------------------------------------------------------
@@ -33,7 +33,7 @@ def split_random_rows(
     quota = int(n * percent)
     if quota > max(n - window, 0):
         raise ValueError("more evaluation rows asked for than rows after the first window")
-    flagged = flag_first_by_hash(df, idx, seed, quota, where=F.col(idx) >= window, flag="_eval")
+    flagged = flag_first_by_hash(df, idx, seed, quota, where=F.col(idx) >= window, flag="_eval", n_hint=n)
     return flagged.withColumn("training", ~F.col("_eval")).drop("_eval")
 
 
@@ -100,7 +100,7 @@ def balance_down(
     a, b = _two_class_counts(df, label, attack, benign)
     target = min(a, b)
     two = df.filter(F.col(label).isin(attack, benign))
-    flagged = flag_first_by_hash(two, id_col, seed, {attack: target, benign: target}, group=label)
+    flagged = flag_first_by_hash(two, id_col, seed, {attack: target, benign: target}, group=label, n_hint=a + b)
     return flagged.filter("picked").drop("picked")
 
 
@@ -116,7 +116,7 @@ def balance_up(
     target = max(a, b)
     two = df.filter(F.col(label).isin(attack, benign))
     extra = {attack: target % a if a < target else 0, benign: target % b if b < target else 0}
-    flagged = flag_first_by_hash(two, id_col, seed, extra, group=label)
+    flagged = flag_first_by_hash(two, id_col, seed, extra, group=label, n_hint=a + b)
     times = F.when(F.col(label) == attack, F.lit(target // a)).otherwise(F.lit(target // b))
     copies = times + F.col("picked").cast("int")
     return flagged.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("picked")
@@ -189,7 +189,7 @@ def plan_batches(
         stats.append((c, n, m, first_slot))
         first_slot += m
     table = F.broadcast(
-        spark.createDataFrame(stats, "class STRING, n BIGINT, m BIGINT, first_slot BIGINT")
+        small_table(spark, stats, "class STRING, n BIGINT, m BIGINT, first_slot BIGINT")
     )
     plan = (
         spark.range(steps).withColumnRenamed("id", "step")

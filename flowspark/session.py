@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Rows a table may have before it is no longer shipped to every executor.
 MAX_LOOKUP_ROWS = 100_000
@@ -60,6 +63,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Driver-side rows as a local relation: no job runs to read it."""
+    struct = T.StructType.fromDDL(schema)
+    names = [f.name for f in struct.fields]
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    arrow = pa.Table.from_arrays([pa.array(list(c)) if rows else pa.nulls(0) for c in columns], names=names)
+    target = to_arrow_schema(struct)
+    return spark.createDataFrame(arrow.cast(target), struct)
+
+
 def fetch_small(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame | None:
     """``df`` as a local relation, or None if it has more than ``max_rows`` rows."""
     table = df.limit(max_rows + 1).toArrow()
