@@ -37,7 +37,9 @@ def main() -> None:
     codes = encode.encode_codes(table, params, keep=[*ORDER, "Attack"])
 
     def halo_windows():
-        return windows.sliding_windows(index_rows(codes, ORDER), NFV1.features, WINDOW, keep=["Attack"])
+        indexed = index_rows(table.select(*ORDER, *NFV1.features, "Attack"), ORDER)
+        coded = encode.encode_codes(indexed, params, keep=["idx", "Attack"])
+        return windows.sliding_windows(coded, NFV1.features, WINDOW, keep=["Attack"])
 
     def single_task_windows():
         # comparison only: what the chunked form replaces

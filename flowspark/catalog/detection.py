@@ -97,8 +97,8 @@ SETTINGS = VerdictSettings(["Benign", "Attack"], "Benign", 0)
 def mean_bytes_score(found):
     """Attack score: the window's mean of the scaled OUT_BYTES."""
     total = F.aggregate("win", F.lit(0.0), lambda a, s: a + s["OUT_BYTES"])
-    m = total / F.size("win")
-    return found.withColumn("scores", F.array(1 - m, m))
+    with_mean = found.withColumn("_m", total / F.size("win"))
+    return with_mean.withColumn("scores", F.array(1 - F.col("_m"), "_m")).drop("_m")
 
 
 VERDICTS = f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, flow_id) - 1 AS idx FROM ({FLOWS}) q), {params_sql('f')},

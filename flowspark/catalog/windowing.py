@@ -150,10 +150,10 @@ CODES = f"WITH f AS ({INDEXED}), {params_sql('f')}, e AS ({encoded_sql('f', ['id
 
 
 def encoded_windows(spark, sf_dir, keep=("Attack",)):
-    f = flows(spark, sf_dir)
+    f = indexed_flows(spark, sf_dir)
     params = stats.collect_params(f, NFV1)
-    codes = encode.encode_codes(f, params, keep=[*ORDER, "Attack"])
-    return windows.sliding_windows(index_rows(codes, ORDER), NFV1.features, WINDOW, keep=list(keep)), params
+    codes = encode.encode_codes(f, params, keep=["idx", "Attack"])
+    return windows.sliding_windows(codes, NFV1.features, WINDOW, keep=list(keep)), params
 
 
 def joined_sql(value: str) -> str:
@@ -179,9 +179,9 @@ def micro(f: str, alias: str = "r") -> str:
     ),
 )
 def _feature_wise(spark, sf_dir):
-    f = flows(spark, sf_dir)
+    f = indexed_flows(spark, sf_dir)
     params = stats.collect_params(f, NFV1)
-    codes = index_rows(encode.encode_codes(f, params, keep=[*ORDER, "Attack"]), ORDER)
+    codes = encode.encode_codes(f, params, keep=["idx", "Attack"])
     found = windows.sliding_windows(codes, [*NFV1.features, "Attack"], WINDOW)
     wise = found.select(
         "idx", windows.last_label(F.col("win"), "Attack").alias("label"),

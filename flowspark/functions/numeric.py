@@ -17,6 +17,11 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def int_div(x: Column, n: int | Column) -> Column:
+    """Integer division, exact for any BIGINT."""
+    return F.call_function("div", x, F.lit(n) if isinstance(n, int) else n)
+
+
 def finite_or_zero(x: Column) -> Column:
     x = x.cast("double")
     ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf))

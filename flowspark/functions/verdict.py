@@ -107,24 +107,20 @@ def score_health(scores: Column) -> Column:
     vec = scores.cast("array<double>")
     bad = F.coalesce(F.exists(vec, lambda v: ~is_finite(v)), F.lit(False))
     std = array_std(vec)
-    uniform = ~bad & (F.size(vec) > 1) & (std < 1e-7)
+    uniform = (F.size(vec) > 1) & F.coalesce(std < 1e-7, F.lit(False))  # NaN is above any number
     return F.struct(bad.alias("has_non_finite"), uniform.alias("near_uniform"), std.alias("output_std"))
 
 
-def array_mean(vec: Column) -> Column:
-    return F.aggregate(vec, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(vec), F.lit(0))
-
-
 def array_std(vec: Column) -> Column:
-    """Population standard deviation of the elements; 0 for fewer than two."""
-    mean = array_mean(vec)
-    squares = F.aggregate(vec, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    return F.when(F.size(vec) < 2, F.lit(0.0)).otherwise(F.sqrt(squares / F.nullif(F.size(vec), F.lit(0))))
+    """Population standard deviation of the elements in one pass; 0 for fewer than two."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
+    def add(acc: Column, v: Column) -> Column:
+        n = acc["n"] + 1.0
+        mean = acc["mean"] + (v - acc["mean"]) / n
+        m2 = acc["m2"] + (v - acc["mean"]) * (v - mean)
+        return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
 
-def softmax(scores: Column) -> Column:
-    """Softmax of an ARRAY<DOUBLE>."""
-    top = F.array_max(scores)
-    exps = F.transform(scores, lambda v: F.exp(v - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(exps, lambda v: v / total)
+    return F.aggregate(
+        vec, start, add, lambda acc: F.when(acc["n"] < 2, F.lit(0.0)).otherwise(F.sqrt(acc["m2"] / acc["n"]))
+    )

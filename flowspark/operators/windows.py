@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from flowspark.functions.categorical import one_hot_fitted
-from flowspark.functions.numeric import quoted
+from flowspark.functions.numeric import int_div, quoted
 from flowspark.operators.order import order_rows
 from flowspark.operators.split import affine_position, hash_number
 from flowspark.schemas import FittedParams, require_columns
@@ -30,7 +30,7 @@ def sliding_windows(
     require_columns(df, [*cols, *(keep or []), idx])
     if window > chunk:
         raise ValueError("the window must not be longer than a chunk")
-    c = F.floor(F.col(idx) / chunk)
+    c = int_div(F.col(idx), chunk)
     in_tail = F.pmod(F.col(idx), F.lit(chunk)) >= chunk - (window - 1)
     member = F.array(c) if window == 1 else F.when(in_tail, F.array(c, c + 1)).otherwise(F.array(c))
     carried = [F.col(idx), F.struct(*[quoted(n) for n in cols]).alias("_row")]
@@ -43,7 +43,7 @@ def sliding_windows(
     by_idx = W.Window.partitionBy("_chunk").orderBy(idx)
     frame = by_idx.rowsBetween(-(window - 1), 0)
     out = halo.withColumn("win", F.collect_list("_row").over(frame))
-    full = (F.floor(F.col(idx) / chunk) == F.col("_chunk")) & (F.size("win") == window)
+    full = (int_div(F.col(idx), chunk) == F.col("_chunk")) & (F.size("win") == window)
     if key:
         out = out.withColumn("_key0", F.first("_key").over(frame))
         full = full & F.col("_key0").eqNullSafe(F.col("_key"))
@@ -66,7 +66,7 @@ def strided_windows(
     require_columns(df, [*cols, idx])
     if stride >= window:
         # every row belongs to at most one window: one grouping, no halo
-        slot = F.floor(F.col(idx) / stride)
+        slot = int_div(F.col(idx), stride)
         rows = df.filter(F.pmod(F.col(idx), F.lit(stride)) < window).select(
             slot.alias("window_id"), idx, F.struct(*[quoted(n) for n in cols]).alias("_row")
         )
@@ -81,7 +81,7 @@ def strided_windows(
     start = F.col(idx) - (window - 1)
     slid = sliding_windows(df, cols, window, ends=F.pmod(start, F.lit(stride)) == 0, idx=idx)
     return slid.select(
-        (start / stride).cast("bigint").alias("window_id"), start.alias("start_idx"), "win"
+        int_div(start, stride).alias("window_id"), start.alias("start_idx"), "win"
     )
 
 
@@ -134,7 +134,7 @@ def random_context_windows(
     """
     if batch * window > n_context:
         raise ValueError("a batch needs batch * window training rows")
-    step = F.floor(F.col("ordinal") / batch)
+    step = int_div(F.col("ordinal"), batch)
     x = F.pmod(F.col("ordinal"), F.lit(batch)) * window
     slots = targets.select(
         F.col(idx).alias("target"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.functions.numeric import quoted
 from flowspark.functions.verdict import score_health, verdict
 from flowspark.operators.encode import encode_codes
 from flowspark.operators.order import index_rows
@@ -19,13 +20,12 @@ from flowspark.streaming.windows import WindowFeed
 ScoreFn = Callable[[DataFrame], DataFrame]
 
 
-def encode_for_windows(
-    flows: DataFrame, params: FittedParams, keep: list[str], dim_check: dict[str, int] | None = None,
-    allow_mismatch: bool = False,
-) -> DataFrame:
+def needed_columns(params: FittedParams, keep: list[str]) -> list[str]:
+    return list(dict.fromkeys([*keep, *params.features, *CONTEXT_FIELDS]))
+
+
+def encode_for_windows(flows: DataFrame, params: FittedParams, keep: list[str]) -> DataFrame:
     """Each flow encoded once, before any window is formed, with its context struct ``ctx``."""
-    if dim_check:
-        params.check_widths(dim_check, allow_mismatch)
     names = list(dict.fromkeys([*keep, "ctx"]))
     return encode_codes(flows.withColumn("ctx", context_struct()), params, names)
 
@@ -50,9 +50,11 @@ def detect_table(
 ) -> DataFrame:
     """Verdicts for every full window of a table, per ``key`` or over the whole table."""
     needed = list(dict.fromkeys([*keep, *order, *([key] if key else [])]))
-    encoded = encode_for_windows(flows, params, needed)
-    indexed = keyed_index(encoded, key, order) if key else index_rows(encoded, order)
-    found = sliding_windows(indexed, [*params.features, "ctx"], window, keep=needed, key=key)
+    raw = flows.select(*[quoted(c) for c in needed_columns(params, needed)])
+    # order first, encode after: sorting evaluates its input twice
+    indexed = keyed_index(raw, key, order) if key else index_rows(raw, order)
+    encoded = encode_for_windows(indexed, params, [*needed, "idx"])
+    found = sliding_windows(encoded, [*params.features, "ctx"], window, keep=needed, key=key)
     return judge(found.drop("idx"), score, settings)
 
 
@@ -66,17 +68,18 @@ def detect_stream(
     A retried batch overwrites its own folder, so every window is judged once.
     """
     needed = list(dict.fromkeys([*keep, *order, *([key] if key else [])]))
-    encoded = encode_for_windows(flows, params, needed)
+    raw = flows.select(*[quoted(c) for c in needed_columns(params, needed)])
+
+    def encode(indexed: DataFrame, names: list[str]) -> DataFrame:
+        return encode_for_windows(indexed, params, names)
 
     def sink(found: DataFrame, batch_id: int) -> None:
         judged = judge(found, score, settings)
         judged.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     feed = WindowFeed(
-        f"{checkpoint}/windows", [*params.features, "ctx"], order, sink, key, needed, window
+        f"{checkpoint}/windows", [*params.features, "ctx"], order, sink, key, needed, window, encode
     )
-    writer = encoded.writeStream.foreachBatch(feed).option("checkpointLocation", f"{checkpoint}/query")
+    writer = raw.writeStream.foreachBatch(feed).option("checkpointLocation", f"{checkpoint}/query")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-
-__all__ = ["CONTEXT_FIELDS", "detect_stream", "detect_table", "encode_for_windows", "judge"]

@@ -24,13 +24,17 @@ class WindowFeed:
     single window over the whole stream (``key=None``), still uses all tasks.
 
     Rows of a batch are put in ``order``; rows of later batches follow, however old they are.
+    ``prepare(rows, names)`` may turn the indexed rows into others that hold ``cols`` besides the
+    given names; the carried rows are those before it.
     """
 
     def __init__(
         self, state_path: str, cols: list[str], order: list[str],
         sink: Callable[[DataFrame, int], None], key: str | None = None,
         keep: list[str] | None = None, window: int = 8,
+        prepare: Callable[[DataFrame, list[str]], DataFrame] | None = None,
     ):
+        self.prepare = prepare
         self.state_path, self.cols, self.order = state_path, cols, order
         self.sink, self.key, self.keep, self.window = sink, key, keep or [], window
 
@@ -39,7 +43,8 @@ class WindowFeed:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        names = list(dict.fromkeys([*self.cols, *self.keep, *self.order, *([self.key] if self.key else [])]))
+        own = [*self.keep, *self.order, *([self.key] if self.key else [])]
+        names = batch.columns if self.prepare else list(dict.fromkeys([*self.cols, *own]))
         fresh = batch.select(
             *[quoted(n) for n in names], F.lit(True).alias("_fresh"), F.lit(0).cast("bigint").alias("_seq")
         )
@@ -50,8 +55,11 @@ class WindowFeed:
         lead = [self.key] if self.key else []
         ordered = order_rows(rows, [*lead, "_fresh", "_seq", *self.order])
         indexed = ordered.indexed().drop("_part", "_pos")
+        ready = indexed
+        if self.prepare:
+            ready = self.prepare(indexed, list(dict.fromkeys([*own, "_fresh", "idx"])))
         found = sliding_windows(
-            indexed, self.cols, self.window, keep=list(dict.fromkeys([*lead, *self.keep])), key=self.key,
+            ready, self.cols, self.window, keep=list(dict.fromkeys([*lead, *self.keep])), key=self.key,
             ends=F.col("_fresh"),
         )
         self.sink(found.drop("idx"), batch_id)
