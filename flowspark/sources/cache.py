@@ -31,8 +31,8 @@ def cached(
     """
     data, meta = f"{folder}/{key}", f"{folder}/{key}.metadata"
     try:
-        text = "\n".join(r["value"] for r in spark.read.text(meta, wholetext=True).collect())
-        return spark.read.parquet(data), text
+        text = spark.read.text(meta, wholetext=True).first()["value"]
+        return spark.read.parquet(data), text.removesuffix("\n")
     except AnalysisException:
         pass
     df, text = build()
