@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from flowspark.session import lookup_join, materialize, small_table
+from flowspark.session import (
+    fetch_small, lookup_join, materialize, remove_path, scratch_path, small_table,
+)
 
 PART, POS = "_part", "_pos"
 _POS_MASK = (1 << 33) - 1  # low bits of monotonically_increasing_id
@@ -32,6 +34,11 @@ class OrderedRows:
     first_idx: dict[int, int]
     n: int
     per_part: dict[int, dict]
+    path: str
+
+    def release(self) -> None:
+        """Delete the written rows once nothing reads them any more."""
+        remove_path(self.rows.sparkSession, self.path)
 
     def part_table(self, values: dict[int, object], name: str, dtype: str) -> DataFrame:
         """A lookup table with one value per part."""
@@ -72,13 +79,14 @@ def order_rows(
         .withColumn(PART, F.spark_partition_id())
         .withColumn(POS, F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)))
     )
-    rows = materialize(placed, "ordered")
+    path = scratch_path(df.sparkSession, "ordered")
+    rows = materialize(placed, "ordered", path)
     found = rows.groupBy(PART).agg(F.count("*").alias("n"), *(per_part or [])).collect()
     sizes = sorted(found, key=lambda r: r[PART])
     ends = list(accumulate(r["n"] for r in sizes))
     first_idx = {r[PART]: end - r["n"] for r, end in zip(sizes, ends)}
     extras = {r[PART]: r.asDict() for r in sizes}
-    return OrderedRows(rows, list(order), first_idx, ends[-1] if ends else 0, extras)
+    return OrderedRows(rows, list(order), first_idx, ends[-1] if ends else 0, extras, path)
 
 
 def index_rows(
@@ -88,6 +96,15 @@ def index_rows(
     return order_rows(df, order, partitions).indexed(idx).drop(PART, POS)
 
 
+def rank_rows(df: DataFrame, order: list[str], idx: str) -> DataFrame:
+    """``index_rows`` for a table that is usually tiny (classes, labels): ranked locally when it
+    is, by range otherwise."""
+    small = fetch_small(df)
+    if small is None:
+        return index_rows(df, order, idx)
+    return small.withColumn(idx, F.row_number().over(W.Window.orderBy(*order)).cast("bigint") - 1)
+
+
 def index_in_groups(
     df: DataFrame, groups: list[str], order: list[str], pos: str = "pos"
 ) -> DataFrame:

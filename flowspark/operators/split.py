@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.numeric import quoted
+from flowspark.functions.numeric import int_div, quoted
 from flowspark.operators.order import flag_first_by_hash, index_in_groups, shuffle_rows
 from flowspark.operators.stats import is_positive
 from flowspark.schemas import require_columns
@@ -181,22 +181,17 @@ def plan_batches(
         raise ValueError(f"classes need more rows than their share of a batch: {need_more}")
     if mode == "distinct" and any(sizes.get(c, 0) < m for c, m in shares.items()):
         raise ValueError("a class has fewer rows than its share of a batch")
-    stats, first_slot = [], 0
+    batch = sum(shares.values())
+    slots = []
     for c, m in shares.items():
-        n = sizes.get(c, 0)
-        if n == 0 and m > 0:
+        if m > 0 and not sizes.get(c):
             raise ValueError(f"no training rows for class {c!r}")
-        stats.append((c, n, m, first_slot))
-        first_slot += m
-    table = F.broadcast(
-        small_table(spark, stats, "class STRING, n BIGINT, m BIGINT, first_slot BIGINT")
-    )
-    plan = (
-        spark.range(steps).withColumnRenamed("id", "step")
-        .join(table.filter("m > 0"), F.lit(True))
-        .withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
-        .withColumn("slot", F.col("first_slot") + F.col("k"))
+        slots += [(len(slots) + k, c, sizes[c], m, k) for k in range(m)]
+    by_slot = F.broadcast(small_table(spark, slots, "slot BIGINT, class STRING, n BIGINT, m BIGINT, k BIGINT"))
+    numbered = spark.range(steps * batch).select(
+        int_div(F.col("id"), batch).alias("step"), F.pmod(F.col("id"), F.lit(batch)).alias("slot")
     )
+    plan = numbered.join(by_slot, "slot")
     if mode == "sequential":
         pos = F.pmod(F.col("step") * F.col("m"), F.col("n") - F.col("m")) + F.col("k")
     elif mode == "replace":
@@ -207,7 +202,7 @@ def plan_batches(
     else:
         raise ValueError(f"unknown mode {mode!r}")
     plan = plan.select("step", "slot", "class", pos.cast("bigint").alias("pos"))
-    if steps * sum(shares.values()) <= MAX_LOOKUP_ROWS:
+    if steps * batch <= MAX_LOOKUP_ROWS:
         plan = F.broadcast(plan)
     return positions.join(plan, ["class", "pos"]).select("step", "slot", "class", "idx")
 

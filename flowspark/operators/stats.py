@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 
 from flowspark.functions.categorical import FIXED_LEVEL_CAPS
 from flowspark.functions.numeric import NUMERIC_FILTER, clean_numeric, quoted
+from flowspark.operators.order import rank_rows
 from flowspark.schemas import (
     CategoricalParams, FittedParams, ModelInputSpec, NumericParams, level_type_of_column,
     require_columns,
@@ -18,13 +19,14 @@ from flowspark.specs import DatasetSpec
 
 
 def label_distribution(df: DataFrame, label: str = "Attack") -> DataFrame:
-    """Rows and percent per label. The total is summed over the (few) label counts."""
+    """Rows and percent per label, most frequent first."""
     require_columns(df, [label])
     counts = df.groupBy(label).agg(F.count("*").alias("n_rows"))
-    total = F.sum("n_rows").over(W.Window.partitionBy())
-    return counts.withColumn("percent", F.col("n_rows") * 100.0 / total).orderBy(
-        F.desc("n_rows"), F.asc(label)
+    shares = df.sparkSession.sql(
+        "SELECT *, n_rows * 100.0D / (SELECT sum(n_rows) FROM {counts}) AS percent FROM {counts}",
+        counts=counts,
     )
+    return shares.orderBy(F.desc("n_rows"), F.asc(label))
 
 
 def fit_numeric(
@@ -145,10 +147,8 @@ def class_lists(
 ) -> DataFrame:
     """Classes with their order of first appearance; ``is_attack`` marks the non-benign ones."""
     firsts = df.groupBy(F.col(label).alias("class")).agg(F.min(idx).alias("first_idx"))
-    order = W.Window.orderBy("first_idx")
-    return firsts.select(
-        "class", "first_idx",
-        (F.row_number().over(order) - 1).alias("position"),
+    return rank_rows(firsts, ["first_idx"], "position").select(
+        "class", "first_idx", F.col("position").cast("int").alias("position"),
         is_positive(F.col("class"), benign).alias("is_attack"),
     )
 
@@ -160,9 +160,8 @@ def is_positive(label: Column, benign: str = "Benign") -> Column:
 
 def class_codes(df: DataFrame, label: str = "Attack") -> DataFrame:
     """(class, code): distinct classes numbered 0.. in ascending order."""
-    distinct = df.select(F.col(label).alias("class")).distinct()
-    code = (F.row_number().over(W.Window.orderBy("class")) - 1).cast("int")
-    return distinct.filter(F.col("class").isNotNull()).select("class", code.alias("code"))
+    distinct = df.select(F.col(label).alias("class")).filter("class IS NOT NULL").distinct()
+    return rank_rows(distinct, ["class"], "code").select("class", F.col("code").cast("int").alias("code"))
 
 
 def encode_labels(df: DataFrame, label: str = "Attack", out: str = "y") -> DataFrame:

@@ -51,14 +51,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowspark-{app}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder (or ``path``) and read it back.
 
     Values that depend on physical placement (partition ids) are frozen by this, so a lost executor
     cannot change them, and later readers still prune columns and push filters down.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -104,3 +104,9 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path on whatever file system it is on."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the shared folder by ``materialize``."""
+    app = spark.sparkContext.applicationId
+    remove_path(spark, f"{shared_dir(spark)}/flowspark-{app}")

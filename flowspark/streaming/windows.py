@@ -64,6 +64,7 @@ class WindowFeed:
         )
         self.sink(found.drop("idx"), batch_id)
         self._write_carry(indexed, ordered.n, batch_id)
+        ordered.release()
 
     def _write_carry(self, indexed: DataFrame, n: int, batch_id: int) -> None:
         if self.key:
