@@ -11,7 +11,7 @@ from flowspark.catalog.windowing import COLS, KEYED_MEMBERS, encoded_windows
 from flowspark.flows import flows, packets
 from flowspark.operators import encode, evaluate, score, stats, windows
 from flowspark.plans import training
-from flowspark.plans.detection import detect_stream, detect_table
+from flowspark.plans.detection import alert_sink, detect_stream, detect_table, table_sink
 from flowspark.session import scratch_path
 from flowspark.settings import VerdictSettings
 from flowspark.sources import readers, writers
@@ -132,18 +132,18 @@ def _detect_stream(spark, sf_dir):
     def run(last):
         live = readers.stream_records(spark, path, ddl(f))
         detect_stream(
-            live, params, mean_bytes_score, SETTINGS, ORDER, ["flow_id"], out, state, WINDOW, "user_id"
+            live, params, mean_bytes_score, SETTINGS, ORDER, ["flow_id"], table_sink(out), state, WINDOW, "user_id"
         ).awaitTermination()
 
     arrive_in_parts(f, path, run)
     return judged_columns(spark.read.parquet(out))
 
 
-@query(
-    "s11_alerts",
-    f"""{VERDICTS} SELECT f.flow_id, 'Attack' AS attack_type, round(m, 5) AS attack_probability, IPV4_SRC_ADDR AS src_ip, L4_SRC_PORT AS src_port,
-    IPV4_DST_ADDR AS dst_ip, L4_DST_PORT AS dst_port, PROTOCOL AS protocol, L7_PROTO AS l7_proto FROM w JOIN f ON f.flow_id = w.flow_id WHERE m > 1 - m""",
-)
+ALERTS = f"""{VERDICTS} SELECT f.flow_id, 'Attack' AS attack_type, round(m, 5) AS attack_probability, IPV4_SRC_ADDR AS src_ip, L4_SRC_PORT AS src_port,
+ IPV4_DST_ADDR AS dst_ip, L4_DST_PORT AS dst_port, PROTOCOL AS protocol, L7_PROTO AS l7_proto FROM w JOIN f ON f.flow_id = w.flow_id WHERE m > 1 - m"""
+
+
+@query("s11_alerts", ALERTS)
 def _alerts(spark, sf_dir):
     f = flows(spark, sf_dir)
     params = stats.collect_params(f, NFV1)
@@ -152,6 +152,24 @@ def _alerts(spark, sf_dir):
     return out.withColumn("attack_probability", F.round("attack_probability", 5))
 
 
+@query("s11_alerts_stream", ALERTS)
+def _alerts_stream(spark, sf_dir):
+    path, out, state = (scratch_path(spark, n) for n in ("flows", "alerts", "state"))
+    f = flows(spark, sf_dir)
+    params = stats.collect_params(f, NFV1)
+
+    def run(last):
+        live = readers.stream_records(spark, path, ddl(f))
+        detect_stream(
+            live, params, mean_bytes_score, SETTINGS, ORDER, ["flow_id"], alert_sink(out, ["flow_id"]),
+            state, WINDOW, "user_id",
+        ).awaitTermination()
+
+    arrive_in_parts(f, path, run, parts=2)
+    found = spark.read.parquet(out).drop("batch_id")
+    return found.withColumn("attack_probability", F.round("attack_probability", 5))
+
+
 # -- model fitting (no SQL equivalent) -----------------------------------------------------------
 @query("m1_m3_train_and_evaluate")
 def _train_and_evaluate(spark, sf_dir):

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.categorical import (
     UNKNOWN_ZERO, fixed_width_of, level_code, one_hot, one_hot_fitted, one_hot_over,
 )
-from flowspark.functions.numeric import NUMERIC_FILTER, clean_numeric, log_minmax, quoted
+from flowspark.functions.numeric import clean_numeric, log_minmax, quoted
 from flowspark.schemas import FittedParams, require_columns
-from flowspark.session import lookup_join
+from flowspark.session import lookup_join, small_table
+from flowspark.specs import DatasetSpec
+
+class Encoder(Protocol):
+    """How a table is fitted and encoded; implement it to replace the built-in encoding."""
+
+    def fit(self, df: DataFrame, spec: DatasetSpec, where: Column | None = None) -> FittedParams: ...
+
+    def transform(self, df: DataFrame, params: FittedParams, keep: list[str]) -> DataFrame: ...
+
 
 # Levels up to this number are matched inside the projection, more by a lookup join.
 MAX_INLINE_LEVELS = 256
@@ -56,12 +67,11 @@ def encode_codes(
 
 def _join_codes(df: DataFrame, feature: str, levels, unknown: str) -> DataFrame:
     dtype = df.schema[feature].dataType
-    spark = df.sparkSession
     text = dtype.simpleString() == "string"
     if text != isinstance(levels[0], str):
         return df.withColumn(f"_code_{feature}", F.lit(0 if unknown == UNKNOWN_ZERO else 1))
     rows = [(str(v), i + 1) for i, v in enumerate(levels)]
-    table = spark.createDataFrame(rows, "_level STRING, _code INT").withColumn(
+    table = small_table(df.sparkSession, rows, "_level STRING, _code INT").withColumn(
         "_level", F.col("_level").cast(dtype)
     )
     out = lookup_join(df.withColumn("_level", quoted(feature)), table, ["_level"])
@@ -137,9 +147,3 @@ def preprocess_table(
             hit = F.when(code == i + 1, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float")
             cols.append(hit.alias(f"{stem}_{i}"))
     return df.select(*cols)
-
-
-__all__ = [
-    "NUMERIC_FILTER", "encode_codes", "encode_vectors", "observed_vectors", "one_hot_columns",
-    "one_hot_fixed", "one_hot_observed", "preprocess_table", "scaled_columns",
-]

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.categorical import UNKNOWN_FIRST, UNKNOWN_ZERO
 from flowspark.operators import evaluate, score, split, stats, windows
-from flowspark.operators.encode import encode_codes
+from flowspark.operators.encode import Encoder, encode_codes
 from flowspark.operators.order import order_rows
 from flowspark.operators.prepare import project_spec
 from flowspark.schemas import FittedParams, ModelInputSpec
@@ -23,7 +23,7 @@ LAST_ROWS, RANDOM_ROWS, FILTER_COLUMN = "last_rows", "random_rows", "filter_colu
 
 @dataclass(frozen=True)
 class Preprocessing:
-    """How features are fitted and encoded.
+    """The built-in ``Encoder``: cleaned numbers, log min-max scaling, top-K level codes.
 
     ``unknown`` and ``floor`` default to the serving behaviour; "first" and False give the training
     variant. ``caps`` bounds the levels of single features.
@@ -36,6 +36,13 @@ class Preprocessing:
     limit: float = 1e9
     caps: tuple[tuple[str, int], ...] = ()
 
+    def fit(self, df: DataFrame, spec: DatasetSpec, where: Column | None = None) -> FittedParams:
+        found = stats.collect_params(df, spec, self.top_k, where, self.limit, dict(self.caps))
+        return replace(found, clip_numerical=self.clip_numerical)
+
+    def transform(self, df: DataFrame, params: FittedParams, keep: list[str]) -> DataFrame:
+        return encode_codes(df, params, keep, self.floor, self.unknown, self.limit)
+
     @classmethod
     def as_in_training(cls, top_k: int = 32) -> Preprocessing:
         return cls(top_k=top_k, floor=False, unknown=UNKNOWN_FIRST)
@@ -55,12 +62,11 @@ class EncodedDataset:
 def load_dataset(
     df: DataFrame, order: list[str], spec: DatasetSpec = NFV1, sampling: str = LAST_ROWS,
     eval_percent: float = 0.2, n_rows: int = 0, window: int = 8, seed: int = 42,
-    prep: Preprocessing = Preprocessing(), categorical_format: str = "onehot",
+    prep: Encoder = Preprocessing(), categorical_format: str = "onehot",
 ) -> EncodedDataset:
     """Index, split, encode labels, clean, fit on the training rows, encode all rows.
 
-    Classes are listed before the row limit applies. Two range-independent shuffles at most: the
-    index, and the sampling counts of a random split.
+    Classes are listed before the row limit applies. The only shuffle of all rows is the index.
     """
     cls = spec.class_column
     extra = [spec.test_column] if sampling == FILTER_COLUMN and spec.test_column else []
@@ -83,12 +89,8 @@ def load_dataset(
     else:
         raise ValueError(f"unknown sampling {sampling!r}")
     rows = stats.encode_labels(rows, cls, "y")
-    params = stats.collect_params(
-        rows, spec, prep.top_k, F.col("training"), prep.limit, dict(prep.caps), window_size=window,
-    )
-    params = FittedParams(params.numerical, params.categorical, window, prep.top_k, prep.clip_numerical)
-    carried = ["idx", "training", cls, "y"]
-    table = encode_codes(rows, params, carried, prep.floor, prep.unknown, prep.limit)
+    params = replace(prep.fit(rows, spec, F.col("training")), window_size=window)
+    table = prep.transform(rows, params, ["idx", "training", cls, "y"])
     table = materialize(table, "encoded")
     if categorical_format == "integers":
         widths = {r["feature"]: r["n_codes"] for r in stats.levels_per_feature(table, spec.categorical).collect()}

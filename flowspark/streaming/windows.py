@@ -16,7 +16,8 @@ from flowspark.session import lookup_join, remove_path
 
 
 class WindowFeed:
-    """``foreachBatch`` function that hands every micro-batch's full windows to ``sink``.
+    """``foreachBatch`` function that hands every micro-batch's full windows to ``sink(windows,
+    batch_id)``, which must write them before it returns. ``idx`` numbers the rows of the batch.
 
     The last ``window - 1`` rows per key are carried from batch to batch as a table under
     ``state_path`` (one folder per batch, rewritten when a batch is retried). Inside a batch the
@@ -62,7 +63,7 @@ class WindowFeed:
             ready, self.cols, self.window, keep=list(dict.fromkeys([*lead, *self.keep])), key=self.key,
             ends=F.col("_fresh"),
         )
-        self.sink(found.drop("idx"), batch_id)
+        self.sink(found, batch_id)
         self._write_carry(indexed, ordered.n, batch_id)
         ordered.release()
 

@@ -89,3 +89,28 @@ def test_streamed_flows_equal_the_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(out).filter("src_ip <> 'z'").drop("application_name").collect()))
     want = assemble_flows(spark.createDataFrame(rows, PACKET_SCHEMA), 1.0).drop("application_name")
     assert got == sorted(map(tuple, want.collect()))
+
+
+def test_tensor_messages_from_a_stream(spark, sf_dir, tmp_path):
+    from flowspark.flows import flows
+    from flowspark.operators.stats import collect_params
+    from flowspark.plans.detection import SEQ_PER_BATCH, tensor_sink, window_stream
+    from flowspark.sources.tensors import accepted_messages, validate_messages
+    from flowspark.specs import NFV1
+
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    f = flows(spark, sf_dir)
+    params = collect_params(f, NFV1)
+    ddl = ", ".join(f"`{c}` {t}" for c, t in f.dtypes)
+    names = ["input_PROTOCOL", "input_IN_PKTS"]
+    for part in ("flow_id < 500", "flow_id >= 500"):
+        f.filter(part).write.mode("append").parquet(src)
+        window_stream(
+            stream_records(spark, src, ddl), params, ["ts", "flow_id"], ["flow_id"],
+            tensor_sink(out, params, names, {"PROTOCOL": 4}, 1000), state,
+        ).awaitTermination()
+    m = spark.read.parquet(out)
+    assert m.count() == 1000 - 7 == m.select("seq").distinct().count()
+    assert m.filter(F.col("seq") > SEQ_PER_BATCH).count() == 500
+    checked = validate_messages(m, [32, 8], 1000)
+    assert accepted_messages(checked.unionByName(checked)).count() == 993
