@@ -129,7 +129,9 @@ def _balance_and_shuffle(spark, sf_dir):
 
 
 # -- batch plans -------------------------------------------------------------------------------
-STEPS, BATCH = 40, 32
+# as many batches as the table has rows for
+BATCH = 32
+STEPS = f"({N} // {BATCH})"
 
 
 def positions_sql(roles: str, cls: str) -> str:
@@ -146,7 +148,7 @@ def plan_sql(roles: str, cls: str, shares: dict[str, int], pos: str) -> str:
         first += m
     return f"""WITH p AS ({positions_sql(roles, cls)}),
     s AS (SELECT v.c AS class, v.m, v.f, (SELECT max(n) FROM p WHERE p.class = v.c) AS n FROM (VALUES {', '.join(rows)}) v(c, m, f)),
-    plan AS (SELECT step, f + k AS slot, class, m, n, k FROM s, generate_series(0, {STEPS - 1}) a(step), generate_series(0, {BATCH}) b(k) WHERE k < m)
+    plan AS (SELECT step, f + k AS slot, class, m, n, k FROM s, generate_series(0, {STEPS} - 1) a(step), generate_series(0, {BATCH}) b(k) WHERE k < m)
     SELECT plan.step, plan.slot, plan.class, p.idx FROM plan JOIN p ON p.class = plan.class AND p.pos = {pos}"""
 
 
@@ -165,13 +167,17 @@ def _class_order(spark, sf_dir):
     return sorted(r["class"] for r in stats.class_codes(flows(spark, sf_dir)).collect())
 
 
+def _steps(rows):
+    return rows.count() // BATCH
+
+
 @query(
     "x10_batches_binary",
     plan_sql(BINARY_ROLES, "CASE WHEN Attack <> 'Benign' THEN 'malicious' ELSE 'benign' END", BINARY_SHARES, SEQUENTIAL),
 )
 def _batches_binary(spark, sf_dir):
     rows = binary_roles(spark, sf_dir).withColumn("side", split.binary_class(F.col("Attack")))
-    return split.plan_batches(split.class_positions(rows, "side"), split.binary_shares(BATCH), STEPS)
+    return split.plan_batches(split.class_positions(rows, "side"), split.binary_shares(BATCH), _steps(rows))
 
 
 BINARY_DISTINCT = (
@@ -186,14 +192,15 @@ BINARY_DISTINCT = (
 def _batches_binary_random(spark, sf_dir):
     rows = binary_roles(spark, sf_dir).withColumn("side", split.binary_class(F.col("Attack")))
     return split.plan_batches(
-        split.class_positions(rows, "side"), split.binary_shares(BATCH), STEPS, mode="distinct"
+        split.class_positions(rows, "side"), split.binary_shares(BATCH), _steps(rows), mode="distinct"
     )
 
 
 @query("x11_batches_multiclass", plan_sql(ROLES, "Attack", CLASS_SHARES, SEQUENTIAL))
 def _batches_multiclass(spark, sf_dir):
     shares = split.batch_shares(_class_order(spark, sf_dir), BATCH)
-    return split.plan_batches(split.class_positions(multiclass_roles(spark, sf_dir), "Attack"), shares, STEPS)
+    rows = multiclass_roles(spark, sf_dir)
+    return split.plan_batches(split.class_positions(rows, "Attack"), shares, _steps(rows))
 
 
 MULTI_RANDOM = f"{number_sql('''concat('42-', CAST(plan.step AS STRING), '-', CAST(plan.slot AS STRING))''')} % plan.n"
@@ -202,6 +209,7 @@ MULTI_RANDOM = f"{number_sql('''concat('42-', CAST(plan.step AS STRING), '-', CA
 @query("x11_batches_multiclass_random", plan_sql(ROLES, "Attack", CLASS_SHARES, MULTI_RANDOM))
 def _batches_multiclass_random(spark, sf_dir):
     shares = split.batch_shares(_class_order(spark, sf_dir), BATCH)
+    rows = multiclass_roles(spark, sf_dir)
     return split.plan_batches(
-        split.class_positions(multiclass_roles(spark, sf_dir), "Attack"), shares, STEPS, mode="replace"
+        split.class_positions(rows, "Attack"), shares, _steps(rows), mode="replace"
     )

@@ -10,6 +10,7 @@ from flowspark.catalog.base import (
 from flowspark.catalog.encoding import DIMS
 from flowspark.catalog.splits import ROLES, multiclass_roles, number_sql
 from flowspark.flows import flows
+from flowspark.functions.numeric import int_div
 from flowspark.operators import encode, score, stats, windows
 from flowspark.operators.order import index_in_groups, index_rows
 from flowspark.specs import NFV1
@@ -81,25 +82,28 @@ def _windows_stride_3(spark, sf_dir):
     return members(out, "window_id", "start_idx")
 
 
+PAD = 50
+
+
 @query(
-    "w3_padded_window",
-    f"""SELECT user_id, CAST(p AS INT) AS pos, coalesce(r.flow_id, 0) AS flow_id, coalesce(r.OUT_BYTES, 0) AS OUT_BYTES
-    FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN generate_series(0, 127) g(p)
-    LEFT JOIN ({KEYED}) r USING (user_id) WHERE r.idx = p
-    UNION ALL SELECT user_id, CAST(p AS INT), 0, 0 FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) u
-    CROSS JOIN generate_series(0, 127) g(p) WHERE p >= n""",
+    "w3_padded_windows",
+    f"""WITH i AS ({KEYED}), w AS (SELECT DISTINCT user_id, idx // {PAD} AS window_id FROM i)
+    SELECT w.user_id, w.window_id, CAST(p AS INT) AS pos, coalesce(i.flow_id, 0) AS flow_id, coalesce(i.OUT_BYTES, 0) AS OUT_BYTES
+    FROM w CROSS JOIN generate_series(0, {PAD - 1}) g(p)
+    LEFT JOIN i ON i.user_id = w.user_id AND i.idx = w.window_id * {PAD} + p""",
 )
-def _padded_window(spark, sf_dir):
-    # each sensor's first 128 flows as one window, zero rows after shorter histories
-    width = 128
+def _padded_windows(spark, sf_dir):
+    # each sensor's history in windows of PAD flows, zero rows after the data in its last one
     cols = ["flow_id", "OUT_BYTES"]
-    rows = index_in_groups(flows(spark, sf_dir), ["user_id"], ORDER).filter(F.col("pos") < width)
-    one = rows.groupBy("user_id").agg(
+    rows = index_in_groups(flows(spark, sf_dir), ["user_id"], ORDER)
+    grouped = rows.groupBy("user_id", int_div(F.col("pos"), PAD).alias("window_id")).agg(
         F.sort_array(F.collect_list(F.struct("pos", F.struct(*cols).alias("r")))).alias("a")
     )
     win = F.transform("a", lambda x: x["r"])
-    padded = one.select("user_id", windows.pad_window(win, width, windows.zero_row(rows.schema, cols)).alias("win"))
-    return padded.select("user_id", F.posexplode("win").alias("pos", "m")).select("user_id", "pos", "m.flow_id", "m.OUT_BYTES")
+    padded = windows.pad_window(win, PAD, windows.zero_row(rows.schema, cols))
+    return grouped.select("user_id", "window_id", F.posexplode(padded).alias("pos", "m")).select(
+        "user_id", "window_id", "pos", "m.flow_id", "m.OUT_BYTES"
+    )
 
 
 @query(
