@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The same text runs in Spark and in DuckDB.
 FLOW_SQL = """
@@ -45,6 +46,8 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    # the column is stored without a time zone; streams and watermarks need an instant
-    events = events.withColumn("ts", events["ts"].cast("timestamp"))
+    if dict(events.dtypes)["ts"] == "timestamp_ntz":
+        # stored without a time zone and read as UTC; streams and watermarks need an instant
+        micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+        events = events.withColumn("ts", F.timestamp_micros(micros))
     return spark.sql(text.replace("{events}", "{e}"), e=events)

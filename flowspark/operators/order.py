@@ -50,16 +50,21 @@ class OrderedRows:
         return joined.withColumn(idx, F.col("_first") + F.col(POS)).drop("_first")
 
 
-# Input bytes per range of a global sort.
-PART_BYTES = 128 * 1024 * 1024
+# Estimated input bytes per range of a global sort, and the most ranges Spark's bounded sample of the
+# order keys still splits evenly.
+PART_BYTES = 256 * 1024 * 1024
+MAX_PARTS = 50_000
 
 
 def parts_for(df: DataFrame) -> int:
-    """The session's shuffle partitions, or more when the input's estimated size asks for it."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """One range per core, or more when the input's estimated size asks for it."""
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fewest = min(configured, spark.sparkContext.defaultParallelism)
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # an unknown size is reported as (nearly) the largest long
-    return configured if estimate >= 1 << 60 else max(configured, -(-estimate // PART_BYTES))
+    if estimate >= 1 << 60:  # unknown
+        return configured
+    return min(max(fewest, -(-estimate // PART_BYTES)), MAX_PARTS)
 
 
 def order_rows(

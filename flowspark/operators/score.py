@@ -82,7 +82,7 @@ def fit_binary_classifier(
 def score(df: DataFrame, model, out: str = "scores") -> DataFrame:
     """Class probabilities of a fitted model as ARRAY<DOUBLE>."""
     ready = df.withColumn("_vec", array_to_vector("features"))
-    applied = model.setFeaturesCol("_vec").transform(ready)
+    applied = model.copy({model.getParam("featuresCol"): "_vec"}).transform(ready)
     scored = applied.withColumn(out, vector_to_array("probability"))
     return scored.drop("_vec", "rawPrediction", "probability", "prediction")
 

@@ -1,10 +1,12 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowspark.catalog.preparation import raw_flows
-from flowspark.flows import flows
-from flowspark.operators import score, stats, windows
+from flowspark.flows import flows, packets
+from flowspark.operators import assemble, encode, order, score, split, stats, windows
 from flowspark.plans import dataset, training
 from flowspark.specs import NFV1
 
@@ -71,3 +73,55 @@ def test_feature_statistics_of_arrays(spark):
     r = stats.feature_statistics(df, ["x"]).first()
     assert (r["n_values"], r["min"], r["max"], r["mean"], r["non_zero"]) == (4, 0.0, 6.0, 3.0, 3)
     assert round(r["std"], 6) == round(5 ** 0.5, 6)
+
+
+def test_load_dataset_with_a_test_column(spark, sf_dir):
+    spec = replace(NFV1, test_column="is_test")
+    f = flows(spark, sf_dir).withColumn("is_test", F.when(F.col("flow_id") % 5 == 0, "y").otherwise("n"))
+    data = training.load_dataset(f, ORDER, spec, training.FILTER_COLUMN)
+    assert "is_test" not in data.table.columns
+    assert data.table.filter("NOT training").count() == len([i for i in range(1000) if i % 5 == 0 and i > 8])
+
+
+def test_scoring_leaves_the_model_unchanged(spark, sf_dir):
+    data = training.load_dataset(flows(spark, sf_dir), ORDER, n_rows=300)
+    vectors = score.flow_vectors(data.table, data.params, keep=["idx", "Attack"])
+    model = score.fit_binary_classifier(vectors, max_iter=3)
+    out = score.score_positive(vectors, model)
+    assert model.getFeaturesCol() == "features" and out.columns == ["idx", "Attack", "features", "score"]
+    assert out.filter("score < 0 OR score > 1").count() == 0
+
+
+# -- physical plans ------------------------------------------------------------------------------
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encoding_is_map_only_and_prunes_columns(spark, sf_dir):
+    params = stats.collect_params(flows(spark, sf_dir), NFV1)
+    plan = plan_of(encode.encode_vectors(flows(spark, sf_dir), params, keep=["flow_id"]))
+    assert "Exchange" not in plan and "Python" not in plan and "transform(" not in plan
+    narrow = plan_of(stats.fit_numeric(flows(spark, sf_dir), ["IN_BYTES"]))
+    assert "ReadSchema: struct<value:double>" in narrow
+
+
+def test_level_ranking_is_limited_before_the_shuffle(spark, sf_dir):
+    plan = plan_of(stats.fit_categorical(flows(spark, sf_dir), NFV1.categorical))
+    assert plan.count("WindowGroupLimit") == 2 and "SinglePartition" not in plan
+
+
+def test_windows_need_one_shuffle_by_chunk(spark, sf_dir):
+    table = order.index_rows(flows(spark, sf_dir), ORDER)
+    plan = plan_of(windows.sliding_windows(table, ["IN_PKTS"], 8))
+    assert plan.count("Exchange hashpartitioning(_chunk") == 1 and "SinglePartition" not in plan
+    assert "OUT_BYTES" not in plan
+
+
+def test_sampling_and_positions_do_not_shuffle_or_cross_join(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    down = plan_of(split.balance_down(f, "flow_id", "Dos_TCP_Flood"))
+    assert "Exchange" not in down
+    for df in (assemble.assemble_flows(packets(spark, sf_dir), 60), order.index_in_groups(f, ["Attack"], ORDER)):
+        plan = plan_of(df)
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
+        assert "SortAggregate" not in plan
