@@ -5,7 +5,7 @@ None of these sends all rows, or all rows of one group, through a single task.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -131,67 +131,71 @@ def hash_key(col, seed: int):
 
 
 def flag_first_by_hash(
-    df: DataFrame, id_col: str, seed: int, quota: int | dict, group: str | None = None,
-    where=None, flag: str = "picked", n_hint: int | None = None,
+    df: DataFrame, id_col: str, seed: int, quota: int | dict | Callable[[dict], dict],
+    group: str | None = None, where: Column | None = None, flag: str = "picked",
+    prefix_digits: int = 4,
 ) -> DataFrame:
     """Flag exactly ``quota`` rows (per value of ``group`` if ``quota`` is a dict): the first ones by
-    (hash of id, id) among the rows satisfying ``where``. Ids must be unique.
+    (hash of id, id) among the rows satisfying ``where``. Ids must be unique. A function as ``quota``
+    gets the number of rows per group.
 
     Counts per hash prefix locate the prefix that holds the last flagged row; only that sliver is
     ranked, which yields a threshold per group. Flagging itself is a map-only comparison, so the
-    table is never shuffled. ``n_hint``, the rough row count, sets the prefix length.
+    table is never shuffled.
     """
     where = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     label = F.col(group).cast("string") if group else F.lit("all")
-    quotas = {str(k): int(v) for k, v in quota.items()} if group else {"all": int(quota)}
-    spark = df.sparkSession
-
     keyed = df.filter(where).select(
         label.alias("_g"), hash_key(id_col, seed).alias("_h"), F.col(id_col).alias("_id")
     )
-    if group:
-        keyed = keyed.filter(F.col("_g").isin(list(quotas)))
-    # about 4096 rows per prefix, at most 16^5 prefixes
-    digits = 4 if n_hint is None else min(max(math.ceil(math.log(max(n_hint, 1) / 4096, 16)), 1), 5)
-    prefix = F.substring("_h", 1, digits)
+    if isinstance(quota, dict):
+        keyed = keyed.filter(F.col("_g").isin([str(k) for k in quota]))
+    prefix = F.substring("_h", 1, prefix_digits)
     counts = keyed.groupBy("_g", prefix.alias("_b")).agg(F.count("*").alias("_n"))
+    if callable(quota):
+        # one scan for the totals and the prefixes
+        counts = materialize(counts, "prefixes")
+        totals = counts.groupBy("_g").agg(F.sum("_n").alias("n")).collect()
+        quota = quota({r["_g"]: r["n"] for r in totals})
+    quotas = {str(k): int(v) for k, v in quota.items()} if isinstance(quota, dict) else {"all": int(quota)}
+
+    thresholds = _hash_thresholds(keyed, counts, prefix, {g: m for g, m in quotas.items() if m > 0})
+    # groups without a threshold have fewer rows than their quota: all are taken
+    full = [g for g, m in quotas.items() if m > 0 and g not in thresholds]
+    limit, limit_id = F.lit(None).cast("string"), F.lit(None).cast(dict(df.dtypes)[id_col])
+    for g, (h, i) in thresholds.items():
+        limit = F.when(F.col("_g") == g, F.lit(h)).otherwise(limit)
+        limit_id = F.when(F.col("_g") == g, F.lit(i)).otherwise(limit_id)
+    below = (F.col("_h") < limit) | ((F.col("_h") == limit) & (F.col(id_col) <= limit_id))
+    picked = where & F.coalesce(below | F.col("_g").isin(full), F.lit(False))
+    hashed = df.withColumns({"_h": hash_key(id_col, seed), "_g": label})
+    return hashed.withColumn(flag, picked).drop("_h", "_g")
+
+
+def _hash_thresholds(
+    keyed: DataFrame, counts: DataFrame, prefix: Column, quotas: dict[str, int]
+) -> dict[str, tuple]:
+    """(hash, id) of the last row within the quota, per group that has so many rows."""
+    spark = keyed.sparkSession
     wanted = F.broadcast(small_table(spark, list(quotas.items()), "_g STRING, _m BIGINT"))
     upto = W.Window.partitionBy("_g").orderBy("_b").rowsBetween(W.Window.unboundedPreceding, 0)
     cuts = (
-        counts.withColumn("_end", F.sum("_n").over(upto))
-        .join(wanted, "_g")
+        counts.join(wanted, "_g")
+        .withColumn("_end", F.sum("_n").over(upto))
         # the prefix in which the m-th row falls
         .filter((F.col("_end") >= F.col("_m")) & (F.col("_end") - F.col("_n") < F.col("_m")))
         .select("_g", "_b", (F.col("_m") - F.col("_end") + F.col("_n")).alias("_need"))
     )
-    cut_rows = {r["_g"]: (r["_b"], r["_need"]) for r in cuts.collect()}
-
-    thresholds = {}
-    if cut_rows:
-        table = F.broadcast(
-            small_table(
-                spark, [(g, b, need) for g, (b, need) in cut_rows.items()],
-                "_g STRING, _b STRING, _need BIGINT",
-            )
-        )
-        ranked = keyed.withColumn("_b", prefix).join(table, ["_g", "_b"]).withColumn(
-            "_rank", F.row_number().over(W.Window.partitionBy("_g", "_b").orderBy("_h", "_id"))
-        )
-        for r in ranked.filter(F.col("_rank") == F.col("_need")).select("_g", "_h", "_id").collect():
-            thresholds[r["_g"]] = (r["_h"], r["_id"])
-
-    h = hash_key(id_col, seed)
-    picked = F.lit(False)
-    for g, m in quotas.items():
-        mine = (label == F.lit(g)) & where
-        if m <= 0:
-            continue
-        if g in thresholds:
-            th, tid = thresholds[g]
-            mine = mine & ((h < th) | ((h == th) & (F.col(id_col) <= F.lit(tid))))
-        # no threshold: the group has fewer than m rows, all are taken
-        picked = picked | mine
-    return df.withColumn(flag, F.coalesce(picked, F.lit(False)))
+    found = [(r["_g"], r["_b"], r["_need"]) for r in cuts.collect()]
+    if not found:
+        return {}
+    table = F.broadcast(small_table(spark, found, "_g STRING, _b STRING, _need BIGINT"))
+    by_hash = W.Window.partitionBy("_g", "_b").orderBy("_h", "_id")
+    ranked = keyed.withColumn("_b", prefix).join(table, ["_g", "_b"]).withColumn(
+        "_rank", F.row_number().over(by_hash)
+    )
+    last = ranked.filter(F.col("_rank") == F.col("_need")).select("_g", "_h", "_id").collect()
+    return {r["_g"]: (r["_h"], r["_id"]) for r in last}
 
 
 def first_rows(df: DataFrame, order: list[str], n: int, index_above: int = 100_000) -> DataFrame:

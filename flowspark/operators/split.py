@@ -33,7 +33,7 @@ def split_random_rows(
     quota = int(n * percent)
     if quota > max(n - window, 0):
         raise ValueError("more evaluation rows asked for than rows after the first window")
-    flagged = flag_first_by_hash(df, idx, seed, quota, where=F.col(idx) >= window, flag="_eval", n_hint=n)
+    flagged = flag_first_by_hash(df, idx, seed, quota, where=F.col(idx) >= window, flag="_eval")
     return flagged.withColumn("training", ~F.col("_eval")).drop("_eval")
 
 
@@ -84,23 +84,18 @@ def index_sets(df: DataFrame, selectable: Column, eval_needs_selectable: bool =
 
 
 # -- balancing -------------------------------------------------------------------------------
-def _two_class_counts(df: DataFrame, label: str, attack: str, benign: str) -> tuple[int, int]:
-    require_columns(df, [label])
-    row = df.agg(
-        F.count_if(F.col(label) == attack).alias("a"), F.count_if(F.col(label) == benign).alias("b")
-    ).first()
-    return row["a"], row["b"]
-
-
 def balance_down(
     df: DataFrame, id_col: str, attack: str, benign: str = "Benign", seed: int = 42,
     label: str = "Attack",
 ) -> DataFrame:
     """Both classes cut to the smaller count by hash rank; rows of other labels vanish."""
-    a, b = _two_class_counts(df, label, attack, benign)
-    target = min(a, b)
+    require_columns(df, [label])
     two = df.filter(F.col(label).isin(attack, benign))
-    flagged = flag_first_by_hash(two, id_col, seed, {attack: target, benign: target}, group=label, n_hint=a + b)
+
+    def smaller(counts: dict[str, int]) -> dict[str, int]:
+        return dict.fromkeys((attack, benign), min(counts.get(attack, 0), counts.get(benign, 0)))
+
+    flagged = flag_first_by_hash(two, id_col, seed, smaller, group=label)
     return flagged.filter("picked").drop("picked")
 
 
@@ -110,16 +105,22 @@ def balance_up(
 ) -> DataFrame:
     """The smaller class repeated target // n times plus target % n rows picked by hash; ``copy``
     numbers the repeats. Rows of other labels vanish."""
-    a, b = _two_class_counts(df, label, attack, benign)
-    if min(a, b) == 0:
-        raise ValueError("both classes need at least one row")
-    target = max(a, b)
+    require_columns(df, [label])
     two = df.filter(F.col(label).isin(attack, benign))
-    extra = {attack: target % a if a < target else 0, benign: target % b if b < target else 0}
-    flagged = flag_first_by_hash(two, id_col, seed, extra, group=label, n_hint=a + b)
-    times = F.when(F.col(label) == attack, F.lit(target // a)).otherwise(F.lit(target // b))
-    copies = times + F.col("picked").cast("int")
-    return flagged.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("picked")
+    times: dict[str, int] = {}
+
+    def remainder(counts: dict[str, int]) -> dict[str, int]:
+        n = {c: counts.get(c, 0) for c in (attack, benign)}
+        if min(n.values()) == 0:
+            raise ValueError("both classes need at least one row")
+        target = max(n.values())
+        times.update({c: target // n[c] for c in n})
+        return {c: target % n[c] for c in n}
+
+    flagged = flag_first_by_hash(two, id_col, seed, remainder, group=label)
+    whole = F.when(F.col(label) == attack, F.lit(times[attack])).otherwise(F.lit(times[benign]))
+    copies = (whole + F.col("picked").cast("int")).cast("int")
+    return flagged.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("picked")
 
 
 def balance(
