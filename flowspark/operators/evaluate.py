@@ -42,9 +42,14 @@ def binary_evaluation(
 
 
 def prediction_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    return df.groupBy(
-        quoted(truth).cast("string").alias("truth"), quoted(predicted).cast("string").alias("predicted")
-    ).agg(F.count("*").alias("n"))
+    """(truth, predicted, n); a missing label counts as the label 'null'."""
+
+    def text(name: str) -> Column:
+        return F.coalesce(quoted(name).cast("string"), F.lit("null"))
+
+    return df.groupBy(text(truth).alias("truth"), text(predicted).alias("predicted")).agg(
+        F.count("*").alias("n")
+    )
 
 
 def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -121,12 +123,14 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def onnx_scorer(path: str, output: int = 0) -> Callable[[], Scorer]:
-    """Scorer for an ONNX file every executor can read; needs ``onnxruntime`` on the workers."""
+    """Scorer for an ONNX file that executors can read, or that was shipped by
+    ``SparkContext.addFile``; needs ``onnxruntime`` on the workers. Inputs come in model order."""
 
     def make() -> Scorer:
         import onnxruntime
 
-        session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+        local = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        session = onnxruntime.InferenceSession(local, providers=["CPUExecutionProvider"])
         names = [i.name for i in session.get_inputs()]
         return lambda arrays: session.run(None, dict(zip(names, arrays)))[output]
 

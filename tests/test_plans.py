@@ -8,7 +8,7 @@ from flowspark.catalog.preparation import raw_flows
 from flowspark.flows import flows, packets
 from flowspark.operators import assemble, encode, order, score, split, stats, windows
 from flowspark.plans import dataset, training
-from flowspark.specs import NFV1
+from flowspark.specs import NAMED_SPECS, NFV1
 
 ORDER = ["ts", "flow_id"]
 
@@ -125,3 +125,18 @@ def test_sampling_and_positions_do_not_shuffle_or_cross_join(spark, sf_dir):
         plan = plan_of(df)
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
         assert "SortAggregate" not in plan
+
+
+def test_whole_path_with_unusual_column_names(spark):
+    spec = NAMED_SPECS["cse_cic_ids_2017"]  # names with spaces, a dot and dashes
+    rows = spark.range(80).withColumns({
+        n: ((F.col("id") * (i + 3)) % 11).cast("double") for i, n in enumerate(spec.include_fields)
+    }).withColumn("Label", F.when(F.col("id") % 3 == 0, "BENIGN").otherwise("DoS"))
+    data = training.load_dataset(rows, ["id"], spec)
+    sets = training.window_sets(data, "Label")
+    assert sets.filter("role = 'train'").count() == 64 - 8 and sets.filter("role = 'eval'").count() == 16 - 8
+    assert len(sets.first()["features"]) == 8 * score.record_width(data.params)
+    inputs = windows.model_inputs(
+        windows.sliding_windows(data.table, spec.features, 8), data.params, ["input_Fwd Header Length.1", "input_Destination Port"]
+    )
+    assert inputs.count() == 73

@@ -102,3 +102,10 @@ def test_score_comparison_statuses(spark):
     assert whole["same_size"] is False and whole["mae"] is None
     one = evaluate.compare_score_sets(left.filter("id = 1"), right.filter("id = 1"), "id").first()
     assert round(one["mae"], 9) == 0.1 and round(one["cosine"], 6) == round(0.74 / (0.82 ** 0.5 * 0.68 ** 0.5), 6)
+
+
+def test_missing_predictions_are_counted(spark):
+    df = spark.createDataFrame([("a", None), ("a", "a")], "t STRING, p STRING")
+    m = {r["truth"]: (r["a"], r["null"]) for r in evaluate.confusion_matrix(df, "t", "p").collect()}
+    assert m == {"a": (1, 1), "null": (0, 0)}
+    assert {r["class"]: r["recall"] for r in evaluate.class_report(df, "t", "p").collect()}["a"] == 0.5
