@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import substring_tree, suffix_array
+from flowspark.llm import ngram_join, substring_tree, suffix_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,7 +50,53 @@ def op4(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op10_suffix_array_dedup")
+LOWER_WORDS = (
+    r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+)
+SHINGLES = f"""
+w AS (SELECT doc_id, coalesce({LOWER_WORDS}, []) AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5
+    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+)"""
+
+
+@query("op5_ngram_jaccard_join", f"""
+WITH RECURSIVE {SHINGLES},
+c AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+t AS (SELECT rep, n, unnest(s) AS g FROM c),
+p AS (
+  SELECT a.rep AS x, b.rep AS y FROM t a JOIN t b ON a.g = b.g AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+r(node, root) AS (SELECT rep, rep FROM c UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.s = s.s AND len(s.s) > 0 LEFT JOIN m ON m.node = c.rep
+""")
+def op5(spark, sf_dir):
+    return ngram_join.similar_documents(documents(spark, sf_dir, "doc_id", "text"), size=5, percent=80)
+
+
+@query("op10_suffix_array_dedup", """
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS x FROM documents),
+n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
+k AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS i FROM n WHERE n >= 200) q),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM k) q WHERE c > 1),
+o AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r),
+s AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM o),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM s GROUP BY doc_id, g),
+f AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM runs),
+t AS (
+  SELECT f.doc_id, string_agg(substr(x, CAST(2 * prev + 1 AS BIGINT), CAST(2 * (a - prev) AS BIGINT)), '' ORDER BY a) AS head,
+    max(b) AS last, sum(b - a) AS gone, count(*) AS spans
+  FROM f JOIN n USING (doc_id) GROUP BY f.doc_id
+)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM n LEFT JOIN t USING (doc_id)
+""")
 def op10(spark, sf_dir):
     out = suffix_array.drop_repeated_bytes(documents(spark, sf_dir, "doc_id", "text"), window=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
