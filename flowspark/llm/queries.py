@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import ngram_join, substring_tree, suffix_array
+from flowspark.llm import decontaminate, language, ngram_join, substring_tree, suffix_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +79,27 @@ def op5(spark, sf_dir):
     return ngram_join.similar_documents(documents(spark, sf_dir, "doc_id", "text"), size=5, percent=80)
 
 
+@query("op7_word_first_language_id")
+def op7(spark, sf_dir):
+    return language.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
+@query("op9_minhash_containment", f"""
+WITH {SHINGLES},
+i AS (SELECT item_id, coalesce({LOWER_WORDS}, []) AS w FROM benchmark),
+b AS (
+  SELECT item_id, list_distinct(CASE WHEN len(w) >= 5
+    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END) AS s FROM i
+)
+SELECT d.doc_id, q.item_id, q.n AS n_item_shingles, count(*) AS n_common
+FROM (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b) q JOIN (SELECT doc_id, unnest(s) AS g FROM s) d ON d.g = q.g
+GROUP BY d.doc_id, q.item_id, q.n HAVING 100 * count(*) >= 80 * q.n
+""")
+def op9(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contained_items(documents(spark, sf_dir, "doc_id", "text"), items, percent=80)
+
+
 @query("op10_suffix_array_dedup", """
 WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS x FROM documents),
 n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
