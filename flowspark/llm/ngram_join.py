@@ -10,8 +10,10 @@ enough of its first slack + n / 20 + 1 tokens also stand among the first tokens
 order. Rare tokens are indexed alone. Frequent ones fall into ``CLASSES`` token classes and are
 indexed as pairs within their class; each class hides one token, so the prefix is extended until
 single tokens and class members less one add up to slack + 1. Small sets, which might not reach
-that, are also indexed by single tokens. 4. Members of an index entry are compared with its first
-member, then only with members that are not yet in the same component. Every comparison is exact.
+that, are also indexed by single tokens. 4. Members of an index entry are compared with its most central
+member, the one with the smallest part of tokens that no other set has. Then members of different
+components are paired, if two bounds allow it: tokens that only one of them has at all, and the bits
+in which their parity sketches differ, both count against the overlap. Every comparison is exact.
 
 Results for odd input: a text of fewer than five words is one shingle; null or blank texts have no
 set and are linked with nothing; rows with the same doc_id count as one document; a component without any
@@ -37,6 +39,7 @@ CLASSES = 32
 # Sets below SINGLES_BELOW are indexed by single tokens, from PAIRS_FROM on by the classes: one below
 # PAIRS_FROM has no similar set of SINGLES_BELOW or more, and every set from PAIRS_FROM on reaches its cover.
 PAIRS_FROM, SINGLES_BELOW = 42, 53
+SKETCH = 8  # longs of a parity sketch
 
 
 def slack(n: int, percent: int) -> int:
@@ -50,6 +53,13 @@ def _set_name(tokens: np.ndarray) -> tuple[int, int]:
     return int(h1.view(np.int64)), int(h2.view(np.int64))
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each of 64 * SKETCH bins. Two sets differ in at least as many
+    tokens as their sketches in bits."""
+    bins = np.bincount((tokens % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bins.astype(np.uint8)).view(np.int64)
+
+
 def shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n (set size), h1 and h2 (name of the set), prefix (first tokens in hash order)."""
     schema = "doc_id bigint, n int, h1 bigint, h2 bigint, prefix array<bigint>"
@@ -102,12 +112,12 @@ def classes_in_search(sets: DataFrame) -> DataFrame:
 
 
 def class_tokens(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, n, tokens) of the wanted classes."""
+    """(node, n, tokens, sketch) of the wanted classes."""
     rows = sets.select("doc_id", "h1", "h2").join(wanted, ["h1", "h2"])
     # one document of each class
     chosen = rows.groupBy("node", "h1", "h2").agg(F.min("doc_id").alias("id"))
     texts = docs.select("doc_id", "text").join(chosen, docs["doc_id"].eqNullSafe(chosen["id"]))
-    schema = "node bigint, n int, tokens array<bigint>"
+    schema = "node bigint, n int, tokens array<bigint>, sketch array<bigint>"
 
     def run(batches):
         for batch in batches:
@@ -129,11 +139,12 @@ def class_tokens(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int)
                         pa.array([node for node, _ in found], pa.int64()),
                         pa.array(np.diff(ends), pa.int32()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens)),
+                        pa.array([_sketch(t) for _, t in found], pa.list_(pa.int64())),
                     ],
-                    names=["node", "n", "tokens"],
+                    names=["node", "n", "tokens", "sketch"],
                 )
 
-    return texts.select("node", "h1", "h2", "text").mapInArrow(run, schema).dropDuplicates(["node", "n", "tokens"])
+    return texts.select("node", "h1", "h2", "text").mapInArrow(run, schema).dropDuplicates(["node", "n", "sketch", "tokens"])
 
 
 def entries_of(n: int, counts: np.ndarray, tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -161,7 +172,7 @@ def entries_of(n: int, counts: np.ndarray, tokens: np.ndarray, percent: int) ->
 
 
 def index_entries(tokens: DataFrame, percent: int) -> DataFrame:
-    """(entry, node, n) for the classes of ``tokens``, entries of one class left out."""
+    """(entry, node, n, alone) for the classes of ``tokens``; alone counts the tokens of no other set."""
     by_token = Window.partitionBy("token")
     shared = (
         tokens.select("node", "n", F.explode("tokens").alias("token"))
@@ -169,7 +180,7 @@ def index_entries(tokens: DataFrame, percent: int) -> DataFrame:
         .filter("sets > 1")
         .groupBy("node", "n").agg(F.collect_list(F.struct("sets", "token")).alias("shared"))
     )
-    schema = "entry bigint, node bigint, n int"
+    schema = "entry bigint, node bigint, n int, alone int"
 
     def run(batches):
         for batch in batches:
@@ -185,8 +196,9 @@ def index_entries(tokens: DataFrame, percent: int) -> DataFrame:
                         [
                             pa.array(found.view(np.int64)), pa.array(np.full(len(found), node)),
                             pa.array(np.full(len(found), n, np.int32)),
+                            pa.array(np.full(len(found), n - (ends[k + 1] - ends[k]), np.int32)),
                         ],
-                        names=["entry", "node", "n"],
+                        names=["entry", "node", "n", "alone"],
                     )
 
     return shared.mapInArrow(run, schema)
@@ -204,36 +216,51 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _sizes_fit(a: str, b: str, percent: int) -> Column:
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+def _may_link(percent: int, other: str = "2") -> Column:
+    """False for pairs that sizes and lone tokens rule out: an upper bound of the overlap is too small."""
+    a, b = (F.col(f"n{x}") - F.col(f"alone{x}") for x in ("", other))
+    most = F.least(a, b)
+    return most * 100 >= (F.col("n") + F.col(f"n{other}") - most) * percent
+
+
+def _sketches_fit(percent: int) -> Column:
+    bits = F.lit(0)
+    for k in range(SKETCH):
+        bits = bits + F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch2")[k]))
+    total = F.col("n") + F.col("n2")
+    return (total - bits) * (100 + percent) >= total * (2 * percent)
 
 
 def similar_classes(tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect all similar classes, and their components (node, root)."""
     entries = materialize(index_entries(tokens, percent), "entries")
     by_entry = Window.partitionBy("entry")
+    central = F.struct((F.col("alone") / F.col("n")).alias("part"), "node", "n", "alone")
     hub = (
-        entries.withColumn("hub", F.min(F.struct("node", "n")).over(by_entry))
-        .select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("node").alias("b"), "n")
-        .filter((F.col("a") != F.col("b")) & _sizes_fit("na", "n", percent))
-        .select("a", "b").distinct()
+        entries.withColumn("hub", F.min(central).over(by_entry))
+        .select(
+            F.col("hub.node").alias("a"), F.col("hub.n").alias("n2"), F.col("hub.alone").alias("alone2"),
+            F.col("node").alias("b"), "n", "alone",
+        )
+        .filter((F.col("a") != F.col("b")) & _may_link(percent))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     links = materialize(verified(hub, tokens, percent), "links")
     found = components(links, "a", "b")
     placed = (
         entries.join(found, "node", "left")
-        .select("entry", "node", "n", F.coalesce("root", "node").alias("root"))
+        .select("entry", "node", "n", "alone", F.coalesce("root", "node").alias("root"))
         .withColumn("low", F.min("root").over(by_entry))
         .withColumn("high", F.max("root").over(by_entry))
-        .filter("low <> high")
+        .filter("low <> high").drop("low", "high")
+        .join(tokens.select("node", "sketch"), "node")
     )
-    placed = materialize(placed.drop("low", "high"), "placed")
-    other = placed.select("entry", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "root")))
+    placed = materialize(placed, "placed")
+    other = placed.select("entry", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "alone", "root", "sketch")))
     rest = (
         placed.join(other, "entry")
-        .filter((F.col("root") < F.col("root2")) & _sizes_fit("n", "n2", percent))
-        .select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-        .join(hub.select("a", "b"), ["a", "b"], "left_anti")
+        .filter((F.col("root") < F.col("root2")) & _may_link(percent) & _sketches_fit(percent))
+        .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     )
     more = materialize(verified(rest, tokens, percent), "links")
     links = links.unionByName(more)
