@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowspark.llm import decontaminate, language, ngram_join, substring_tree, suffix_array
+from flowspark.llm import (
+    decontaminate, language, line_templates, mixing, ngram_join, quality, sharding, substring_tree, suffix_array,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +33,52 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 
+@query("op1_sainte_lague_mixing")
+def op1(spark, sf_dir):
+    out = mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_log_template_lines", r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL
+),
+t AS (
+  SELECT doc_id, text, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+    lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS tokens FROM l
+),
+s AS (SELECT *, CAST(len(tokens) AS VARCHAR) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM t WHERE len(tokens) > 0),
+d AS (SELECT DISTINCT leaf, tokens, doc_id, text FROM s),
+v AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, text FROM d) q GROUP BY leaf HAVING count(*) >= 10),
+b AS (SELECT leaf, tokens, count(*) AS docs FROM d JOIN v USING (leaf) GROUP BY leaf, tokens),
+k AS (SELECT leaf, tokens, docs, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS pos FROM b),
+f AS (SELECT leaf, pos, token FROM k GROUP BY leaf, pos, token HAVING sum(docs) >= 10 AND token <> '<*>'),
+m AS (
+  SELECT k.leaf, k.tokens, string_agg(coalesce(f.token, '<*>'), ' ' ORDER BY k.pos) AS template
+  FROM k LEFT JOIN f ON f.leaf = k.leaf AND f.pos = k.pos AND f.token = k.token GROUP BY k.leaf, k.tokens
+  HAVING 100 * count(f.token) >= 60 * count(*)
+),
+o AS (
+  SELECT leaf, template FROM (SELECT DISTINCT d.leaf, m.template, d.doc_id, d.text FROM d JOIN m ON m.leaf = d.leaf AND m.tokens = d.tokens) q
+  GROUP BY leaf, template HAVING count(*) >= 10
+),
+g AS (SELECT DISTINCT m.leaf, m.tokens FROM m JOIN o ON o.leaf = m.leaf AND o.template = m.template),
+x AS (SELECT s.doc_id, s.pos FROM s JOIN g ON g.leaf = s.leaf AND g.tokens = s.tokens)
+SELECT q.doc_id, CAST(count(q.pos) AS BIGINT) AS n_lines, CAST(count(x.pos) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(q.line, chr(10) ORDER BY q.pos) FILTER (WHERE x.pos IS NULL), '')) AS kept_sha256
+FROM l q LEFT JOIN x ON x.doc_id = q.doc_id AND x.pos = q.pos GROUP BY q.doc_id
+""")
+def op2(spark, sf_dir):
+    out = line_templates.drop_recurring_lines(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_balanced_label_propagation")
+def op3(spark, sf_dir):
+    return sharding.shard_documents(documents(spark, sf_dir, "doc_id", "text"), shards=40)
+
+
 @query("op4_prefix_suffix_trees", f"""
 WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
@@ -79,11 +129,55 @@ def op5(spark, sf_dir):
     return ngram_join.similar_documents(documents(spark, sf_dir, "doc_id", "text"), size=5, percent=80)
 
 
+@query("op6_rule_bitmask_ledger", f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce({WORDS}, []) AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+),
+g AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+r AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n FROM g
+  ) q WHERE n > 1
+),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) q GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN c USING (doc_id)
+),
+f AS (
+  SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT
+    + 4 * (word_chars > 15 * n_words)::INT + 8 * (word_chars < 2 * n_words)::INT
+    + 16 * (100 * n_symbols > 30 * word_chars)::INT + 32 * (100 * n_dup_lines > 50 * n_lines)::INT AS BIGINT) AS fail_bits
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+""")
+def op6(spark, sf_dir):
+    out = quality.judge(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "fail_bits",
+    )
+
+
 @query("op7_word_first_language_id")
 def op7(spark, sf_dir):
     return language.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+@query("op8_count_only_viterbi")
+def op8(spark, sf_dir):
+    return token_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query("op9_minhash_containment", f"""
 WITH {SHINGLES},
 i AS (SELECT item_id, coalesce({LOWER_WORDS}, []) AS w FROM benchmark),
