@@ -285,3 +285,16 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def drop_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: that of the doc_id which names it. Rows without a set
+    stay. Rows with one doc_id count as one document; a row without doc_id is known by its text and gives
+    way to rows with one."""
+    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn("_key", F.coalesce("doc_id", unnamed))
+    found = similar_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), size, percent)
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))
+    kept = keyed.join(stay, "_key", "left_semi").withColumn("_nth", first).filter("_nth = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
