@@ -3,8 +3,9 @@
 Every window of ``window`` units (words or bytes) picks one *anchor*: the start of the ``gram``-unit
 string with the smallest hash inside it, the leftmost of equals. Equal windows pick the same anchor,
 so only suffixes that start at an anchor need to be dealt out, about 2 in ``window - gram`` positions.
-Windows of one document with the same anchor form a *stretch*: starts ``lo`` to ``hi``, text
-``lo`` to ``hi + window``. Stretches partition the windows of a document.
+Consecutive windows of one document with equal anchor strings form a *stretch*: starts ``lo`` to
+``hi``, text ``lo`` to ``hi + window``. Stretches partition the windows of a document; a periodic text is
+one long stretch, which may repeat itself (``own``).
 
 One shuffle by anchor decides most stretches: an anchor seen once repeats nothing, stretches with the
 same text repeat as a whole. Only different stretches with the same anchor need their text, one copy
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from flowspark.llm.text import (
     mix, prefix_sums, range_hash, row_chunks, texts_of, word_bounds, word_hashes,
 )
-from flowspark.session import materialize
+from flowspark.llm.scratch import materialize
 
 PIECE = 1 << 19  # units per array step; longer texts are cut into pieces that share window - 1 units
 _INDEX_BITS = np.uint64(24)
@@ -49,11 +50,12 @@ class Units:
 
 
 def stretches(units: np.ndarray, window: int, gram: int, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, lo, hi, anchor hash, text hash) of every stretch; lo and hi count from 0 in units."""
+    """(text number, lo, hi, anchor hash, text hash, own) of every stretch; lo and hi count from 0 in units."""
     n_starts = len(units) - window + 1
     empty = np.zeros(0, np.int64)
+    none = empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool)
     if n_starts <= 0:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return none
     sums = prefix_sums(units)
     at = np.arange(len(units) - gram + 1)
     grams = range_hash(sums, at, at + gram)
@@ -70,13 +72,15 @@ def stretches(units: np.ndarray, window: int, gram: int, bounds: np.ndarray) ->
     inside = np.arange(n_starts) + window <= bounds[text + 1]
     starts = np.flatnonzero(inside)
     if len(starts) == 0:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return none
     a, t = anchor[starts], text[starts]
+    g = grams[a]
     new = np.ones(len(starts), bool)
-    new[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1]) | (starts[1:] != starts[:-1] + 1)
-    lo = starts[new]
-    hi = np.append(starts[np.flatnonzero(new)[1:] - 1], starts[-1])
-    return t[new], lo, hi, grams[a[new]], range_hash(sums, lo, hi + window)
+    new[1:] = (g[1:] != g[:-1]) | (t[1:] != t[:-1]) | (starts[1:] != starts[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:] - 1, len(starts) - 1)
+    lo, hi = starts[first], starts[last]
+    return t[first], lo, hi, g[first], range_hash(sums, lo, hi + window), a[first] != a[last]
 
 
 def _pieces(units: np.ndarray, bounds: np.ndarray, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -97,7 +101,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def find_stretches(docs: DataFrame, units: Units) -> DataFrame:
     """One row per stretch of ``docs`` (doc_id, crc, text)."""
-    schema = "doc_id bigint, crc bigint, lo int, hi int, anchor bigint, body bigint"
+    schema = "doc_id bigint, crc bigint, lo int, hi int, anchor bigint, body bigint, own boolean"
 
     def run(batches):
         for batch in batches:
@@ -105,7 +109,7 @@ def find_stretches(docs: DataFrame, units: Units) -> DataFrame:
             for first, last in row_chunks(bounds):
                 found, offsets = units.of(data, bounds[first : last + 1])
                 for text, start, part, cut in _pieces(found, offsets, units.window):
-                    t, lo, hi, anchor, body = stretches(part, units.window, units.gram, cut)
+                    t, lo, hi, anchor, body, own = stretches(part, units.window, units.gram, cut)
                     if len(t) == 0:
                         continue
                     rows = pa.array(t + text + first)
@@ -114,17 +118,17 @@ def find_stretches(docs: DataFrame, units: Units) -> DataFrame:
                         [
                             batch.column("doc_id").take(rows), batch.column("crc").take(rows),
                             pa.array((lo + base).astype(np.int32)), pa.array((hi + base).astype(np.int32)),
-                            pa.array(_signed(anchor)), pa.array(_signed(body)),
+                            pa.array(_signed(anchor)), pa.array(_signed(body)), pa.array(own),
                         ],
-                        names=["doc_id", "crc", "lo", "hi", "anchor", "body"],
+                        names=["doc_id", "crc", "lo", "hi", "anchor", "body", "own"],
                     )
 
     return docs.select("doc_id", "crc", "text").mapInArrow(run, schema)
 
 
 def repeated_stretches(found: DataFrame) -> DataFrame:
-    """Stretches whose anchor occurs again, with ``copies`` (stretches of the same text), ``kinds``
-    (different texts with the anchor, at least) and ``first`` (true for one copy of each text)."""
+    """Stretches that may repeat, with ``copies`` (stretches of the same text), ``kinds`` (different
+    texts with the anchor) and ``compare`` (its text is needed to decide its or another's windows)."""
     same = Window.partitionBy("anchor", "body")
     alike = Window.partitionBy("anchor")
     return (
@@ -133,9 +137,10 @@ def repeated_stretches(found: DataFrame) -> DataFrame:
         .withColumn("nth", F.row_number().over(same.orderBy("doc_id", "crc", "lo")))
         .withColumn("total", F.count("*").over(alike))
         .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(alike))
-        .filter("total > 1")
-        .withColumn("first", F.col("nth") == 1)
-        .drop("nth", "total")
+        .withColumn("open", F.min("copies").over(alike) == 1)
+        .filter("total > 1 OR own")
+        .withColumn("compare", F.expr("nth = 1 AND open AND (kinds > 1 OR own)"))
+        .drop("nth", "total", "open", "own")
     )
 
 
@@ -286,7 +291,7 @@ def repeated_spans(
     b exclusive. ``docs`` has doc_id, text and crc."""
     hits = materialize(repeated_stretches(find_stretches(docs, units)), "stretches")
     whole = hits.filter("copies > 1").select("doc_id", "crc", "lo", "hi")
-    mixed = hits.filter("first AND kinds > 1")
+    mixed = hits.filter("compare")
     texts = materialize(stretch_texts(docs, mixed, units), "stretch-texts")
     parts = compare_stretches(texts.filter(F.col("kinds") <= wide_group), units, compare)
     wide = count_windows(texts.filter(F.col("kinds") > wide_group), units)

@@ -91,27 +91,31 @@ def _induce_arrays(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, ends:
 
 def _induce_lists(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The same for many small buckets."""
-    t, small = text.tolist(), s_type.tolist()
-    out = [-1] * len(t)
+    n, t = len(text), text.tolist()
+    before = np.append(-1, text[:-1])
+    # bucket of the place before, where that is an L (or S) suffix; the last entry serves empty places
+    larger = np.append(np.where(np.append(True, s_type[:-1]), -1, before), -1).tolist()
+    smaller = np.append(np.where(np.append(False, s_type[:-1]), before, -1), -1).tolist()
+    out = [-1] * n
     tails = ends.tolist()
     for p in reversed(lms.tolist()):
         c = t[p]
         tails[c] -= 1
         out[tails[c]] = p
     heads = np.append(0, ends[:-1]).tolist()
-    for i in range(len(out)):
-        p = out[i] - 1
-        if p >= 0 and not small[p]:
-            c = t[p]
-            out[heads[c]] = p
-            heads[c] += 1
+    for p in out:  # sees what the loop itself puts further on
+        c = larger[p]
+        if c >= 0:
+            h = heads[c]
+            out[h] = p - 1
+            heads[c] = h + 1
     tails = ends.tolist()
-    for i in range(len(out) - 1, -1, -1):
-        p = out[i] - 1
-        if p >= 0 and small[p]:
-            c = t[p]
-            tails[c] -= 1
-            out[tails[c]] = p
+    for p in reversed(out):
+        c = smaller[p]
+        if c >= 0:
+            h = tails[c] - 1
+            out[h] = p - 1
+            tails[c] = h
     return np.array(out, np.int64)
 
 
