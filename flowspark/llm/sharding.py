@@ -1,8 +1,8 @@
 """Sharding (3): balanced label propagation.
 
-Documents start in shards by hash. In each round the members of a group of linked documents count where
-the group already is; its strongest shard becomes the wish of all members (ties by a hash of group and
-shard, so a group agrees). Wishes are granted under quotas: as many documents may go from shard i to j
+Documents start in shards by hash. In each round the members of a group of linked documents are counted
+by shard; the strongest shard with places left becomes the wish of all members in weaker ones (ties by a
+hash of group and shard, so a group agrees). Wishes are granted under quotas: as many documents may go from shard i to j
 as want to go from j to i, and the free places of j are shared among all that want them. Which ones
 go is decided by a hash of document and round. A final deal makes the sizes exact: each shard keeps its
 documents up to its capacity, linked ones first, and what is over fills the places left elsewhere.
@@ -19,11 +19,12 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.operators.order import PART, POS, order_rows
-from flowspark.session import materialize, small_table
+from flowspark.llm.scratch import materialize
+from flowspark.session import small_table
 
 ROUNDS = 5
 
@@ -41,28 +42,34 @@ def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUND
     spark = linked.sparkSession
     linked = materialize(linked, "labels")
     keys = [c for c in linked.columns if c not in ("group", "weight", "shard")]
+    strength = F.struct("n", F.xxhash64("group", "shard").alias("h"), "shard")
     for step in range(rounds):
-        tally = linked.groupBy("group", "shard").agg(F.sum("weight").alias("n"))
-        best = tally.groupBy("group").agg(
-            F.max(F.struct("n", F.xxhash64("group", "shard").alias("h"), "shard")).alias("b")
-        ).select(F.col("group").alias("_g"), F.col("b.shard").alias("wish"))
-        wishes = materialize(
-            linked.join(best, linked["group"] == best["_g"]).drop("_g"), "wishes"
+        tally = materialize(linked.groupBy("group", "shard").agg(F.sum("weight").alias("n")), "tally")
+        found = tally.groupBy("shard").agg(F.sum("n").alias("n")).collect()
+        load = [0] * shards
+        for r in found:
+            load[r["shard"]] = r["n"]
+        # a group fills its strongest shard that has places left and leaves those that are stronger alone
+        open_shards = [s for s in range(shards) if load[s] < capacity]
+        best = F.max(F.when(F.col("shard").isin(open_shards), strength)).over(Window.partitionBy("group"))
+        wishes = tally.withColumn("_best", best).filter(F.col("_best") > strength).select(
+            F.col("group").alias("_g"), F.col("shard").alias("_s"), "n", F.col("_best.shard").alias("wish")
         )
-        # shards * shards numbers
-        flow = {(r["shard"], r["wish"]): r["n"] for r in wishes.groupBy("shard", "wish").agg(F.sum("weight").alias("n")).collect()}
-        moves = {k: n for k, n in flow.items() if k[0] != k[1]}
+        # at most shards * shards numbers
+        moves = {(r["_s"], r["wish"]): r["n"] for r in wishes.groupBy("_s", "wish").agg(F.sum("n").alias("n")).collect()}
         if not moves:
             return linked
-        load = [sum(n for (i, _), n in flow.items() if i == s) for s in range(shards)]
-        wanted = [sum(n for (i, j), n in moves.items() if j == s) for s in range(shards)]
+        wanted = [sum(n for (_, j), n in moves.items() if j == s) for s in range(shards)]
         share = []
         for (i, j), n in moves.items():
             swap = min(n, moves.get((j, i), 0))
             free = max(0, capacity - load[j]) * n / wanted[j]
             share.append((i, j, min(1.0, (swap + free) / n)))
-        quotas = small_table(spark, share, "shard INT, wish INT, share DOUBLE")
-        moved = wishes.join(F.broadcast(quotas), ["shard", "wish"], "left").withColumn(
+        quotas = small_table(spark, share, "_s INT, wish INT, share DOUBLE")
+        granted = wishes.drop("n").join(F.broadcast(quotas), ["_s", "wish"])
+        moved = linked.join(
+            granted, (linked["group"] == granted["_g"]) & (linked["shard"] == granted["_s"]), "left"
+        ).withColumn(
             "shard", F.when(_unit(F.lit(step), *keys) < F.col("share"), F.col("wish")).otherwise(F.col("shard"))
         )
         linked = materialize(moved.select(*keys, "group", "weight", "shard"), "labels")
