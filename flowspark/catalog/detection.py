@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from flowspark.catalog.base import FLOWS, ORDER, WINDOW, encoded_sql, params_sql, query
 from flowspark.catalog.preparation import ASSEMBLED, GAP_S, comparable
+from flowspark.catalog.splits import ROLES
 from flowspark.catalog.windowing import COLS, KEYED_MEMBERS, encoded_windows
 from flowspark.flows import flows, packets
-from flowspark.operators import encode, evaluate, score, stats, windows
+from flowspark.operators import encode, evaluate, score, stats
 from flowspark.plans import training
 from flowspark.plans.detection import alert_sink, detect_stream, detect_table, table_sink
 from flowspark.session import scratch_path
 from flowspark.settings import VerdictSettings
 from flowspark.sources import readers, writers
 from flowspark.specs import NFV1
-from flowspark.streaming.flows import assemble_flows_stream
+from flowspark.streaming.flows import assemble_flows_stream, drain, send_tick, tick_stream
 from flowspark.streaming.windows import WindowFeed, sliding_windows_stateful
 
 
@@ -35,22 +35,21 @@ def ddl(df) -> str:
 
 @query("a3_assemble_flows_stream", ASSEMBLED)
 def _assemble_flows_stream(spark, sf_dir):
-    path, out, state = (scratch_path(spark, n) for n in ("packets", "flows", "state"))
+    path, ticks, out, state = (scratch_path(spark, n) for n in ("packets", "ticks", "flows", "state"))
     pk = packets(spark, sf_dir)
+    first, last = pk.agg(F.min("ts"), F.max("ts")).first()
+    send_tick(spark, ticks, first)
 
-    def run(last):
-        if last:
-            # something newer than every session closes them all
-            end = pk.agg(F.max("ts").alias("t")).select((F.col("t") + F.expr("INTERVAL 3 DAYS")).alias("ts"))
-            end.select(*[F.col("ts") if c == "ts" else F.lit("-" if c.endswith("ip") else 0).cast(t).alias(c) for c, t in pk.dtypes]) \
-                .write.mode("append").parquet(path)
+    def run(ended):
+        if ended:
+            drain(spark, ticks, last, GAP_S + 60)
         live = readers.stream_records(spark, path, ddl(pk))
-        found = assemble_flows_stream(live, f"{GAP_S} seconds", "1 minute")
+        found = assemble_flows_stream(live, f"{GAP_S} seconds", "1 minute", tick_stream(spark, ticks))
         q = found.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
         q.awaitTermination()
 
     arrive_in_parts(pk, path, run)
-    return comparable(spark.read.parquet(out).filter("src_ip <> '-'"))
+    return comparable(spark.read.parquet(out))
 
 
 @query("w13_stream_windows", KEYED_MEMBERS)
@@ -170,53 +169,104 @@ def _alerts_stream(spark, sf_dir):
     return found.withColumn("attack_probability", F.round("attack_probability", 5))
 
 
-# -- model fitting (no SQL equivalent) -----------------------------------------------------------
-@query("m1_m3_train_and_evaluate")
+# -- detection with a model ------------------------------------------------------------------------
+# Fixed weights: scaled numbers and the first level of two categoricals; every other weight is 0.
+WEIGHTS = {"OUT_BYTES": 2.0, "IN_PKTS": -1.0, "PROTOCOL": 0.5, "L7_PROTO": -0.7}
+INTERCEPT = -0.3
+
+
+def stored_model(params):
+    """A logistic model with ``WEIGHTS`` in the order of a record vector."""
+    weights = [WEIGHTS.get(f, 0.0) for f in params.numerical]
+    for f, p in params.categorical.items():
+        weights += [WEIGHTS.get(f, 0.0), *[0.0] * (p.n_levels - 1)]
+    return score.stored_logistic(weights, INTERCEPT)
+
+
+def linear_sql(alias: str) -> str:
+    terms = [f"{w} * {alias}.{f}" if f in NFV1.numerical else f"{w} * CASE WHEN {alias}.{f} = 1 THEN 1 ELSE 0 END" for f, w in WEIGHTS.items()]
+    return " + ".join(terms)
+
+
+MODEL_VERDICTS = f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, flow_id) - 1 AS idx FROM ({FLOWS}) q), {params_sql('f')},
+ e AS ({encoded_sql('f', ['user_id', 'idx', 'flow_id'])}),
+ w AS (SELECT x.user_id, x.idx, x.flow_id, 1 / (1 + exp(-({INTERCEPT} + avg({linear_sql('r')})))) AS m
+  FROM e x JOIN e r ON r.user_id = x.user_id AND r.idx BETWEEN x.idx - {WINDOW - 1} AND x.idx
+  WHERE x.idx >= {WINDOW - 1} GROUP BY x.user_id, x.idx, x.flow_id)
+SELECT user_id, flow_id, CASE WHEN m > 1 - m THEN 'Attack' ELSE 'Benign' END AS label, round(greatest(m, 1 - m), 5) AS confidence, m > 1 - m AS is_attack FROM w"""
+
+
+@query("m9_detect_with_model", MODEL_VERDICTS)
+def _detect_with_model(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    params = stats.collect_params(f, NFV1)
+    model = score.model_score(stored_model(params), params, "mean", window=WINDOW)
+    return judged_columns(detect_table(f, params, model, SETTINGS, ORDER, ["flow_id"], WINDOW, "user_id"))
+
+
+@query("m9_detect_with_model_stream", MODEL_VERDICTS)
+def _detect_with_model_stream(spark, sf_dir):
+    path, out, state = (scratch_path(spark, n) for n in ("flows", "verdicts", "state"))
+    f = flows(spark, sf_dir)
+    params = stats.collect_params(f, NFV1)
+    model = score.model_score(stored_model(params), params, "mean", window=WINDOW)
+
+    def run(last):
+        live = readers.stream_records(spark, path, ddl(f))
+        detect_stream(
+            live, params, model, SETTINGS, ORDER, ["flow_id"], table_sink(out), state, WINDOW, "user_id"
+        ).awaitTermination()
+
+    arrive_in_parts(f, path, run, parts=2)
+    return judged_columns(spark.read.parquet(out))
+
+
+# -- model fitting: the fitted weights have no SQL equivalent, what is scored and counted has ---------------
+@query(
+    "m1_m3_train_and_evaluate",
+    f"""WITH e AS (SELECT Attack FROM ({ROLES}) q WHERE role = 'eval' AND idx >= {WINDOW - 1})
+    SELECT Attack AS class, count(*) AS support FROM e GROUP BY Attack
+    UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT count(*) FROM e)""",
+)
 def _train_and_evaluate(spark, sf_dir):
     data = training.load_dataset(flows(spark, sf_dir), ORDER)
-    _, report, _ = training.train_and_evaluate(data, pooling="last", hidden=(16,), max_iter=30)
-    return report
+    _, report, _ = training.train_and_evaluate(data)
+    return report.select("class", "support")
 
 
-@query("m2_m3_binary_classifier")
+@query(
+    "m2_m3_binary_classifier",
+    f"""SELECT count(*) FILTER (WHERE Attack <> 'Benign') AS "P", count(*) FILTER (WHERE Attack = 'Benign') AS "N", count(*) AS n_scored
+    FROM ({ROLES}) q WHERE role = 'eval' AND idx >= {WINDOW - 1}""",
+)
 def _binary_classifier(spark, sf_dir):
     data = training.load_dataset(flows(spark, sf_dir), ORDER)
-    sets = training.window_sets(data, pooling="last")
-    model = score.fit_binary_classifier(sets.filter("role = 'train'"), max_iter=10)
-    return evaluate.binary_evaluation(score.score_positive(sets.filter("role = 'eval'"), model))
+    model = score.fit_binary_classifier(training.binary_batches(data))
+    found = evaluate.binary_evaluation(score.score_positive(training.window_sets(data, role="eval"), model))
+    return found.select("P", "N", (F.col("pred_P") + F.col("pred_N")).alias("n_scored"))
 
 
-@query("m4_score_single_flows")
+@query(
+    "m4_score_single_flows",
+    f"""WITH f AS ({FLOWS}), {params_sql('f')}, e AS ({encoded_sql('f', ['flow_id', 'Attack'])})
+    SELECT flow_id, Attack, round(1 / (1 + exp(-({INTERCEPT} + {linear_sql('e')}))), 6) AS score FROM e""",
+)
 def _score_single_flows(spark, sf_dir):
     f = flows(spark, sf_dir)
     params = stats.collect_params(f, NFV1)
     codes = encode.encode_codes(f, params, keep=["flow_id", "Attack"])
     vectors = score.flow_vectors(codes, params, keep=["flow_id", "Attack"])
-    model = score.fit_binary_classifier(vectors, max_iter=10)
-    return score.score_positive(vectors, model).drop("features")
-
-
-def protocol_share():
-    """A batch scorer over two one-hot inputs of shape (batch, window, width): how often the top
-    protocol or the top application occurs."""
-
-    def run(inputs):
-        hits = inputs[0][:, :, 0].sum(axis=1) + inputs[1][:, :, 0].sum(axis=1)
-        p = hits / (2 * inputs[0].shape[1])
-        return np.stack([1 - p, p], axis=1)
-
-    return run
+    return score.score_positive(vectors, stored_model(params)).select("flow_id", "Attack", F.round("score", 6).alias("score"))
 
 
 @query(
     "m3_score_in_batches",
     f"""WITH f AS (SELECT *, row_number() OVER (ORDER BY ts, flow_id) - 1 AS idx FROM ({FLOWS}) q), {params_sql('f')}, e AS ({encoded_sql('f', ['idx'])})
-    SELECT x.idx, sum(CASE WHEN r.PROTOCOL = 1 THEN 1 ELSE 0 END + CASE WHEN r.L7_PROTO = 1 THEN 1 ELSE 0 END) / 16.0 AS attack_score
+    SELECT x.idx, round(1 / (1 + exp(-({INTERCEPT} + avg({linear_sql('r')})))), 6) AS attack_score
     FROM e x JOIN e r ON r.idx BETWEEN x.idx - 7 AND x.idx WHERE x.idx >= 7 GROUP BY x.idx""",
 )
 def _score_in_batches(spark, sf_dir):
     found, params = encoded_windows(spark, sf_dir)
-    names = ["input_PROTOCOL", "input_L7_PROTO"]
-    inputs = windows.model_inputs(found, params, names, keep=["idx"])
-    scored = score.score_with(inputs, protocol_share, names, ["idx"])
-    return scored.select("idx", F.col("scores")[1].alias("attack_score"))
+    vectors = score.window_vectors(found, params, "mean", keep=["idx"], window=WINDOW)
+    scored = score.score_positive(vectors, stored_model(params))
+    return scored.select("idx", F.round("score", 6).alias("attack_score"))

@@ -83,21 +83,28 @@ def _one_hot(spark, sf_dir):
     return vec.select("flow_id", *[bits(quoted(c)).alias(c) for c in NFV1.categorical])
 
 
-OBSERVED_FEATURES = ["PROTOCOL", "L7_PROTO"]
+# levels of the flow view, at most 32 of them fitted
+LEVELS = {"L4_SRC_PORT": 32, "L4_DST_PORT": 28, "PROTOCOL": 3, "L7_PROTO": 5, "TCP_FLAGS": 32}
 
 
-@query(
-    "e7_one_hot_observed",
-    f"{ENCODED} SELECT flow_id, "
-    + ", ".join(f"CASE WHEN PROTOCOL = {i} THEN 1 ELSE 0 END AS PROTOCOL_{i}" for i in (1, 2, 3))
-    + ", " + ", ".join(f"CASE WHEN L7_PROTO = {i} THEN 1 ELSE 0 END AS L7_PROTO_{i}" for i in (1, 2, 3, 4, 5))
-    + " FROM e",
-)
+def indicators_sql(start: int) -> str:
+    """One 0/1 column per feature and level code; names count from ``start``."""
+    return ", ".join(
+        f"CASE WHEN {f} = {i + 1} THEN 1 ELSE 0 END AS {f}_{i + start}" for f, n in LEVELS.items() for i in range(n)
+    )
+
+
+def observed_sql() -> str:
+    """The same where an unknown level has the code of the first one."""
+    return indicators_sql(1).replace("CASE WHEN ", "CASE WHEN greatest(").replace(" = ", ", 1) = ")
+
+
+@query("e7_one_hot_observed", f"{ENCODED} SELECT flow_id, {observed_sql()} FROM e")
 def _one_hot_observed(spark, sf_dir):
     f, params = fitted(spark, sf_dir)
     codes = encode.encode_codes(f, params, keep=["flow_id"], unknown=UNKNOWN_FIRST)
-    codes = codes.select("flow_id", *OBSERVED_FEATURES)
-    wide = encode.one_hot_observed(codes, stats.observed_codes(codes, OBSERVED_FEATURES))
+    codes = codes.select("flow_id", *NFV1.categorical)
+    wide = encode.one_hot_observed(codes, stats.observed_codes(codes, NFV1.categorical))
     return wide.select("flow_id", *[F.col(c).cast("int").alias(c) for c in wide.columns if c != "flow_id"])
 
 
@@ -123,16 +130,12 @@ def _one_hot_fixed(spark, sf_dir):
 
 @query(
     "e9_preprocess_table",
-    f"{ENCODED} SELECT flow_id, "
-    + ", ".join(f"round({f}, 4) AS {f}" for f in NFV1.numerical)
-    + ", " + ", ".join(f"CASE WHEN PROTOCOL = {i + 1} THEN 1 ELSE 0 END AS PROTOCOL_{i}" for i in range(3))
-    + ", " + ", ".join(f"CASE WHEN TCP_FLAGS = {i + 1} THEN 1 ELSE 0 END AS TCP_FLAGS_{i}" for i in range(32))
-    + " FROM e",
+    f"{ENCODED} SELECT flow_id, {', '.join(f'round({f}, 4) AS {f}' for f in NFV1.numerical)}, {indicators_sql(0)} FROM e",
 )
 def _preprocess_table(spark, sf_dir):
     f, params = fitted(spark, sf_dir)
     wide = encode.preprocess_table(f, params, drop_original=True)
-    hot = [f"PROTOCOL_{i}" for i in range(3)] + [f"TCP_FLAGS_{i}" for i in range(32)]
+    hot = [f"{c}_{i}" for c in NFV1.categorical for i in range(params.categorical[c].n_levels)]
     numbers = [F.round(F.col(c).cast("double"), 4).alias(c) for c in NFV1.numerical]
     return wide.select("flow_id", *numbers, *[F.col(c).cast("int").alias(c) for c in hot])
 
@@ -140,6 +143,15 @@ def _preprocess_table(spark, sf_dir):
 DIMS = {"L4_SRC_PORT": 40, "L4_DST_PORT": 32, "PROTOCOL": 4, "L7_PROTO": 16, "TCP_FLAGS": 10}
 
 
+def fitted_code_sql(f: str, row: str = "r") -> str:
+    """Position (from 1) of a code of ``row`` in a vector of width DIMS, 0 for none; needs ``WIDTHS``."""
+    n, x = f"n.n_{f}", f"{row}.{f}"
+    return (
+        f"(CASE WHEN {x} BETWEEN 1 AND least({n}, {DIMS[f]}) THEN {x} "
+        f"WHEN {x} = 0 AND {n} < {DIMS[f]} THEN {n} + 1 ELSE 0 END)"
+    )
+
+
 def fitted_sql(f: str, expected: int, flag: bool) -> str:
     n = f"n_{f}"
     at = f"CASE WHEN {f} BETWEEN 1 AND least({n}, {expected}) THEN {f} "

@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowspark.catalog.base import (
-    FLOWS, INDEXED, ORDER, encoded_sql, params_sql, query, rounded_features, rounded_features_sql,
+    FLOWS, INDEXED, ORDER, WINDOW, encoded_sql, params_sql, query, rounded_features, rounded_features_sql,
 )
+from flowspark.catalog.encoding import DIMS, WIDTHS, fitted_code_sql
 from flowspark.catalog.windowing import CODES, encoded_windows
 from flowspark.flows import flows
 from flowspark.operators import encode, stats, windows
-
+from flowspark.operators.order import index_rows
 from flowspark.schemas import NFV1_SCHEMA, FittedParams
 from flowspark.session import scratch_path
 from flowspark.sources import cache, readers, tensors, writers
@@ -70,14 +71,20 @@ def _labelled_files(spark, sf_dir):
     return stats.label_distribution(readers.read_labelled(spark, files)).drop("percent")
 
 
-@query("s5_glob_merge", f"SELECT {RECORDS_SQL} FROM ({FLOWS}) q")
+@query(
+    "s5_glob_merge",
+    f"""SELECT {RECORDS_SQL}, row_number() OVER (ORDER BY CASE PROTOCOL WHEN 1 THEN 1 WHEN 17 THEN 2 ELSE 3 END, ts, flow_id) - 1 AS place
+    FROM ({FLOWS}) q""",
+)
 def _glob_merge(spark, sf_dir):
+    # one file a protocol, rows in time order; names sort as 1, 17, 6
     root = scratch_path(spark, "glob")
-    f = flows(spark, sf_dir).select(*RECORDS)
+    f = flows(spark, sf_dir)
     for protocol in (1, 6, 17):
-        writers.write_csv(f.filter(F.col("PROTOCOL") == protocol), f"{root}/converted_{protocol}.csv")
+        part = f.filter(F.col("PROTOCOL") == protocol).repartitionByRange(2, *ORDER).sortWithinPartitions(*ORDER)
+        writers.write_csv(part.select(*RECORDS), f"{root}/converted_{protocol}.csv")
     merged = readers.read_glob(spark, f"{root}/converted*.csv")
-    return merged.drop(*readers.FILE_ORDER)
+    return index_rows(merged, readers.FILE_ORDER, "place").drop(*readers.FILE_ORDER)
 
 
 @query("s7_rotating_files", "SELECT count(*) AS n_rows, true AS within_limit FROM events")
@@ -112,26 +119,36 @@ def _preprocess_cache(spark, sf_dir):
     return table.select("flow_id", "Attack", *rounded_features())
 
 
-MESSAGE_INPUTS = ["input_OUT_BYTES", "input_PROTOCOL"]
+# all model inputs at fixed widths
+MESSAGE_INPUTS = [f"input_{f}" for f in NFV1.features]
+COUNTS = [WINDOW * DIMS.get(f, 1) for f in NFV1.features]
 
 
 def messages(spark, sf_dir):
     found, params = encoded_windows(spark, sf_dir)
-    inputs = windows.model_inputs(found, params, MESSAGE_INPUTS, {"PROTOCOL": 4}, keep=["idx"])
+    inputs = windows.model_inputs(found, params, MESSAGE_INPUTS, DIMS, keep=["idx"])
     # sequence numbers start at 1
-    return tensors.tensor_messages(inputs, MESSAGE_INPUTS, F.col("idx") - 6, max_bytes=4096)
+    return tensors.tensor_messages(inputs, MESSAGE_INPUTS, F.col("idx") - 6, max_bytes=MESSAGE_BYTES)
+
+
+MESSAGE_BYTES = 8192
 
 
-PROTOCOL_BITS = "concat_ws(',', " + ", ".join(
-    f"CASE WHEN {('r.PROTOCOL = %d' % i) if i < 4 else 'r.PROTOCOL = 0'} THEN '1000' ELSE '0' END" for i in (1, 2, 3, 4)
-) + ")"
+def payload_sql(f: str) -> str:
+    """Thousandths of a number, or the digits of a one-hot vector, for all rows of a window."""
+    if f in NFV1.numerical:
+        value = f"CAST(CAST(round(r.{f} * 1000) AS BIGINT) AS VARCHAR)"
+    else:
+        value = f"array_to_string(list_transform(range(1, {DIMS[f]} + 1), lambda i: CASE WHEN i = {fitted_code_sql(f)} THEN '1000' ELSE '0' END), ',')"
+    return f"string_agg({value}, ',' ORDER BY r.idx)"
 
 
 @query(
     "s9_tensor_messages",
-    f"""{CODES} SELECT x.idx - 6 AS seq, 1 AS version, 2 AS n_inputs, 40 AS total_floats, '8,32' AS elem_counts,
-    string_agg(CAST(CAST(round(r.OUT_BYTES * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY r.idx) || ',' || string_agg({PROTOCOL_BITS}, ',' ORDER BY r.idx) AS payload
-    FROM e x JOIN e r ON r.idx BETWEEN x.idx - 7 AND x.idx WHERE x.idx >= 7 GROUP BY x.idx""",
+    f"""{CODES}, n AS (SELECT {WIDTHS})
+    SELECT x.idx - 6 AS seq, 1 AS version, {len(COUNTS)} AS n_inputs, {sum(COUNTS)} AS total_floats, '{','.join(map(str, COUNTS))}' AS elem_counts,
+    {" || ',' || ".join(payload_sql(f) for f in NFV1.features)} AS payload
+    FROM e x JOIN e r ON r.idx BETWEEN x.idx - 7 AND x.idx CROSS JOIN n WHERE x.idx >= 7 GROUP BY x.idx""",
 )
 def _tensor_messages(spark, sf_dir):
     m = messages(spark, sf_dir)
@@ -156,10 +173,10 @@ def _validate_messages(spark, sf_dir):
     broken = m.withColumns({
         "version": F.when(s % 11 == 0, 2).otherwise(F.col("version")),
         "n_inputs": F.when(s % 13 == 0, 3).otherwise(F.col("n_inputs")),
-        "elem_counts": F.when(s % 17 == 0, F.array(F.lit(8), F.lit(24))).otherwise(F.col("elem_counts")),
+        "elem_counts": F.when(s % 17 == 0, F.array(*[F.lit(n + 1) for n in COUNTS])).otherwise(F.col("elem_counts")),
         "total_floats": F.when(s % 19 == 0, 41).otherwise(F.col("total_floats")),
     })
-    checked = tensors.validate_messages(broken, [8, 32], 4096)
+    checked = tensors.validate_messages(broken, COUNTS, MESSAGE_BYTES)
     bad = checked.filter("reject_reason IS NOT NULL").select("seq", F.col("reject_reason").alias("outcome"))
     # every message twice: the copies collapse
     good = tensors.accepted_messages(checked.unionByName(checked)).select("seq", F.lit("accepted").alias("outcome"))

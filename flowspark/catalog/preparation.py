@@ -9,7 +9,7 @@ from flowspark.flows import flows, packets
 from flowspark.operators import prepare, stats
 from flowspark.operators.assemble import assemble_flows
 from flowspark.operators.order import first_rows
-from flowspark.schemas import CategoricalParams, FittedParams, NumericParams
+from flowspark.schemas import NFV1_SCHEMA, CategoricalParams, FittedParams, NumericParams
 from flowspark.specs import NFV1
 
 NFV1_TYPES = (
@@ -125,10 +125,18 @@ def _keyword_filter(spark, sf_dir):
     return prepare.drop_rows_containing(docs, "99", "SSH").select("doc_id", "lang", "source")
 
 
-@query("p8_keyword_filter_flows", f"SELECT flow_id, L7_PROTO, IPV4_DST_ADDR FROM (SELECT flow_id, L7_PROTO, IPV4_DST_ADDR, L4_SRC_PORT FROM ({FLOWS}) q) r WHERE NOT (L7_PROTO LIKE '%view%' OR IPV4_DST_ADDR LIKE '%.77%' OR CAST(flow_id AS VARCHAR) LIKE '%.77%')")
+def holds_sql(keyword: str) -> str:
+    texts = [c for c in FLOW_COLUMNS if c != "ts"]
+    return " OR ".join(f"coalesce(CAST({c} AS VARCHAR) LIKE '%{keyword}%', false)" for c in texts)
+
+
+# every column of the flow view but the time, whose text differs between engines
+FLOW_COLUMNS = ["flow_id", *[part.split()[0] for part in NFV1_SCHEMA.split(", ")], "user_id"]
+
+
+@query("p8_keyword_filter_flows", f"SELECT {', '.join(FLOW_COLUMNS)} FROM ({FLOWS}) r WHERE NOT ({holds_sql('view')} OR {holds_sql('.77')})")
 def _keyword_filter_flows(spark, sf_dir):
-    f = flows(spark, sf_dir).select("flow_id", "L7_PROTO", "IPV4_DST_ADDR")
-    return prepare.drop_rows_containing(f, "view", ".77")
+    return prepare.drop_rows_containing(flows(spark, sf_dir).select(*FLOW_COLUMNS), "view", ".77")
 
 
 @query("p9_first_rows", f"SELECT flow_id, L4_SRC_PORT, Attack FROM ({FLOWS}) q ORDER BY ts, flow_id LIMIT 300")

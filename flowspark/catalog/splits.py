@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowspark.catalog.base import FLOWS, INDEXED, WINDOW, indexed_flows, query
+from flowspark.catalog.base import FLOWS, INDEXED, ORDER, WINDOW, indexed_flows, query
 from flowspark.flows import flows
 from flowspark.operators import split, stats
-from flowspark.operators.order import shuffle_rows
+from flowspark.operators.order import index_and_count, shuffle_rows
 
 N = "(SELECT count(*) FROM events)"
 EVAL_N = f"CAST(floor({N} * 0.2) AS BIGINT)"
@@ -15,8 +15,7 @@ LAST = f"SELECT *, idx < {N} - {EVAL_N} AS training FROM ({INDEXED}) i"
 
 
 def last_split(spark, sf_dir):
-    rows = indexed_flows(spark, sf_dir)
-    n = rows.count()
+    rows, n = index_and_count(flows(spark, sf_dir), ORDER)
     return split.split_last_rows(rows, 0.2, n), n
 
 
@@ -141,13 +140,23 @@ def positions_sql(roles: str, cls: str) -> str:
     )
 
 
-def plan_sql(roles: str, cls: str, shares: dict[str, int], pos: str) -> str:
+def shares_sql(shares: dict[str, int]) -> str:
+    """(c, m, f): class, rows per batch and first slot."""
     first, rows = 0, []
     for c, m in shares.items():
         rows.append(f"('{c}', {m}, {first})")
         first += m
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) v(c, m, f)"
+
+
+# classes in order of first appearance; the last one takes the rest of the batch
+CLASS_SHARES = f"""SELECT c, CASE WHEN k = n - 1 THEN {BATCH} - (n - 1) * ({BATCH} // n) ELSE {BATCH} // n END AS m, k * ({BATCH} // n) AS f
+ FROM (SELECT Attack AS c, row_number() OVER (ORDER BY min(idx)) - 1 AS k, count(*) OVER () AS n FROM ({INDEXED}) z GROUP BY Attack) y"""
+
+
+def plan_sql(roles: str, cls: str, shares: str, pos: str) -> str:
     return f"""WITH p AS ({positions_sql(roles, cls)}),
-    s AS (SELECT v.c AS class, v.m, v.f, (SELECT max(n) FROM p WHERE p.class = v.c) AS n FROM (VALUES {', '.join(rows)}) v(c, m, f)),
+    s AS (SELECT v.c AS class, v.m, v.f, (SELECT max(n) FROM p WHERE p.class = v.c) AS n FROM ({shares}) v),
     plan AS (SELECT step, f + k AS slot, class, m, n, k FROM s, generate_series(0, {STEPS} - 1) a(step), generate_series(0, {BATCH}) b(k) WHERE k < m)
     SELECT plan.step, plan.slot, plan.class, p.idx FROM plan JOIN p ON p.class = plan.class AND p.pos = {pos}"""
 
@@ -159,12 +168,11 @@ def number_sql(text: str) -> str:
     return f"CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)"
 
 
-CLASS_SHARES = {"Benign": 10, "Dos_TCP_Flood": 10, "Dos_UDP_flood": 12}
-BINARY_SHARES = {"malicious": 16, "benign": 16}
+BINARY_SHARES = shares_sql({"malicious": 16, "benign": 16})
 
 
-def _class_order(spark, sf_dir):
-    return sorted(r["class"] for r in stats.class_codes(flows(spark, sf_dir)).collect())
+def _class_order(rows):
+    return [r["class"] for r in stats.class_lists(rows).orderBy("position").collect()]
 
 
 def _steps(rows):
@@ -198,8 +206,8 @@ def _batches_binary_random(spark, sf_dir):
 
 @query("x11_batches_multiclass", plan_sql(ROLES, "Attack", CLASS_SHARES, SEQUENTIAL))
 def _batches_multiclass(spark, sf_dir):
-    shares = split.batch_shares(_class_order(spark, sf_dir), BATCH)
     rows = multiclass_roles(spark, sf_dir)
+    shares = split.batch_shares(_class_order(rows), BATCH)
     return split.plan_batches(split.class_positions(rows, "Attack"), shares, _steps(rows))
 
 
@@ -208,8 +216,8 @@ MULTI_RANDOM = f"{number_sql('''concat('42-', CAST(plan.step AS STRING), '-', CA
 
 @query("x11_batches_multiclass_random", plan_sql(ROLES, "Attack", CLASS_SHARES, MULTI_RANDOM))
 def _batches_multiclass_random(spark, sf_dir):
-    shares = split.batch_shares(_class_order(spark, sf_dir), BATCH)
     rows = multiclass_roles(spark, sf_dir)
+    shares = split.batch_shares(_class_order(rows), BATCH)
     return split.plan_batches(
         split.class_positions(rows, "Attack"), shares, _steps(rows), mode="replace"
     )

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from flowspark.catalog.base import (
     FLOWS, INDEXED, ORDER, WINDOW, encoded_sql, indexed_flows, micros, params_sql, query,
 )
-from flowspark.catalog.encoding import DIMS
+from flowspark.catalog.encoding import DIMS, WIDTHS, fitted_code_sql
 from flowspark.catalog.splits import ROLES, multiclass_roles, number_sql
 from flowspark.flows import flows
 from flowspark.functions.numeric import int_div
 from flowspark.operators import encode, score, stats, windows
-from flowspark.operators.order import index_in_groups, index_rows
+from flowspark.operators.order import index_in_groups, subset_positions
 from flowspark.specs import NFV1
 
 COLS = ["flow_id", "OUT_BYTES", "L7_PROTO"]
@@ -112,19 +112,18 @@ def _padded_windows(spark, sf_dir):
     FROM i, generate_series(0, 3) g(b) WHERE idx >= (SELECT count(*) - {WINDOW} FROM i)""",
 )
 def _last_window(spark, sf_dir):
-    return members(windows.edge_window(indexed_flows(spark, sf_dir), COLS, WINDOW, batch=4), "b")
+    return members(windows.edge_window(flows(spark, sf_dir), COLS, WINDOW, batch=4, order=ORDER), "b")
 
 
 @query("w5_first_window", f"SELECT CAST(0 AS INT) AS b, CAST(idx AS INT) AS pos, flow_id, OUT_BYTES, L7_PROTO FROM ({INDEXED}) q WHERE idx < {WINDOW}")
 def _first_window(spark, sf_dir):
-    return members(windows.edge_window(indexed_flows(spark, sf_dir), COLS, WINDOW, from_end=False, strict=True), "b")
+    return members(windows.edge_window(flows(spark, sf_dir), COLS, WINDOW, from_end=False, strict=True, order=ORDER), "b")
 
 
 @query("w6_windows_at_eval_rows", members_sql("SELECT idx FROM i WHERE role = 'eval'", source=ROLES))
 def _windows_at_eval_rows(spark, sf_dir):
     roles = multiclass_roles(spark, sf_dir)
-    slid = windows.sliding_windows(roles, COLS, WINDOW)
-    return members(windows.windows_at(slid, roles.filter("role = 'eval'")), "idx")
+    return members(windows.windows_at(roles, roles.filter("role = 'eval'"), COLS, WINDOW), "idx")
 
 
 CONTEXT_BATCH = 32
@@ -141,10 +140,11 @@ CONTEXT = f"""WITH i AS ({ROLES}),
 @query("w7_random_context", CONTEXT)
 def _random_context(spark, sf_dir):
     roles = multiclass_roles(spark, sf_dir)
-    targets = index_rows(roles.filter("role = 'eval'").select("idx"), ["idx"], "ordinal")
-    context = index_rows(roles.filter("training").select("idx"), ["idx"], "pos")
+    # rows are indexed once; positions among the targets and the training rows follow from counts
+    targets = subset_positions(roles.filter("role = 'eval'").select("role", "idx"), ["role"], pos="ordinal").drop("role")
+    context = subset_positions(roles.filter("training").select("training", "idx"), ["training"]).drop("training")
     out = windows.random_context_windows(
-        targets, context, roles, COLS, context.count(), WINDOW, CONTEXT_BATCH, 42
+        targets, context, roles, COLS, roles.filter("training").count(), WINDOW, CONTEXT_BATCH, 42
     )
     return members(out, "idx")
 
@@ -197,16 +197,22 @@ def _feature_wise(spark, sf_dir):
     )
 
 
-INPUT_NAMES = ["input_OUT_BYTES", "input_PROTOCOL", "input_L7_PROTO", "input_IN_PKTS"]
+# every input, categoricals at fixed widths
+INPUT_NAMES = [f"input_{f}" for f in NFV1.features]
+
+
+def input_sql(f: str) -> str:
+    if f in NFV1.numerical:
+        return f'{joined_sql(f"CAST(round(r.{f} * 10000) AS BIGINT)")} AS "input_{f}"'
+    at = fitted_code_sql(f)
+    digits = f"CASE WHEN {at} = 0 THEN repeat('0', {DIMS[f]}) ELSE repeat('0', CAST({at} - 1 AS INT)) || '1' || repeat('0', CAST({DIMS[f]} - {at} AS INT)) END"
+    return f"string_agg({digits}, ',' ORDER BY r.idx) AS \"input_{f}\""
 
 
 @query(
     "w9_model_inputs",
-    per_window_sql(
-        f"{joined_sql('CAST(round(r.OUT_BYTES * 10000) AS BIGINT)')} AS \"input_OUT_BYTES\", {joined_sql('CAST(round(r.IN_PKTS * 10000) AS BIGINT)')} AS \"input_IN_PKTS\", "
-        f"string_agg(CASE WHEN r.PROTOCOL = 0 THEN '0001' ELSE repeat('0', r.PROTOCOL - 1) || '1' || repeat('0', 4 - r.PROTOCOL) END, ',' ORDER BY r.idx) AS \"input_PROTOCOL\", "
-        f"string_agg(repeat('0', r.L7_PROTO - 1) || '1' || repeat('0', 16 - r.L7_PROTO), ',' ORDER BY r.idx) AS \"input_L7_PROTO\""
-    ),
+    f"{CODES}, n AS (SELECT {WIDTHS}) SELECT x.idx AS idx, {', '.join(input_sql(f) for f in NFV1.features)} "
+    f"FROM e x JOIN e r ON r.idx BETWEEN x.idx - {WINDOW - 1} AND x.idx CROSS JOIN n WHERE x.idx >= {WINDOW - 1} GROUP BY x.idx",
 )
 def _model_inputs(spark, sf_dir):
     found, params = encoded_windows(spark, sf_dir)
@@ -221,12 +227,9 @@ def _model_inputs(spark, sf_dir):
     def vector(v):
         return F.array_join(F.transform(v, lambda x: x.cast("int").cast("string")), "")
 
-    return inputs.select(
-        "idx", rows("input_OUT_BYTES", number), rows("input_IN_PKTS", number),
-        rows("input_PROTOCOL", vector), rows("input_L7_PROTO", vector),
-    )
-
-
+    return inputs.select("idx", *[
+        rows(f"input_{f}", number if f in NFV1.numerical else vector) for f in NFV1.features
+    ])
 
 
 @query(

@@ -64,11 +64,6 @@ def verdict(
     p = binary_probability(F.get(vec, F.lit(0)))
     two = labels if len(labels) == 2 else [benign_label, "Attack"]
     hit = p >= threshold
-    single = _pack(
-        F.lit("binary"), hit.cast("int"), F.when(hit, two[1]).otherwise(two[0]),
-        F.when(hit, p).otherwise(1.0 - p), F.greatest(p, 1.0 - p), hit,
-        F.when(hit, two[1]), p,
-    )
 
     cls = arg_max(vec)
     top = F.array_max(vec)
@@ -79,22 +74,23 @@ def verdict(
         name = F.when(size == len(labels), F.get(F.array(*[F.lit(str(v)) for v in labels]), cls))
     benign = benign_index(size, labels, benign_label, benign_class_index)
     attack = F.when(benign.isNull(), best >= threshold).otherwise(cls != benign)
-    several = _pack(
-        F.when(size > 2, "multiclass").otherwise("binary-2class"), cls, name, confidence, best,
-        attack, F.when(attack, F.coalesce(name, cls.cast("string"))), confidence,
-    )
-
     zero = F.lit(0.0)
-    empty = _pack(F.lit("unknown"), F.lit(0), none, zero, zero, F.lit(False), none, zero)
-    return F.when(size == 0, empty).when(size == 1, single).otherwise(several)
-
-
-def _pack(task, cls, label, confidence, best, attack, kind, probability) -> Column:
-    return F.struct(
-        task.alias("task_type"), cls.alias("predicted_class"), label.alias("predicted_label"),
-        confidence.alias("confidence"), best.alias("max_probability"), attack.alias("is_attack"),
-        kind.alias("attack_type"), probability.alias("attack_probability"),
-    ).cast(VERDICT_TYPE)
+    # one CASE per field, so that fields nobody reads are not computed
+    fields = {
+        "task_type": (F.lit("unknown"), F.lit("binary"), F.when(size > 2, "multiclass").otherwise("binary-2class")),
+        "predicted_class": (F.lit(0), hit.cast("int"), cls),
+        "predicted_label": (none, F.when(hit, two[1]).otherwise(two[0]), name),
+        "confidence": (zero, F.when(hit, p).otherwise(1.0 - p), confidence),
+        "max_probability": (zero, F.greatest(p, 1.0 - p), best),
+        "is_attack": (F.lit(False), hit, attack),
+        "attack_type": (none, F.when(hit, two[1]), F.when(attack, F.coalesce(name, cls.cast("string")))),
+        "attack_probability": (zero, p, confidence),
+    }
+    types = dict(f.split(":") for f in VERDICT_TYPE[len("struct<") : -1].split(","))
+    return F.struct(*[
+        F.when(size == 0, empty).when(size == 1, single).otherwise(several).cast(types[n]).alias(n)
+        for n, (empty, single, several) in fields.items()
+    ])
 
 
 def max_score_alert(scores: Column, threshold: float = 0.5) -> Column:

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from flowspark.operators.order import PART, POS, order_rows
-from flowspark.session import small_table
-
 # Bit per TCP flag.
 FLAG_BITS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32}
 
@@ -85,56 +80,47 @@ def direction_sums() -> list[Column]:
     ]
 
 
+# Width of a time bucket in idle timeouts.
+BUCKET_TIMEOUTS = 8
+
+
 def assemble_flows(
-    packets: DataFrame, idle_timeout_s: float = 1.0, partitions: int | None = None
+    packets: DataFrame, idle_timeout_s: float = 1.0, bucket_s: float | None = None
 ) -> DataFrame:
     """Bidirectional flows: a silence longer than the idle timeout starts a new flow; the source is
     the sender of the first packet.
 
-    Packets are sorted globally by (conversation, time, id), so one hot conversation spans many
-    tasks. Each part looks back one row; what crosses a part boundary (the last packet, the running
-    flow) is one row per part.
+    Packets are put into sessions inside (conversation, time bucket) first, so a hot conversation is
+    split by time. Only the first and last session of a bucket can go on in another bucket; these few
+    are merged per conversation. One shuffle of the packets, one of the edge sessions.
     """
     timeout_us = int(round(idle_timeout_s * 1_000_000))
-    key = F.struct(*KEY)
-    tail = F.max_by(F.struct(key.alias("key"), "us"), POS).alias("tail")
-    order = order_rows(
-        with_conversation(packets).drop("ts"), [*KEY, "us", "packet_id"], partitions, [tail]
+    width_us = int(round((bucket_s or BUCKET_TIMEOUTS * idle_timeout_s) * 1_000_000)) or 1
+    rows = with_conversation(packets).drop("ts").withColumn("_bucket", F.floor(F.col("us") / width_us))
+    in_bucket = W.Window.partitionBy(*KEY, "_bucket")
+    by_time = in_bucket.orderBy("us", "packet_id")
+    gap = F.coalesce(F.col("us") - F.lag("us").over(by_time) > timeout_us, F.lit(True))
+    sofar = by_time.rowsBetween(W.Window.unboundedPreceding, 0)
+    marked = rows.withColumn("_gap", gap.cast("int")).withColumn("_session", F.sum("_gap").over(sofar))
+    # a session's first packet is the one after the gap
+    first = F.max(F.when(F.col("_gap") == 1, F.col("forward"))).alias("first_forward")
+    partial = marked.groupBy(*KEY, "_bucket", "_session").agg(first, *direction_sums())
+    last = F.max("_session").over(in_bucket)
+    edge = partial.withColumn("_edge", (F.col("_session") == 1) | (F.col("_session") == last))
+
+    by_start = W.Window.partitionBy(*KEY).orderBy("_bucket", "_session")
+    silent = F.coalesce(F.col("first_us") - F.lag("last_us").over(by_start) > timeout_us, F.lit(True))
+    upto = by_start.rowsBetween(W.Window.unboundedPreceding, 0)
+    chained = edge.filter("_edge").withColumn("_silent", silent.cast("int")).withColumn(
+        "_flow", F.sum("_silent").over(upto)
     )
-    rows = order.indexed()
-
-    tails = {p: (r["tail"]["key"], r["tail"]["us"]) for p, r in order.per_part.items()}
-    parts = sorted(order.first_idx)
-    before = {p: tails[q] for q, p in zip(parts, parts[1:])}
-    # the previous part's last packet, one row per part
-    types = dict(rows.dtypes)
-    fields = [f"_tail_{c} {types[c]}" for c in [*KEY, "us"]]
-    tail_table = small_table(
-        packets.sparkSession, [(p, *k, us) for p, (k, us) in before.items()],
-        ", ".join([f"{PART} INT", *fields]),
-    )
-    in_part = W.Window.partitionBy(PART).orderBy(POS)
-    tail_key = F.struct(*[F.col(f"_tail_{c}").alias(c) for c in KEY])
-    linked = rows.join(F.broadcast(tail_table), PART, "left").withColumns({
-        "_prev_key": F.when(F.col(POS) == 0, tail_key).otherwise(F.lag(key).over(in_part)),
-        "_prev_us": F.when(F.col(POS) == 0, F.col("_tail_us")).otherwise(F.lag("us").over(in_part)),
-    })
-    # without a previous packet _prev_us is NULL
-    starts = ~F.col("_prev_key").eqNullSafe(key) | F.coalesce(
-        F.col("us") - F.col("_prev_us") > timeout_us, F.lit(True)
-    )
-    marked = linked.withColumn("_start", F.when(starts, F.col("idx")))
-
-    latest = {r[PART]: r["s"] for r in marked.groupBy(PART).agg(F.max("_start").alias("s")).collect()}
-    running = list(accumulate((latest[p] for p in parts), lambda a, b: a if b is None else b))
-    carry = dict(zip(parts[1:], running))
-    sofar = in_part.rowsBetween(W.Window.unboundedPreceding, 0)
-    session = F.coalesce(F.max("_start").over(sofar), F.col("_carry"))
-    labelled = marked.join(
-        F.broadcast(order.part_table(carry, "_carry", "BIGINT")), PART, "left"
-    ).withColumn("session", session)
-
-    # a session's first packet is the row that starts it
-    first = F.max(F.when(F.col("_start").isNotNull(), F.col("forward"))).alias("first_forward")
-    grouped = labelled.groupBy("session", *KEY).agg(first, *direction_sums())
-    return grouped.select(*flow_columns(F.col("first_forward")))
+    first = F.max(F.when(F.col("_silent") == 1, F.col("first_forward"))).alias("first_forward")
+    merged = chained.groupBy(*KEY, "_flow").agg(first, *merged_sums()).drop("_flow")
+    inner = edge.filter("NOT _edge").select(*merged.columns)
+    return merged.unionByName(inner).select(*flow_columns(F.col("first_forward")))
+
+
+def merged_sums() -> list[Column]:
+    """``direction_sums`` of partial sessions."""
+    sums = [F.sum(c).alias(c) for c in ("f_pkts", "b_pkts", "f_bytes", "b_bytes")]
+    return [*sums, F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.bit_or("tcp_flags").alias("tcp_flags")]

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from flowspark.functions.numeric import quoted
 from flowspark.functions.verdict import array_std, is_finite
 from flowspark.operators.stats import is_positive
-from flowspark.session import small_table
+from flowspark.session import fetch_small, small_table
+
+# Labels that may become columns of a confusion matrix.
+MAX_LABELS = 300
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -53,8 +56,11 @@ def prediction_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Precision, recall, F1 and support per class, then accuracy and the two averages."""
+    """Precision, recall, F1 and support per class, then accuracy and the two averages. The counts are
+    fetched once; a label column with very many values stays distributed."""
     cells = prediction_counts(df, truth, predicted)
+    small = fetch_small(cells)
+    cells = cells if small is None else small
     sides = cells.select(
         F.inline(
             F.array(
@@ -109,11 +115,18 @@ def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def confusion_matrix(
     df: DataFrame, truth: str, predicted: str, labels: list[str] | None = None
 ) -> DataFrame:
-    """Rows true, columns predicted labels in sorted order (found from the counts when not given)."""
+    """Rows true, columns predicted labels in sorted order (found from the counts when not given; more than
+    ``MAX_LABELS`` are an error, as they become columns). One scan: the counts are fetched once."""
     cells = prediction_counts(df, truth, predicted)
+    small = fetch_small(cells, MAX_LABELS * MAX_LABELS)
+    if small is None:
+        raise ValueError(f"a confusion matrix holds at most {MAX_LABELS} labels")
+    cells = small
     if labels is None:
         found = cells.select(F.inline(F.array(F.struct(F.col("truth").alias("l")), F.struct(F.col("predicted").alias("l"))))).distinct()
-        labels = sorted(r["l"] for r in found.collect())
+        labels = sorted(r["l"] for r in found.limit(MAX_LABELS + 1).collect())
+        if len(labels) > MAX_LABELS:
+            raise ValueError(f"a confusion matrix holds at most {MAX_LABELS} labels")
     labels = [str(v) for v in labels]
     wide = cells.groupBy("truth").pivot("predicted", labels).agg(F.sum("n"))
     names = small_table(df.sparkSession, [(v,) for v in labels], "truth STRING")

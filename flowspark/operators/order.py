@@ -40,6 +40,12 @@ class OrderedRows:
         """Delete the written rows once nothing reads them any more."""
         remove_path(self.rows.sparkSession, self.path)
 
+    def __enter__(self) -> OrderedRows:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.release()
+
     def part_table(self, values: dict[int, object], name: str, dtype: str) -> DataFrame:
         """A lookup table with one value per part."""
         return small_table(self.rows.sparkSession, sorted(values.items()), f"{PART} INT, {name} {dtype}")
@@ -50,21 +56,30 @@ class OrderedRows:
         return joined.withColumn(idx, F.col("_first") + F.col(POS)).drop("_first")
 
 
-# Estimated input bytes per range of a global sort, and the most ranges Spark's bounded sample of the
-# order keys still splits evenly.
+# Estimated input bytes per range of a global sort. Spark samples at most a million order keys, so beyond
+# some ten thousand ranges they become less even, by about the root of ranges / million.
 PART_BYTES = 256 * 1024 * 1024
-MAX_PARTS = 50_000
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Estimated bytes that the plan reads: the sum over its leaves, whatever is joined on top."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        size = int(str(leaves.next().stats().sizeInBytes()))
+        if size >= 1 << 60:
+            return None
+        total += size
+    return total
 
 
 def parts_for(df: DataFrame) -> int:
-    """One range per core, or more when the input's estimated size asks for it."""
+    """One range per core, or more when the size of the input asks for it."""
     spark = df.sparkSession
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fewest = min(configured, spark.sparkContext.defaultParallelism)
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate >= 1 << 60:  # unknown
-        return configured
-    return min(max(fewest, -(-estimate // PART_BYTES)), MAX_PARTS)
+    size = input_bytes(df)
+    return configured if size is None else max(fewest, -(-size // PART_BYTES))
 
 
 def order_rows(
@@ -101,6 +116,12 @@ def index_rows(
     return order_rows(df, order, partitions).indexed(idx).drop(PART, POS)
 
 
+def index_and_count(df: DataFrame, order: list[str], idx: str = "idx") -> tuple[DataFrame, int]:
+    """``index_rows`` and the number of rows, which the index knows."""
+    ordered = order_rows(df, order)
+    return ordered.indexed(idx).drop(PART, POS), ordered.n
+
+
 def rank_rows(df: DataFrame, order: list[str], idx: str) -> DataFrame:
     """``index_rows`` for a table that is usually tiny (classes, labels): ranked locally when it
     is, by range otherwise."""
@@ -124,6 +145,32 @@ def index_in_groups(
     return joined.withColumn(pos, F.col("_gidx") - F.col("_start")).drop("_gidx", "_start")
 
 
+# Rows of the index that one step of ``subset_positions`` numbers together.
+SUBSET_CHUNK = 1 << 16
+
+
+def subset_positions(
+    df: DataFrame, groups: list[str], idx: str = "idx", pos: str = "pos"
+) -> DataFrame:
+    """The 0-based position of each row among the rows of its group, in index order, for a table that
+    has been indexed already and then filtered.
+
+    Rows are counted per group and chunk of the index; a row's position is the count of the chunks
+    before plus its rank in the chunk. No new sort of the table, and no group meets in one task.
+    """
+    chunk = F.floor(F.col(idx) / SUBSET_CHUNK)
+    chunked = df.withColumn("_chunk", chunk)
+    lead = W.Window.partitionBy(*groups).orderBy("_chunk").rowsBetween(W.Window.unboundedPreceding, -1)
+    before = (
+        chunked.groupBy(*groups, "_chunk").agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(lead), F.lit(0))).drop("_n")
+    )
+    inside = F.row_number().over(W.Window.partitionBy(*groups, "_chunk").orderBy(idx)) - 1
+    ranked = chunked.withColumn("_in", inside)
+    joined = lookup_join(ranked, before, [*groups, "_chunk"])
+    return joined.withColumn(pos, F.col("_before") + F.col("_in")).drop("_chunk", "_in", "_before")
+
+
 def hash_key(col, seed: int):
     """Seeded random-looking order key of an id: lower-case md5 hex, equal in every engine."""
     col = F.col(col) if isinstance(col, str) else col
@@ -139,8 +186,8 @@ def flag_first_by_hash(
     (hash of id, id) among the rows satisfying ``where``. Ids must be unique. A function as ``quota``
     gets the number of rows per group.
 
-    Counts per hash prefix locate the prefix that holds the last flagged row; only that sliver is
-    ranked, which yields a threshold per group. Flagging itself is a map-only comparison, so the
+    Counts per hash prefix locate the prefix that holds the last flagged row, longer prefixes are counted
+    inside it until few rows share one; only that sliver is ranked, which yields a threshold per group. Flagging itself is a map-only comparison, so the
     table is never shuffled.
     """
     where = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
@@ -152,14 +199,16 @@ def flag_first_by_hash(
         keyed = keyed.filter(F.col("_g").isin([str(k) for k in quota]))
     prefix = F.substring("_h", 1, prefix_digits)
     counts = keyed.groupBy("_g", prefix.alias("_b")).agg(F.count("*").alias("_n"))
+    scratch = scratch_path(df.sparkSession, "prefixes")
     if callable(quota):
         # one scan for the totals and the prefixes
-        counts = materialize(counts, "prefixes")
+        counts = materialize(counts, "prefixes", scratch)
         totals = counts.groupBy("_g").agg(F.sum("_n").alias("n")).collect()
         quota = quota({r["_g"]: r["n"] for r in totals})
     quotas = {str(k): int(v) for k, v in quota.items()} if isinstance(quota, dict) else {"all": int(quota)}
 
-    thresholds = _hash_thresholds(keyed, counts, prefix, {g: m for g, m in quotas.items() if m > 0})
+    thresholds = _hash_thresholds(keyed, counts, prefix_digits, {g: m for g, m in quotas.items() if m > 0})
+    remove_path(df.sparkSession, scratch)
     # groups without a threshold have fewer rows than their quota: all are taken
     full = [g for g, m in quotas.items() if m > 0 and g not in thresholds]
     limit, limit_id = F.lit(None).cast("string"), F.lit(None).cast(dict(df.dtypes)[id_col])
@@ -172,28 +221,38 @@ def flag_first_by_hash(
     return hashed.withColumn(flag, picked).drop("_h", "_g")
 
 
+# Most rows of a group that are ranked to find its threshold.
+SLIVER_ROWS = 1_000_000
+
+
 def _hash_thresholds(
-    keyed: DataFrame, counts: DataFrame, prefix: Column, quotas: dict[str, int]
+    keyed: DataFrame, counts: DataFrame, digits: int, quotas: dict[str, int]
 ) -> dict[str, tuple]:
     """(hash, id) of the last row within the quota, per group that has so many rows."""
     spark = keyed.sparkSession
-    wanted = F.broadcast(small_table(spark, list(quotas.items()), "_g STRING, _m BIGINT"))
     upto = W.Window.partitionBy("_g").orderBy("_b").rowsBetween(W.Window.unboundedPreceding, 0)
-    cuts = (
-        counts.join(wanted, "_g")
-        .withColumn("_end", F.sum("_n").over(upto))
-        # the prefix in which the m-th row falls
-        .filter((F.col("_end") >= F.col("_m")) & (F.col("_end") - F.col("_n") < F.col("_m")))
-        .select("_g", "_b", (F.col("_m") - F.col("_end") + F.col("_n")).alias("_need"))
-    )
-    found = [(r["_g"], r["_b"], r["_need"]) for r in cuts.collect()]
-    if not found:
-        return {}
-    table = F.broadcast(small_table(spark, found, "_g STRING, _b STRING, _need BIGINT"))
+    need = quotas
+    while True:
+        wanted = F.broadcast(small_table(spark, list(need.items()), "_g STRING, _m BIGINT"))
+        cuts = (
+            counts.join(wanted, "_g")
+            .withColumn("_end", F.sum("_n").over(upto))
+            # the prefix in which the m-th row falls
+            .filter((F.col("_end") >= F.col("_m")) & (F.col("_end") - F.col("_n") < F.col("_m")))
+            .select("_g", "_b", "_n", (F.col("_m") - F.col("_end") + F.col("_n")).alias("_need"))
+        )
+        found = [(r["_g"], r["_b"], r["_need"], r["_n"]) for r in cuts.collect()]
+        if not found:
+            return {}
+        table = F.broadcast(small_table(spark, [f[:3] for f in found], "_g STRING, _b STRING, _need BIGINT"))
+        slivers = keyed.withColumn("_b", F.substring("_h", 1, digits)).join(table, ["_g", "_b"])
+        if max(f[3] for f in found) <= SLIVER_ROWS or digits >= 32:
+            break
+        digits = min(32, digits + 4)
+        need = {f[0]: f[2] for f in found}
+        counts = slivers.groupBy("_g", F.substring("_h", 1, digits).alias("_b")).agg(F.count("*").alias("_n"))
     by_hash = W.Window.partitionBy("_g", "_b").orderBy("_h", "_id")
-    ranked = keyed.withColumn("_b", prefix).join(table, ["_g", "_b"]).withColumn(
-        "_rank", F.row_number().over(by_hash)
-    )
+    ranked = slivers.withColumn("_rank", F.row_number().over(by_hash))
     last = ranked.filter(F.col("_rank") == F.col("_need")).select("_g", "_h", "_id").collect()
     return {r["_g"]: (r["_h"], r["_id"]) for r in last}
 

@@ -7,13 +7,18 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
-from pyspark import SparkFiles
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+import pyarrow as pa
+from pyspark import SparkContext, SparkFiles
+from pyspark.ml.classification import (
+    LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier,
+)
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.functions.numeric import quoted
 from flowspark.operators.stats import is_positive
 from flowspark.operators.windows import pool_window, record_vector
 from flowspark.schemas import FittedParams
@@ -81,6 +86,27 @@ def fit_binary_classifier(
     return LogisticRegression(maxIter=max_iter, regParam=1e-4).fit(_as_training(flagged, "_y"))
 
 
+def stored_logistic(coefficients: list[float], intercept: float) -> LogisticRegressionModel:
+    """A binary model from stored weights, in the order of ``record_vector``."""
+    sc = SparkContext.getOrCreate()
+    weights = _py2java(sc, Vectors.dense(coefficients))
+    java = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel("stored", weights, float(intercept))
+    return LogisticRegressionModel(java)
+
+
+def model_score(
+    model, params: FittedParams, pooling: str = "flatten", dims: dict[str, int] | None = None,
+    window: int | None = None,
+) -> Callable[[DataFrame], DataFrame]:
+    """A score function for detection: a fitted model applied to encoded windows."""
+
+    def apply(windows: DataFrame) -> DataFrame:
+        names = [c for c in windows.columns]
+        return score(window_vectors(windows, params, pooling, dims, names, window), model).drop("features")
+
+    return apply
+
+
 def score(df: DataFrame, model, out: str = "scores") -> DataFrame:
     """Class probabilities of a fitted model as ARRAY<DOUBLE>."""
     ready = df.withColumn("_vec", array_to_vector("features"))
@@ -100,26 +126,35 @@ def score_with(
 ) -> DataFrame:
     """Score with any batch scorer (such as a model file): one scorer per task, Arrow batches.
 
-    Input columns hold arrays of equal shape per column.
+    Input columns hold arrays of arrays of equal shape per column. Spark flattens them, so a batch
+    becomes an array of shape (rows, steps, width) without a loop over its cells.
     """
-    kept = df.select(*keep)
+    shapes = [f"_shape_{i}" for i in range(len(inputs))]
+    ready = df.select(
+        *[quoted(c) for c in keep],
+        *[F.flatten(quoted(c)).cast("array<float>").alias(f"_in_{i}") for i, c in enumerate(inputs)],
+        *[F.size(F.get(quoted(c), F.lit(0))).alias(shapes[i]) for i, c in enumerate(inputs)],
+    )
+    kept = df.select(*[quoted(c) for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
-            if scorer is None:
-                scorer = make_scorer()
-            arrays = [_stack(batch[name]) for name in inputs]
-            result = batch[keep].copy()
-            result[out] = list(np.asarray(scorer(arrays), dtype=np.float64).reshape(len(batch), -1))
-            yield result
-
-    return df.select(*dict.fromkeys([*keep, *inputs])).mapInPandas(run, f"{schema}, `{out}` array<double>")
-
-
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.array([np.stack([np.asarray(v, dtype=np.float32) for v in cell]) for cell in column])
+            if batch.num_rows == 0:
+                continue
+            scorer = scorer or make_scorer()
+            arrays = []
+            for i in range(len(inputs)):
+                cells = batch.column(f"_in_{i}")
+                flat = cells.flatten().to_numpy(zero_copy_only=False)
+                arrays.append(flat.reshape(batch.num_rows, -1, batch.column(shapes[i])[0].as_py()))
+            result = np.ascontiguousarray(scorer(arrays), dtype=np.float64).reshape(batch.num_rows, -1)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * result.shape[1]
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(result.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], found], names=[*keep, out])
+
+    return ready.mapInArrow(run, f"{schema}, `{out}` array<double>")
 
 
 def onnx_scorer(path: str, output: int = 0) -> Callable[[], Scorer]:

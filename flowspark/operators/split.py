@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.numeric import int_div, quoted
-from flowspark.operators.order import flag_first_by_hash, index_in_groups, shuffle_rows
+from flowspark.operators.order import flag_first_by_hash, shuffle_rows, subset_positions
 from flowspark.operators.stats import is_positive
 from flowspark.schemas import require_columns
 from flowspark.session import MAX_LOOKUP_ROWS, small_table
@@ -120,7 +120,24 @@ def balance_up(
     flagged = flag_first_by_hash(two, id_col, seed, remainder, group=label)
     whole = F.when(F.col(label) == attack, F.lit(times[attack])).otherwise(F.lit(times[benign]))
     copies = (whole + F.col("picked").cast("int")).cast("int")
-    return flagged.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("picked")
+    return repeat_rows(flagged, copies, max(times.values()) + 1, id_col).drop("picked")
+
+
+# Most copies of a row that one step makes in a task.
+COPIES_AT_ONCE = 1000
+
+
+def repeat_rows(df: DataFrame, copies: Column, most: int, id_col: str) -> DataFrame:
+    """Every row ``copies`` times, numbered from 1 in ``copy``; ``most`` bounds the copies. Beyond
+    ``COPIES_AT_ONCE`` blocks of copies are spread over the tasks before they are unfolded."""
+    if most <= COPIES_AT_ONCE:
+        return df.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    blocks = F.sequence(F.lit(0), F.ceil(copies / COPIES_AT_ONCE).cast("int") - 1)
+    spread = df.withColumn("_copies", copies).filter("_copies > 0").withColumn("_block", F.explode(blocks))
+    spread = spread.repartition(id_col, "_block")
+    first = F.col("_block") * COPIES_AT_ONCE + 1
+    last = F.least(F.col("_copies"), (F.col("_block") + 1) * COPIES_AT_ONCE)
+    return spread.withColumn("copy", F.explode(F.sequence(first, last))).drop("_copies", "_block")
 
 
 def balance(
@@ -142,7 +159,7 @@ def balance(
 def class_positions(df: DataFrame, cls: str, idx: str = "idx") -> DataFrame:
     """(class, pos, idx): training rows numbered inside their class in row order."""
     train = df.filter(F.col("role") == "train").select(F.col(cls).cast("string").alias("class"), idx)
-    return index_in_groups(train, ["class"], [idx])
+    return subset_positions(train, ["class"], idx)
 
 
 def batch_shares(classes: list[str], batch_size: int) -> dict[str, int]:

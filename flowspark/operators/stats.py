@@ -176,24 +176,36 @@ def feature_statistics(df: DataFrame, features: list[str]) -> DataFrame:
     """
     require_columns(df, features)
     types = {f.name: f.dataType for f in df.schema.fields}
-    entries = []
-    for f in features:
-        x = quoted(f)
-        if isinstance(types[f], T.ArrayType):
-            flat = F.flatten(x) if isinstance(types[f].elementType, T.ArrayType) else x
+    plain = [f for f in features if not isinstance(types[f], T.ArrayType)]
+    arrays = [f for f in features if f not in plain]
+
+    def measures(x: Column) -> dict[str, Column]:
+        return {
+            "n_values": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x),
+            "std": F.stddev_pop(x), "non_zero": F.count_if(x != 0),
+        }
+
+    out = None
+    if plain:
+        # one row with all aggregates, then one row per feature
+        wide = df.agg(*[
+            v.alias(f"{m}_{i}") for i, f in enumerate(plain) for m, v in measures(quoted(f).cast("double")).items()
+        ])
+        entries = [
+            F.struct(F.lit(f).alias("feature"), *[F.col(f"{m}_{i}").alias(m) for m in measures(F.lit(0.0))])
+            for i, f in enumerate(plain)
+        ]
+        out = wide.select(F.inline(F.array(*entries)))
+    if arrays:
+        entries = []
+        for f in arrays:
+            flat = F.flatten(quoted(f)) if isinstance(types[f].elementType, T.ArrayType) else quoted(f)
             vals = F.transform(flat, lambda v: v.cast("double"))
-        else:
-            vals = F.array(x.cast("double"))
-        entries.append(F.struct(F.lit(f).alias("feature"), vals.alias("vals")))
-    rows = df.select(F.inline(F.array(*entries))).select("feature", F.explode("vals").alias("x"))
-    return rows.groupBy("feature").agg(
-        F.count("x").alias("n_values"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.avg("x").alias("mean"),
-        F.stddev_pop("x").alias("std"),
-        F.count_if(F.col("x") != 0).alias("non_zero"),
-    )
+            entries.append(F.struct(F.lit(f).alias("feature"), vals.alias("vals")))
+        rows = df.select(F.inline(F.array(*entries))).select("feature", F.explode("vals").alias("x"))
+        found = rows.groupBy("feature").agg(*[v.alias(m) for m, v in measures(F.col("x")).items()])
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def levels_per_feature(codes: DataFrame, features: list[str]) -> DataFrame:

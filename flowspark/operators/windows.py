@@ -98,28 +98,38 @@ def zero_row(schema, cols: list[str]) -> Column:
 
 def edge_window(
     df: DataFrame, cols: list[str], window: int = 8, from_end: bool = True, strict: bool = False,
-    batch: int = 1, n_rows: int | None = None, idx: str = "idx",
+    batch: int = 1, order: list[str] | None = None,
 ) -> DataFrame:
-    """The last (or first) ``window`` rows as one window, repeated ``batch`` times.
+    """The last (or first) ``window`` rows in ``order`` (default: the index) as one window, repeated
+    ``batch`` times.
 
-    Fewer rows: zero padding, or an error with ``strict``. At most ``window`` rows are grouped.
+    Fewer rows: zero padding, or an error with ``strict``. A top-n: each task keeps ``window`` rows, the
+    table is neither sorted nor indexed for it.
     """
-    require_columns(df, [*cols, idx])
-    n = df.count() if n_rows is None else n_rows
-    if strict and n < window:
-        raise ValueError(f"need at least {window} rows, got {n}")
-    edge = F.col(idx) >= n - window if from_end else F.col(idx) < window
-    rows = df.filter(edge).select(F.struct(F.col(idx).alias("i"), F.struct(*[quoted(c) for c in cols]).alias("r")).alias("x"))
-    one = rows.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]).alias("win"))
+    order = order or ["idx"]
+    require_columns(df, [*cols, *order])
+    sort = [F.col(c).desc() if from_end else F.col(c).asc() for c in order]
+    row = F.struct(*[quoted(c) for c in cols]).alias("r")
+    rows = df.select(*order, row).orderBy(*sort).limit(window)
+    key = F.struct(F.struct(*order).alias("i"), "r").alias("x")
+    one = rows.agg(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["r"]).alias("win"))
+    if strict:
+        found = one.select(F.size("win")).first()[0]
+        if found < window:
+            raise ValueError(f"need at least {window} rows, got {found}")
     padded = one.select(pad_window(F.col("win"), window, zero_row(df.schema, cols)).alias("win"))
     return padded.select(F.explode(F.sequence(F.lit(0), F.lit(batch - 1))).alias("b"), "win")
 
 
 def windows_at(
-    windows: DataFrame, targets: DataFrame, idx: str = "idx"
+    df: DataFrame, targets: DataFrame, cols: list[str], window: int = 8, keep: list[str] | None = None,
+    idx: str = "idx",
 ) -> DataFrame:
-    """Windows ending at the rows of ``targets``. The index is unique, so the join is even."""
-    return windows.join(targets.select(idx), idx, "left_semi")
+    """Windows ending at the rows of ``targets``. Rows are marked by their index, which is unique, before
+    any window is built."""
+    marks = targets.select(F.col(idx).alias("_target")).distinct()
+    marked = df.join(marks, df[idx] == marks["_target"], "left")
+    return sliding_windows(marked, cols, window, keep=keep, ends=F.col("_target").isNotNull(), idx=idx)
 
 
 def random_context_windows(

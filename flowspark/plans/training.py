@@ -14,10 +14,13 @@ from flowspark.operators.encode import Encoder, encode_codes
 from flowspark.operators.order import order_rows
 from flowspark.operators.prepare import project_spec
 from flowspark.schemas import FittedParams, ModelInputSpec
-from flowspark.session import materialize
+from flowspark.session import lookup_join, materialize
 from flowspark.sources.cache import cache_key, cached
 from flowspark.specs import NFV1, DatasetSpec
 
+# Classes a model may have.
+MAX_CLASSES = 10_000
+
 LAST_ROWS, RANDOM_ROWS, FILTER_COLUMN = "last_rows", "random_rows", "filter_column"
 
 
@@ -50,13 +53,16 @@ class Preprocessing:
 
 @dataclass(frozen=True)
 class EncodedDataset:
-    """``table``: idx, training, label, y and the encoded features."""
+    """``table``: idx, training, label, y and the encoded features. ``class_map`` holds the class of each
+    code y, as text; a row without class has no code. ``spec.classes`` lists the classes of the whole
+    input in order of first appearance, also those beyond the row limit."""
 
     table: DataFrame
     params: FittedParams
     spec: ModelInputSpec
     n_rows: int
     eval_percent: float
+    class_map: tuple[str, ...]
 
 
 def load_dataset(
@@ -76,6 +82,7 @@ def load_dataset(
     classes = [
         r["class"] for r in
         stats.class_lists(full, cls, spec.benign_label).orderBy("position").collect()
+        if r["class"] is not None
     ]
     n = ordered.n if not 0 < n_rows < ordered.n else n_rows
     rows = full if n == ordered.n else full.filter(F.col("idx") < n)
@@ -88,16 +95,22 @@ def load_dataset(
         rows = split.split_filter_column(rows.select(*[f"`{c}`" for c in last], spec.test_column, "idx"), spec.test_column, window)
     else:
         raise ValueError(f"unknown sampling {sampling!r}")
-    rows = stats.encode_labels(rows, cls, "y")
+    codes = stats.class_codes(rows, cls)
+    found = codes.orderBy("code").limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    class_map = tuple(str(r["class"]) for r in found)
+    rows = lookup_join(rows, codes.select(F.col("class").alias(cls), F.col("code").alias("y")), [cls])
     params = replace(prep.fit(rows, spec, F.col("training")), window_size=window)
     table = prep.transform(rows, params, ["idx", "training", cls, "y"])
     table = materialize(table, "encoded")
+    ordered.release()
     if categorical_format == "integers":
         widths = {r["feature"]: r["n_codes"] for r in stats.levels_per_feature(table, spec.categorical).collect()}
     else:
         widths = {f: p.n_levels for f, p in params.categorical.items()}
     spec_out = stats.input_spec(params, categorical_format, widths, [str(c) for c in classes], spec.benign_label)
-    return EncodedDataset(table, params, spec_out, n, eval_percent)
+    return EncodedDataset(table, params, spec_out, n, eval_percent, class_map)
 
 
 def load_cached(
@@ -107,13 +120,14 @@ def load_cached(
     prep: Preprocessing = options.get("prep", Preprocessing())
     n_rows = options.get("n_rows", 0)
     local = {k: str(v) for k, v in sorted(options.items()) if k != "prep"}
+    local["order"] = str(order)
     key = cache_key(name, n_rows, {k: str(v) for k, v in vars(prep).items()}, local)
 
     def build() -> tuple[DataFrame, str]:
         made = load_dataset(df, order, **options)
         doc = {
             "params": made.params.to_json(), "spec": made.spec.to_json(), "n_rows": made.n_rows,
-            "eval_percent": made.eval_percent,
+            "eval_percent": made.eval_percent, "class_map": list(made.class_map),
         }
         return made.table, json.dumps(doc)
 
@@ -121,35 +135,80 @@ def load_cached(
     doc = json.loads(text)
     return EncodedDataset(
         table, FittedParams.from_json(doc["params"]), ModelInputSpec.from_json(doc["spec"]),
-        doc["n_rows"], doc["eval_percent"],
+        doc["n_rows"], doc["eval_percent"], tuple(doc["class_map"]),
     )
 
 
-def window_sets(data: EncodedDataset, label: str = "Attack", pooling: str = "flatten", window: int = 8) -> DataFrame:
-    """(idx, role, label, y, features) for every training and evaluation window."""
+def window_roles(data: EncodedDataset, window: int = 8) -> DataFrame:
+    """The table with ``role``; rows without a class are neither trained on nor evaluated."""
     selectable = split.selectable_multiclass(data.n_rows, data.eval_percent, window)
-    roles = split.index_sets(data.table, selectable)
+    return split.index_sets(data.table, selectable & F.col("y").isNotNull())
+
+
+def window_sets(
+    data: EncodedDataset, label: str = "Attack", pooling: str = "flatten", window: int = 8, role: str | None = None
+) -> DataFrame:
+    """(idx, role, label, y, features) for every training and evaluation window, or those of one role."""
+    wanted = F.col("role") != "none" if role is None else F.col("role") == role
     found = windows.sliding_windows(
-        roles, list(data.spec.feature_names), window, keep=["role", label, "y"],
-        ends=F.col("role") != "none",
+        window_roles(data, window), list(data.spec.feature_names), window, keep=["role", label, "y"], ends=wanted
     )
     return score.window_vectors(found, data.params, pooling, keep=["idx", "role", label, "y"], window=window)
 
 
+def training_batches(
+    data: EncodedDataset, label: str = "Attack", pooling: str = "flatten", window: int = 8, batch: int = 128,
+    steps: int = 64, seed: int = 42,
+) -> DataFrame:
+    """(step, slot, y, features): balanced batches of training windows, ``batch`` * ``steps`` rows whatever
+    the size of the table.
+
+    Classes take turns in order of first appearance; a class with too few rows for the cursor of a
+    sequential plan is drawn with replacement, as are then all others. Windows are built at the
+    planned rows only.
+    """
+    roles = window_roles(data, window)
+    sizes = {str(r[0]): r[1] for r in roles.filter("role = 'train'").groupBy(label).count().limit(MAX_CLASSES).collect()}
+    shares = split.batch_shares([c for c in data.spec.classes if sizes.get(c)], batch)
+    mode = "sequential" if all(sizes[c] > m for c, m in shares.items()) else "replace"
+    plan = materialize(split.plan_batches(split.class_positions(roles, label), shares, steps, mode, seed), "plan")
+    names = list(data.spec.feature_names)
+    found = windows.windows_at(roles, plan.select("idx"), names, window, keep=["y"])
+    vectors = score.window_vectors(found, data.params, pooling, keep=["idx", "y"], window=window)
+    return plan.select("step", "slot", "idx").join(vectors, "idx").select("step", "slot", "y", "features")
+
+
+def binary_batches(
+    data: EncodedDataset, label: str = "Attack", pooling: str = "flatten", window: int = 8, batch: int = 128,
+    steps: int = 64, seed: int = 42,
+) -> DataFrame:
+    """(step, slot, Attack, features): the same for attack against benign, half of each batch, drawn
+    without replacement inside a batch where the classes allow it."""
+    roles = window_roles(data, window).withColumn("_side", split.binary_class(F.col(label)))
+    shares = split.binary_shares(batch)
+    sizes = {r[0]: r[1] for r in roles.filter("role = 'train'").groupBy("_side").count().collect()}
+    mode = "distinct" if all(sizes.get(c, 0) >= m for c, m in shares.items()) else "replace"
+    plan = materialize(split.plan_batches(split.class_positions(roles, "_side"), shares, steps, mode, seed), "plan")
+    found = windows.windows_at(roles, plan.select("idx"), list(data.spec.feature_names), window, keep=[label])
+    vectors = score.window_vectors(found, data.params, pooling, keep=["idx", label], window=window)
+    return plan.select("step", "slot", "idx").join(vectors, "idx").select("step", "slot", label, "features")
+
+
 def train_and_evaluate(
     data: EncodedDataset, label: str = "Attack", pooling: str = "flatten", window: int = 8,
-    hidden: tuple[int, ...] = (128,), max_iter: int = 50, seed: int = 42,
+    hidden: tuple[int, ...] = (128,), max_iter: int = 50, seed: int = 42, batch: int = 128, steps: int = 64,
 ) -> tuple[object, DataFrame, DataFrame]:
-    """Fit on the training windows; class report and scored evaluation windows."""
-    sets = materialize(window_sets(data, label, pooling, window), "windows")
+    """Fit on the balanced training batches; class report and scored evaluation windows.
+
+    The fitted rows are bounded by ``batch`` * ``steps``; every evaluation window is scored.
+    """
+    batches = materialize(training_batches(data, label, pooling, window, batch, steps, seed), "batches")
     width = score.record_width(data.params) * (window if pooling == "flatten" else 1)
-    n_classes = len(data.spec.classes)
-    model = score.fit_window_classifier(
-        sets.filter("role = 'train'"), width, n_classes, "y", hidden, max_iter, seed
-    )
-    scored = score.score(sets.filter("role = 'eval'"), model)
-    classes = sorted(data.spec.classes)
-    names = F.array(*[F.lit(c) for c in classes])
+    model = score.fit_window_classifier(batches, width, max(len(data.class_map), 2), "y", hidden, max_iter, seed)
+    scored = score.score(window_sets(data, label, pooling, window, "eval"), model)
+    names = F.array(*[F.lit(c) for c in data.class_map])
     best = F.array_position("scores", F.array_max("scores")).cast("int")
-    judged = scored.drop("features").withColumn("predicted", F.element_at(names, best))
+    # a task of one class has a second, empty output
+    judged = scored.drop("features").withColumn("predicted", F.get(names, best - 1))
+    judged = materialize(judged, "judged")
     return model, evaluate.class_report(judged, label, "predicted"), judged

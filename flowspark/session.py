@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Rows a table may have before it is no longer shipped to every executor.
+# Rows and bytes a table may have before it is no longer shipped to every executor.
 MAX_LOOKUP_ROWS = 100_000
+MAX_LOOKUP_BYTES = 64 * 1024 * 1024
 
 _local_dirs: dict[str, str] = {}
 
@@ -76,9 +77,9 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def fetch_small(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame | None:
-    """``df`` as a local relation, or None if it has more than ``max_rows`` rows."""
+    """``df`` as a local relation, or None if it has more than ``max_rows`` rows or is too wide."""
     table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    if table.num_rows > max_rows or table.nbytes > MAX_LOOKUP_BYTES:
         return None
     return df.sparkSession.createDataFrame(table, df.schema)
 
@@ -108,6 +109,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete everything this application wrote to the shared folder by ``materialize``."""
     app = spark.sparkContext.applicationId

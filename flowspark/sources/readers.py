@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import logging
-from functools import reduce
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.numeric import quoted
 from flowspark.operators.order import first_rows
 from flowspark.schemas import NFV1_SCHEMA
+from flowspark.session import path_exists
 from flowspark.specs import DatasetSpec
 
 log = logging.getLogger(__name__)
@@ -38,12 +37,26 @@ def read_flows(
     df = spark.read.schema(schema).csv(path, header=True)
     if n_rows is None and not file_order:
         return df
+    if n_rows is not None and n_rows > 0:
+        df = spark.read.schema(schema).csv(_first_files(spark, df, schema, n_rows), header=True)
     placed = _with_file_order(df)
     if n_rows is not None and n_rows > 0:
         placed = first_rows(placed, FILE_ORDER, n_rows)
     return placed if file_order else placed.drop(*FILE_ORDER)
 
 
+def _first_files(spark: SparkSession, df: DataFrame, schema: str, n_rows: int) -> list[str]:
+    """The files that hold the first ``n_rows`` rows: files in name order are counted, twice as many at
+    each step, until they have enough."""
+    files = sorted(df.inputFiles())
+    found, step = 0, 1
+    at = 0
+    while at < len(files) and found < n_rows:
+        found += spark.read.schema(schema).csv(files[at : at + step], header=True).count()
+        at, step = at + step, step * 2
+    return files[:at] or files
+
+
 def read_glob(
     spark: SparkSession, pattern: str, schema: str = NFV1_SCHEMA
 ) -> DataFrame:
@@ -67,28 +80,40 @@ def read_labelled(
     spark: SparkSession, files: list[tuple[str, str]], fmt: str = "parquet",
     schema: str = NFV1_SCHEMA, label_column: str = "Attack", **options: str,
 ) -> DataFrame:
-    """Union of files, each with its own label. Missing or unreadable files are reported and left
-    out. Files of one label are read by one scan, so the plan grows with the labels only."""
-    by_label: dict[str, list[str]] = {}
+    """Union of files, each with its own label. Missing files are reported and left out, and so are files,
+    or the parts of them, that cannot be read, wherever the damage is.
+
+    All files are read by one scan; labels are looked up by the file's path.
+    """
+    labels: dict[str, str] = {}
+    there = []
     for path, label in files:
-        try:
-            probe = spark.read.schema(schema).format(fmt).options(**options).load(path)
-            probe.limit(1).collect()
-        except AnalysisException:
+        if not path_exists(spark, path):
             log.warning("no such file, skipped: %s", path)
             continue
-        except Exception as e:  # a damaged file must not stop the others
-            log.warning("cannot read %s, skipped: %s", path, str(e).splitlines()[0])
-            continue
-        by_label.setdefault(label, []).append(path)
-    if not by_label:
+        there.append(path)
+        labels[spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")] = label
+    if not labels:
+        raise ValueError("none of the files could be read")
+    df = (
+        spark.read.schema(schema).format(fmt).options(**options)
+        .option("ignoreCorruptFiles", "true").load(there)
+    )
+    # the given path is the file or a folder above it; scheme and host are left out on both sides
+    where = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-zA-Z0-9]+:(//[^/]*)?", "")
+    label = F.lit(None).cast("string")
+    for path in sorted(labels, key=len):  # a longer path is more exact
+        label = F.when((F.col("_path") == path) | F.startswith(F.col("_path"), F.lit(f"{path}/")), labels[path]).otherwise(label)
+    placed = df.select("*", where.alias("_path"))
+    names = [quoted(c) for c in df.columns if c != label_column]
+    out = placed.select(*names, label.alias(label_column), "_path")
+    held = {r[0] for r in out.groupBy(label_column, "_path").count().select("_path").collect()}
+    for path in labels:
+        if not any(h == path or h.startswith(f"{path}/") for h in held):
+            log.warning("no rows could be read from %s", path)
+    if not held:
         raise ValueError("none of the files could be read")
-    parts = [
-        spark.read.schema(schema).format(fmt).options(**options).load(paths)
-        .withColumn(label_column, F.lit(label))
-        for label, paths in by_label.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return out.drop("_path")
 
 
 def stream_records(

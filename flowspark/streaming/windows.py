@@ -4,27 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowspark.functions.numeric import quoted
 from flowspark.operators.order import order_rows
 from flowspark.operators.windows import sliding_windows
-from flowspark.session import lookup_join, remove_path
+from flowspark.session import lookup_join, path_exists, remove_path, small_table
 
 
 class WindowFeed:
     """``foreachBatch`` function that hands every micro-batch's full windows to ``sink(windows,
     batch_id)``, which must write them before it returns. ``idx`` numbers the rows of the batch.
 
-    The last ``window - 1`` rows per key are carried from batch to batch as a table under
-    ``state_path`` (one folder per batch, rewritten when a batch is retried). Inside a batch the
-    rows go through the same range-sorted, chunked windows as a table, so one very busy key, or a
-    single window over the whole stream (``key=None``), still uses all tasks.
+    The last ``window - 1`` rows per key are carried from batch to batch as tables under
+    ``state_path``, in ``buckets`` by key. A batch reads and rewrites only the buckets of its own keys;
+    choose ``buckets`` so that one holds few keys. A small table per batch says which batch wrote a
+    bucket last; a retried batch starts from the one before it. Inside a batch the rows go through the
+    same range-sorted, chunked windows as a table, so one very busy key, or a single window over the
+    whole stream (``key=None``), still uses all tasks.
 
-    Rows of a batch are put in ``order``; rows of later batches follow, however old they are.
+    Rows of a batch are put in ``order``; rows of later batches follow, however old they are. With
+    ``idle`` a key whose carried rows are older than that before its next row (by ``order[0]``; seconds for
+    times) starts afresh, and each batch also clears one more bucket of keys that are idle for longer.
     ``prepare(rows, names)`` may turn the indexed rows into others that hold ``cols`` besides the
     given names; the carried rows are those before it.
     """
@@ -34,13 +39,26 @@ class WindowFeed:
         sink: Callable[[DataFrame, int], None], key: str | None = None,
         keep: list[str] | None = None, window: int = 8,
         prepare: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+        buckets: int = 256, idle: float | None = None,
     ):
-        self.prepare = prepare
+        self.prepare, self.buckets, self.idle = prepare, buckets if key else 1, idle
         self.state_path, self.cols, self.order = state_path, cols, order
         self.sink, self.key, self.keep, self.window = sink, key, keep or [], window
 
-    def _carry_path(self, batch_id: int) -> str:
-        return f"{self.state_path}/carry-{batch_id}"
+    def _bucket(self) -> Column:
+        if not self.key:
+            return F.lit(0)
+        return F.pmod(F.xxhash64(quoted(self.key)), F.lit(self.buckets)).cast("int")
+
+    def _versions(self, spark: SparkSession, batch_id: int) -> dict[int, int]:
+        """Batch that wrote each bucket last, after ``batch_id``; at most ``buckets`` rows."""
+        if batch_id < 0:
+            return {}
+        rows = spark.read.schema(_VERSIONS).parquet(f"{self.state_path}/versions-{batch_id}").collect()
+        return {r["bucket"]: r["batch"] for r in rows}
+
+    def _carry_path(self, bucket: int, batch_id: int) -> str:
+        return f"{self.state_path}/carry-{batch_id}/_bucket={bucket}"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -49,25 +67,45 @@ class WindowFeed:
         fresh = batch.select(
             *[quoted(n) for n in names], F.lit(True).alias("_fresh"), F.lit(0).cast("bigint").alias("_seq")
         )
-        rows = fresh
-        if batch_id > 0:
-            carried = spark.read.schema(fresh.schema).parquet(self._carry_path(batch_id - 1))
-            rows = carried.unionByName(fresh)
+        versions = self._versions(spark, batch_id - 1)
+        touched = {r[0] for r in fresh.select(self._bucket()).distinct().collect()}
+        if self.idle is not None and self.key:
+            touched.add(batch_id % self.buckets)
+        paths = [self._carry_path(b, versions[b]) for b in sorted(touched) if b in versions]
+        paths = [p for p in paths if path_exists(spark, p)]
+        carried = spark.read.schema(fresh.schema).parquet(*paths) if paths else fresh.limit(0)
+        rows, waiting = self._split(fresh, carried) if paths and self.key else (carried.unionByName(fresh), None)
         lead = [self.key] if self.key else []
-        ordered = order_rows(rows, [*lead, "_fresh", "_seq", *self.order])
-        indexed = ordered.indexed().drop("_part", "_pos")
-        ready = indexed
-        if self.prepare:
-            ready = self.prepare(indexed, list(dict.fromkeys([*own, "_fresh", "idx"])))
-        found = sliding_windows(
-            ready, self.cols, self.window, keep=list(dict.fromkeys([*lead, *self.keep])), key=self.key,
-            ends=F.col("_fresh"),
-        )
-        self.sink(found, batch_id)
-        self._write_carry(indexed, ordered.n, batch_id)
-        ordered.release()
-
-    def _write_carry(self, indexed: DataFrame, n: int, batch_id: int) -> None:
+        with order_rows(rows, [*lead, "_fresh", "_seq", *self.order]) as ordered:
+            indexed = ordered.indexed().drop("_part", "_pos")
+            ready = indexed
+            if self.prepare:
+                ready = self.prepare(indexed, list(dict.fromkeys([*own, "_fresh", "idx"])))
+            found = sliding_windows(
+                ready, self.cols, self.window, keep=list(dict.fromkeys([*lead, *self.keep])), key=self.key,
+                ends=F.col("_fresh"),
+            )
+            self.sink(found, batch_id)
+            self._write_carry(indexed, ordered.n, waiting, batch_id)
+        self._write_versions(spark, versions, touched, batch_id)
+
+    def _split(self, fresh: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows to build windows from, and carried rows of keys that the batch does not have."""
+        at = F.col(self.order[0]).cast("double")
+        starts = fresh.groupBy(quoted(self.key).alias("_k")).agg(F.min(at).alias("_from"))
+        last = F.max(at).over(Window.partitionBy(quoted(self.key)))
+        dated = carried.withColumn("_last", last)
+        placed = dated.join(starts, dated[self.key].eqNullSafe(starts["_k"]), "left")
+        here = F.col("_from").isNotNull()
+        used, waiting = placed.filter(here), placed.filter(~here)
+        if self.idle is not None:
+            now = fresh.agg(F.max(at)).first()[0]
+            used = used.filter(F.col("_last") >= F.col("_from") - self.idle)
+            waiting = waiting.filter(F.col("_last") >= F.lit(now) - self.idle) if now is not None else waiting
+        columns = [quoted(c) for c in fresh.columns]
+        return used.select(*columns).unionByName(fresh), waiting.select(*columns)
+
+    def _write_carry(self, indexed: DataFrame, n: int, waiting: DataFrame | None, batch_id: int) -> None:
         if self.key:
             ends = indexed.groupBy(self.key).agg(F.max("idx").alias("_last"))
             tail = lookup_join(indexed, ends, [self.key])
@@ -75,17 +113,32 @@ class WindowFeed:
             tail = indexed.withColumn("_last", F.lit(n - 1).cast("bigint"))
         tail = tail.filter(F.col("idx") > F.col("_last") - (self.window - 1))
         tail = tail.withColumn("_seq", F.col("idx")).withColumn("_fresh", F.lit(False)).drop("idx", "_last")
-        tail.write.mode("overwrite").parquet(self._carry_path(batch_id))
-        if batch_id > 1:
-            # a retried batch needs the one before it, nothing older
-            remove_path(tail.sparkSession, self._carry_path(batch_id - 2))
+        if waiting is not None:
+            tail = tail.unionByName(waiting)
+        tail = tail.withColumn("_bucket", self._bucket())
+        tail.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.state_path}/carry-{batch_id}")
+
+    def _write_versions(self, spark: SparkSession, versions: dict[int, int], touched: set[int], batch_id: int) -> None:
+        now = versions | {b: batch_id for b in touched}
+        table = small_table(spark, sorted(now.items()), _VERSIONS)
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.state_path}/versions-{batch_id}")
+        if batch_id > 1 and path_exists(spark, f"{self.state_path}/versions-{batch_id - 2}"):
+            # a retried batch needs what the one before it left, nothing older
+            for bucket, old in self._versions(spark, batch_id - 2).items():
+                if versions.get(bucket) != old:
+                    remove_path(spark, self._carry_path(bucket, old))
+            remove_path(spark, f"{self.state_path}/versions-{batch_id - 2}")
+
+
+_VERSIONS = "bucket INT, batch BIGINT"
 
 
 def sliding_windows_stateful(
     stream: DataFrame, key: str, cols: list[str], order: list[str], window: int = 8,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, idle_s: float | None = None,
 ) -> DataFrame:
-    """The same per key as one continuous stateful query (state: the last ``window - 1`` rows).
+    """The same per key as one continuous stateful query (state: the last ``window - 1`` rows, dropped
+    when a key has had no row for ``idle_s`` seconds of processing time).
 
     One key of one micro-batch is sorted in one task, so bound the trigger size, and use
     ``WindowFeed`` when a single key carries a large share of the stream.
@@ -100,24 +153,32 @@ def sliding_windows_stateful(
     state_schema = ", ".join(f"`{c}` array<{types[c]}>" for c in state_cols)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         new = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
         past = state.get if state.exists else tuple([] for _ in state_cols)
-        history = {c: [*past[i], *new[c].tolist()] for i, c in enumerate(state_cols)}
-        n_past = len(past[0])
-        state.update(tuple(history[c][max(len(history[c]) - window + 1, 0):] for c in state_cols))
-        ends = [i for i in range(n_past, n_past + len(new)) if i + 1 >= window]
-        if ends:
-            out = {key: [k[0]] * len(ends)}
+        history = {}
+        for i, c in enumerate(state_cols):
+            # an object array, so that nulls and wide integers stay what they are
+            history[c] = np.array([*past[i], *new[c].tolist()], dtype=object)
+        state.update(tuple(history[c][max(len(history[c]) - window + 1, 0):].tolist() for c in state_cols))
+        if idle_s is not None:
+            state.setTimeoutDuration(int(idle_s * 1000))
+        first = max(window - 1 - len(past[0]), 0)  # new rows before the first full window
+        n = len(new) - first
+        if n > 0:
+            out = {key: [k[0]] * n}
             for c in keep:
-                values = new[c].tolist()
-                out[c] = [values[i - n_past] for i in ends]
+                out[c] = new[c].tolist()[first:]
             for c in cols:
-                out[f"win_{c}"] = [history[c][i - window + 1: i + 1] for i in ends]
+                out[f"win_{c}"] = list(np.lib.stride_tricks.sliding_window_view(history[c], window)[-n:])
             yield pd.DataFrame(out)
 
     narrow = stream.select(*[quoted(c) for c in dict.fromkeys([key, *keep, *cols, *order])])
     return narrow.groupBy(key).applyInPandasWithState(
-        step, ", ".join(fields), state_schema, "append", GroupStateTimeout.NoTimeout
+        step, ", ".join(fields), state_schema, "append",
+        GroupStateTimeout.NoTimeout if idle_s is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 

@@ -140,3 +140,104 @@ def test_whole_path_with_unusual_column_names(spark):
         windows.sliding_windows(data.table, spec.features, 8), data.params, ["input_Fwd Header Length.1", "input_Destination Port"]
     )
     assert inputs.count() == 73
+
+
+def test_ranges_do_not_grow_with_joins(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    base = order.input_bytes(f)
+    indexed = order.index_rows(f, ORDER)
+    labelled = stats.encode_labels(indexed, "Attack")
+    assert order.input_bytes(labelled) < 4 * order.input_bytes(indexed) + 100_000
+    assert order.parts_for(labelled) == order.parts_for(f) and base < 10**7
+
+
+def test_ordered_rows_are_released(spark, sf_dir):
+    import os
+
+    with order.order_rows(flows(spark, sf_dir), ORDER) as found:
+        path = found.path.removeprefix("file:")
+        assert os.path.exists(path) and found.n == 1000
+    assert not os.path.exists(path)
+
+
+def test_subset_positions_need_no_new_order(spark, monkeypatch):
+    monkeypatch.setattr(order, "SUBSET_CHUNK", 7)
+    df = spark.range(100).selectExpr("id AS idx", "IF(id % 3 = 0, 'a', IF(id % 10 = 1, NULL, 'b')) AS g")
+    got = sorted((r["idx"], r["g"], r["pos"]) for r in order.subset_positions(df.filter("idx % 5 <> 2"), ["g"]).collect())
+    seen, want = {}, []
+    for i in range(100):
+        if i % 5 != 2:
+            g = "a" if i % 3 == 0 else None if i % 10 == 1 else "b"
+            want.append((i, g, seen.get(g, 0)))
+            seen[g] = seen.get(g, 0) + 1
+    assert got == want
+
+
+def test_thresholds_are_refined_in_large_slivers(spark, monkeypatch):
+    monkeypatch.setattr(order, "SLIVER_ROWS", 3)
+    df = spark.range(500).toDF("i")
+    wide = order.flag_first_by_hash(df, "i", 1, 77, prefix_digits=1).filter("picked")
+    plain = order.flag_first_by_hash(df, "i", 1, 77).filter("picked")
+    assert sorted(r["i"] for r in wide.collect()) == sorted(r["i"] for r in plain.collect()) and wide.count() == 77
+
+
+def test_many_copies_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(split, "COPIES_AT_ONCE", 4)
+    df = spark.createDataFrame([(1, 11), (2, 4), (3, 0)], "i int, n int")
+    out = split.repeat_rows(df, F.col("n"), 11, "i").groupBy("i").agg(F.sort_array(F.collect_list("copy")).alias("c"))
+    assert {r["i"]: list(r["c"]) for r in out.collect()} == {1: list(range(1, 12)), 2: [1, 2, 3, 4]}
+
+
+def test_verdict_fields_are_pruned(spark):
+    from flowspark.functions.verdict import verdict
+
+    df = spark.createDataFrame([([0.1, 0.9],)], "s array<double>")
+    one = df.select(verdict(F.col("s"), ["Benign", "X"]).alias("v")).select("v.is_attack")
+    all_ = df.select(verdict(F.col("s"), ["Benign", "X"]).alias("v"))
+    count = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("array_max")
+    assert count(one) < count(all_) / 3
+
+
+# -- training ------------------------------------------------------------------------------------
+def separable(spark, labels, n=400):
+    """Flows whose bytes tell their class; labels alternate in blocks, so windows are pure at their end."""
+    rows = []
+    for i in range(n):
+        k = (i // 20) % len(labels)
+        rows.append((i, 5, 6, 10, 1, 10 + 1000 * k, 1, 5, "10.0.0.1", 1000 + k, "10.0.0.2", 80, 6, "X", 0, labels[k]))
+    kind = "int" if isinstance([v for v in labels if v is not None][0], int) else "string"
+    ddl = (
+        "ts bigint, flow_id bigint, user_id bigint, FLOW_DURATION_MILLISECONDS bigint, OUT_PKTS bigint, OUT_BYTES bigint, IN_PKTS bigint, "
+        "IN_BYTES bigint, IPV4_SRC_ADDR string, L4_SRC_PORT int, IPV4_DST_ADDR string, L4_DST_PORT int, PROTOCOL int, "
+        f"L7_PROTO string, TCP_FLAGS int, Attack {kind}"
+    )
+    return spark.createDataFrame(rows, ddl)
+
+
+def accuracy(report):
+    return {r["class"]: r["precision"] for r in report.collect()}["accuracy"]
+
+
+@pytest.mark.parametrize("labels,n_rows", [([2, 10], 0), (["Benign", "DoS"], 0), (["a", None, "b"], 0)])
+def test_predicted_names_follow_the_codes(spark, labels, n_rows):
+    spec = replace(NFV1, benign_label=str(labels[0]))
+    data = training.load_dataset(separable(spark, labels), ["ts"], spec, sampling=training.RANDOM_ROWS, n_rows=n_rows)
+    assert data.class_map == tuple(str(v) for v in sorted(v for v in labels if v is not None))
+    assert "None" not in data.spec.classes
+    _, report, judged = training.train_and_evaluate(data, pooling="last", hidden=(8,), max_iter=60, steps=8, batch=32)
+    assert accuracy(report) > 0.9 and judged.filter("Attack IS NULL").count() == 0
+
+
+def test_names_when_the_row_limit_cuts_a_class_off(spark):
+    rows = separable(spark, ["z1", "z2"], 400)
+    last = rows.limit(3).withColumn("ts", F.col("ts") + 10_000).withColumn("Attack", F.lit("Benign"))
+    data = training.load_dataset(rows.unionByName(last), ["ts"], sampling=training.RANDOM_ROWS, n_rows=400)
+    assert data.spec.classes == ("z1", "z2", "Benign") and data.class_map == ("z1", "z2")
+    _, report, _ = training.train_and_evaluate(data, pooling="last", hidden=(8,), max_iter=60, steps=8, batch=32)
+    assert accuracy(report) > 0.9
+
+
+def test_training_batches_are_balanced_and_bounded(spark, sf_dir):
+    data = training.load_dataset(flows(spark, sf_dir), ORDER)
+    rows = training.training_batches(data, batch=30, steps=5, pooling="last").groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in rows} == {0: 50, 1: 50, 2: 50}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from flowspark.operators.assemble import assemble_flows
 from flowspark.sources.readers import stream_records
-from flowspark.streaming.flows import assemble_flows_stream
+from flowspark.streaming.flows import assemble_flows_stream, drain, send_tick, tick_stream
 from flowspark.streaming.windows import WindowFeed, sliding_windows_stateful
 from tests.test_assemble import A, B, packet
 from flowspark.schemas import PACKET_SCHEMA
@@ -72,6 +72,58 @@ def test_stateful_windows_follow_arrival_order(spark, tmp_path):
     assert got == expected(batches(), 5)
 
 
+def test_batches_touch_only_the_buckets_of_their_keys(spark, tmp_path):
+    def run(others):
+        name = f"state-{others}"
+        feed = WindowFeed(str(tmp_path / name), ["id"], ["t", "id"], lambda found, _: found.count(), "key", ["end"], 5, buckets=64)
+        first = [(i, f"other{i % others}", i) for i in range(others * 2)] + [(10**6 + i, "own", i) for i in range(9)]
+        for n, rows in enumerate((first, [(2 * 10**6, "own", 50)])):
+            feed(spark.createDataFrame(rows, DDL).withColumn("end", F.col("id")), n)
+        return spark.read.parquet(str(tmp_path / name / "carry-1")).count()
+
+    few, many = run(20), run(200)
+    assert few <= 4 + 2 and many <= 4 + 2 * 12  # the keys that share the bucket, nothing else
+
+
+def test_idle_keys_start_afresh(spark, tmp_path):
+    got = {}
+
+    def sink(found, batch_id):
+        got.update({r["end"]: [m["id"] for m in r["win"]] for r in found.collect()})
+
+    feed = WindowFeed(str(tmp_path / "state"), ["id"], ["t", "id"], sink, "key", ["end"], 3, buckets=2, idle=100)
+    arrivals = [
+        [(1, "a", 0), (2, "a", 1), (3, "b", 0), (4, "b", 1)], [(5, "a", 50), (6, "b", 300)], [(7, "b", 301), (8, "b", 302)],
+    ]
+    for n, rows in enumerate(arrivals):
+        feed(spark.createDataFrame(rows, DDL).withColumn("end", F.col("id")), n)
+    assert got == {5: [1, 2, 5], 8: [6, 7, 8]}
+
+
+def test_drained_flows_equal_the_batch(spark, tmp_path):
+    """No packet is invented: ticks close what is open at the end."""
+    from datetime import datetime
+
+    rows = [packet(i, i * 0.7 % 20, A, B if i % 3 else ("10.0.0.9", 53), ["ack"], 20) for i in range(60)]
+    src, ticks, out, state = (str(tmp_path / n) for n in ("src", "ticks", "out", "state"))
+    table = spark.createDataFrame(rows, PACKET_SCHEMA)
+    table.write.parquet(src)
+    last = table.agg(F.max("ts")).first()[0]
+    assert isinstance(last, datetime)
+    send_tick(spark, ticks, table.agg(F.min("ts")).first()[0])
+
+    def run():
+        live = assemble_flows_stream(stream_records(spark, src, PACKET_SCHEMA), "1 second", "5 seconds", tick_stream(spark, ticks))
+        q = live.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+
+    run()
+    drain(spark, ticks, last, 6)
+    run()
+    got = sorted(map(tuple, spark.read.parquet(out).drop("application_name").collect()))
+    assert got == sorted(map(tuple, assemble_flows(table, 1.0).drop("application_name").collect()))
+
+
 def test_streamed_flows_equal_the_batch(spark, tmp_path):
     rng = random.Random(4)
     rows, t = [], 0.0
