@@ -22,45 +22,61 @@ from pyspark.sql import functions as F
 from flowspark.llm.scratch import materialize
 
 FIELD = "<*>"
+BLANKS = " \t\n\x0b\x0c\r"
 DEPTH = 3
 MIN_DOCS = 10
 LEAST_PERCENT = 60
 
 
-def masked_tokens(line: Column) -> Column:
-    """Words of a line; those with a digit are variable fields."""
-    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)
-    return F.filter(F.split(masked, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def tokens_of(line: Column) -> Column:
+    """Words of a line with at least one; those with a digit are variable fields."""
+    masked = F.when(
+        F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)
+    ).otherwise(line)
+    return F.split(F.btrim(masked, F.lit(BLANKS)), r"[\x20\x09-\x0D]+")
 
 
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
-    """One row per line with words: document (doc_id, crc), at (number from 0), tokens, leaf and body
-    (hashes of the leaf's path and of the masked line)."""
+    """One row per line with words: document (doc_id, crc), at (number from 0), leaf and body (hashes of
+    the leaf's path and of the masked line)."""
     lines = docs.select("doc_id", F.crc32("text").alias("crc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return (
-        lines.withColumn("tokens", masked_tokens(F.col("line"))).filter(F.size("tokens") > 0).drop("line")
-        .withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
-        .withColumn("body", F.xxhash64("leaf", "tokens"))
+    tokens = lines.filter(F.rlike("line", F.lit(r"[^\x20\x09-\x0D]"))).withColumn("tokens", tokens_of(F.col("line")))
+    return tokens.select(
+        "doc_id", "crc", "at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"),
+        F.xxhash64("tokens").alias("body"),
     )
 
 
+def line_tokens(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(leaf, body, docs, tokens) for the chosen lines (doc_id, crc, at)."""
+    per_doc = chosen.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("at", "leaf", "body", "docs")).alias("_lines"))
+    per_doc = per_doc.withColumnsRenamed({"doc_id": "_d", "crc": "_c"})
+    rows = docs.select("doc_id", "text", F.crc32("text").alias("crc"))
+    joined = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["_d"]) & (rows["crc"] == per_doc["_c"]))
+    lines = joined.select(F.split("text", "\n").alias("_split"), F.explode("_lines").alias("x"))
+    out = lines.select("x.leaf", "x.body", "x.docs", F.get("_split", F.col("x.at")).alias("line"))
+    return out.select("leaf", "body", "docs", tokens_of(F.col("line")).alias("tokens")).dropDuplicates(["leaf", "body"])
+
+
 def recurring_lines(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, least_percent: int = LEAST_PERCENT
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, least_percent: int = LEAST_PERCENT,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
-    """(leaf, body, template) of the masked lines whose template recurs; the template as text."""
-    lines = lines_of(docs, depth)
-    per_doc = materialize(lines.select("leaf", "body", "doc_id", "crc").distinct(), "lines")
+    """(leaf, body, template) of the masked lines whose template recurs; the template as text. ``lines``
+    is ``lines_of(docs)``, written before."""
+    lines = materialize(lines_of(docs, depth), "lines") if lines is None else lines
+    per_doc = lines.groupBy("leaf", "body", "doc_id", "crc").agg(F.min("at").alias("at"))
     # a document with several lines in a leaf counts once
     leaves = (
-        per_doc.select("leaf", "doc_id", "crc").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
+        lines.select("leaf", "doc_id", "crc").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
         .filter(F.col("n") >= min_docs).select("leaf")
     )
-    bodies = per_doc.join(leaves, "leaf").groupBy("leaf", "body").agg(F.count("*").alias("docs"))
-    words = materialize(
-        lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "body").agg(F.first("tokens").alias("tokens"))
-        .join(bodies, ["leaf", "body"]),
-        "bodies",
-    )
+    per_doc = materialize(per_doc.join(leaves, "leaf"), "lines-in-leaves")
+    # one line stands for all that are equal
+    bodies = per_doc.groupBy("leaf", "body").agg(
+        F.count("*").alias("docs"), F.min(F.struct("doc_id", "crc", "at")).alias("x")
+    ).select("leaf", "body", "docs", "x.*")
+    words = materialize(line_tokens(docs, bodies), "bodies")
     tokens = words.select("leaf", "body", "docs", F.posexplode("tokens").alias("at", "token"))
     fixed = (
         tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n"))
@@ -74,7 +90,9 @@ def recurring_lines(
             F.count("*").alias("size"), F.count("fixed").alias("n_fixed"),
         )
         .filter(F.col("n_fixed") * 100 >= least_percent * F.col("size"))
+        .select("leaf", "body", "template")
     )
+    templates = materialize(templates, "templates")
     often = (
         per_doc.join(templates, ["leaf", "body"]).select("leaf", "template", "doc_id", "crc").distinct()
         .groupBy("leaf", "template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
@@ -86,9 +104,10 @@ def drop_recurring_lines(
     docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, least_percent: int = LEAST_PERCENT
 ) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept (the text without lines of recurring templates)."""
-    found = materialize(recurring_lines(docs, depth, min_docs, least_percent).select("leaf", "body"), "recurring")
+    lines = materialize(lines_of(docs, depth), "lines")
+    found = recurring_lines(docs, depth, min_docs, least_percent, lines).select("leaf", "body")
     dropped = (
-        lines_of(docs, depth).select("doc_id", "crc", "at", "leaf", "body").distinct().join(found, ["leaf", "body"])
+        lines.join(found, ["leaf", "body"]).select("doc_id", "crc", "at").distinct()
         .groupBy("doc_id", "crc").agg(F.collect_list("at").alias("_at"))
         .withColumnsRenamed({"doc_id": "_d", "crc": "_c"})
     )

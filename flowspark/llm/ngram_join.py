@@ -23,8 +23,6 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +30,8 @@ from pyspark.sql import functions as F
 
 from flowspark.llm.components import components
 from flowspark.llm.text import mix, row_chunks, shingle_sets, texts_of
-from flowspark.session import materialize
+from flowspark.session import remove_path, scratch_path
+from flowspark.llm.scratch import materialize
 
 RARE = 32  # most sets with a token that is indexed alone
 CLASSES = 32
@@ -271,8 +270,12 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     if percent < 80:
         raise ValueError("the bounds of the prefixes hold from 80 percent on")
-    sets = materialize(shingles(docs, size, percent), "shingles")
-    wanted = materialize(classes_in_search(sets), "classes")
+    path = scratch_path(docs.sparkSession, "shingles")
+    prefixes = materialize(shingles(docs, size, percent), "shingles", path)
+    wanted = materialize(classes_in_search(prefixes), "classes")
+    # the prefixes have served; the names of the sets go on
+    sets = materialize(prefixes.drop("prefix"), "sets")
+    remove_path(docs.sparkSession, path)
     tokens = materialize(class_tokens(docs, sets, wanted, size), "tokens")
     _, found = similar_classes(tokens, percent)
     classes = sets.filter("n > 0").groupBy("h1", "h2").agg(_node())

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame
 from flowspark import session
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder, read it back, and let go of what was shuffled for it.
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (or ``path`` in it), read it back, and let go of what was shuffled for it.
 
     Spark deletes the shuffle files of finished work once the driver has collected the objects that
     stand for them. A long chain of steps would fill the disks before that happens by itself.
     """
-    written = session.materialize(df, name)
+    written = session.materialize(df, name, path)
     df.sparkSession.sparkContext._jvm.System.gc()
     return written
