@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowspark.catalog.base import (
@@ -83,29 +84,23 @@ def _one_hot(spark, sf_dir):
     return vec.select("flow_id", *[bits(quoted(c)).alias(c) for c in NFV1.categorical])
 
 
-# levels of the flow view, at most 32 of them fitted
-LEVELS = {"L4_SRC_PORT": 32, "L4_DST_PORT": 28, "PROTOCOL": 3, "L7_PROTO": 5, "TCP_FLAGS": 32}
+def digits(feature: str, codes) -> Column:
+    """The 0/1 columns of a feature, in order of code, as one text; their number depends on the data."""
+    return F.concat(*[quoted(f"{feature}_{c}").cast("int").cast("string") for c in codes]).alias(feature)
 
 
-def indicators_sql(start: int) -> str:
-    """One 0/1 column per feature and level code; names count from ``start``."""
-    return ", ".join(
-        f"CASE WHEN {f} = {i + 1} THEN 1 ELSE 0 END AS {f}_{i + start}" for f, n in LEVELS.items() for i in range(n)
-    )
-
-
-def observed_sql() -> str:
-    """The same where an unknown level has the code of the first one."""
-    return indicators_sql(1).replace("CASE WHEN ", "CASE WHEN greatest(").replace(" = ", ", 1) = ")
+def digits_sql(code: str) -> str:
+    return ", ".join(f"{one_hot_sql(code.format(f), f'n_{f}')} AS {f}" for f in NFV1.categorical)
 
 
-@query("e7_one_hot_observed", f"{ENCODED} SELECT flow_id, {observed_sql()} FROM e")
+@query("e7_one_hot_observed", f"{ENCODED}, n AS (SELECT {WIDTHS}) SELECT flow_id, {digits_sql('greatest({}, 1)')} FROM e CROSS JOIN n")
 def _one_hot_observed(spark, sf_dir):
     f, params = fitted(spark, sf_dir)
     codes = encode.encode_codes(f, params, keep=["flow_id"], unknown=UNKNOWN_FIRST)
     codes = codes.select("flow_id", *NFV1.categorical)
-    wide = encode.one_hot_observed(codes, stats.observed_codes(codes, NFV1.categorical))
-    return wide.select("flow_id", *[F.col(c).cast("int").alias(c) for c in wide.columns if c != "flow_id"])
+    observed = stats.observed_codes(codes, NFV1.categorical)
+    wide = encode.one_hot_observed(codes, observed)
+    return wide.select("flow_id", *[digits(c, observed[c]) for c in NFV1.categorical])
 
 
 def fixed_hot_sql(f: str, cap: int, width: int) -> str:
@@ -130,14 +125,15 @@ def _one_hot_fixed(spark, sf_dir):
 
 @query(
     "e9_preprocess_table",
-    f"{ENCODED} SELECT flow_id, {', '.join(f'round({f}, 4) AS {f}' for f in NFV1.numerical)}, {indicators_sql(0)} FROM e",
+    f"{ENCODED}, n AS (SELECT {WIDTHS}) SELECT flow_id, {', '.join(f'round({f}, 4) AS {f}' for f in NFV1.numerical)}, {digits_sql('{}')} "
+    "FROM e CROSS JOIN n",
 )
 def _preprocess_table(spark, sf_dir):
     f, params = fitted(spark, sf_dir)
     wide = encode.preprocess_table(f, params, drop_original=True)
-    hot = [f"{c}_{i}" for c in NFV1.categorical for i in range(params.categorical[c].n_levels)]
     numbers = [F.round(F.col(c).cast("double"), 4).alias(c) for c in NFV1.numerical]
-    return wide.select("flow_id", *numbers, *[F.col(c).cast("int").alias(c) for c in hot])
+    hot = [digits(c, range(p.n_levels)) for c, p in params.categorical.items()]
+    return wide.select("flow_id", *numbers, *hot)
 
 
 DIMS = {"L4_SRC_PORT": 40, "L4_DST_PORT": 32, "PROTOCOL": 4, "L7_PROTO": 16, "TCP_FLAGS": 10}
