@@ -6,9 +6,6 @@ import json
 import os
 import time
 
-from pyspark.sql import functions as F
-from pyspark.sql import window as W
-
 from flowspark.catalog.base import ORDER, WINDOW
 from flowspark.catalog.detection import SETTINGS, mean_bytes_score
 from flowspark.catalog.evaluation import predicted_flows
@@ -34,25 +31,17 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     table = flows(spark, SF_DIR)
     params = stats.collect_params(table, NFV1)
-    codes = encode.encode_codes(table, params, keep=[*ORDER, "Attack"])
 
     def halo_windows():
         indexed = index_rows(table.select(*ORDER, *NFV1.features, "Attack"), ORDER)
         coded = encode.encode_codes(indexed, params, keep=["idx", "Attack"])
         return windows.sliding_windows(coded, NFV1.features, WINDOW, keep=["Attack"])
 
-    def single_task_windows():
-        # comparison only: what the chunked form replaces
-        frame = W.Window.orderBy(*ORDER).rowsBetween(-(WINDOW - 1), 0)
-        win = F.collect_list(F.struct(*NFV1.features)).over(frame)
-        return codes.withColumn("win", win).filter(F.size("win") == WINDOW).select("Attack", "win")
-
     queries = {
         "fit_scaling_and_levels": lambda: stats.fit_params(table, NFV1.numerical, NFV1.categorical),
         "encode_flows": lambda: encode.encode_vectors(table, params, keep=["flow_id"]),
         "row_index": lambda: index_rows(table, ORDER),
         "sliding_windows": halo_windows,
-        "sliding_windows_single_task": single_task_windows,
         "balance_down": lambda: split.balance_down(table, "flow_id", "Dos_TCP_Flood"),
         "class_report": lambda: evaluate.class_report(predicted_flows(spark, SF_DIR), "Attack", "predicted"),
         "assemble_flows": lambda: assemble.assemble_flows(packets(spark, SF_DIR), 6 * 3600),
@@ -70,7 +59,7 @@ def main() -> None:
             best = took if best is None else min(best, took)
         seconds[name] = round(best, 3)
     sf = os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")
-    total = sum(v for k, v in seconds.items() if k != "sliding_windows_single_task")
+    total = sum(seconds.values())
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(total, 3), "unit": "sec", "queries": seconds,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,

@@ -56,23 +56,24 @@ def count_levels(df: DataFrame, features: list[str], where: Column | None = None
     require_columns(df, features)
     src = df if where is None else df.filter(where)
     types = {f.name: f.dataType for f in df.schema.fields}
+    kinds = {f: level_type_of_column(types[f]) for f in features}
     entries = []
-    for f in features:
-        kind = level_type_of_column(types[f])
+    for f, kind in kinds.items():
         x = quoted(f)
         entries.append(
             F.struct(
                 F.lit(f).alias("feature"),
                 F.lit(kind).alias("level_type"),
-                x.cast("string").alias("level"),
-                (x.cast("bigint") if kind == "int" else F.lit(None).cast("bigint")).alias("as_int"),
-                (x.cast("double") if kind == "float" else F.lit(None).cast("double")).alias("as_float"),
+                # whole numbers are counted as such; only the counted levels become text
+                (F.lit(None) if kind == "int" else x).cast("string").alias("text"),
+                (x if kind == "int" else F.lit(None)).cast("bigint").alias("as_int"),
+                (x if kind == "float" else F.lit(None)).cast("double").alias("as_float"),
             )
         )
-    stacked = src.select(F.inline(F.array(*entries))).filter(F.col("level").isNotNull())
-    return stacked.groupBy("feature", "level_type", "level", "as_int", "as_float").agg(
-        F.count("*").alias("n")
-    )
+    stacked = src.select(F.inline(F.array(*entries))).filter("text IS NOT NULL OR as_int IS NOT NULL")
+    counted = stacked.groupBy("feature", "level_type", "text", "as_int", "as_float").agg(F.count("*").alias("n"))
+    level = F.coalesce("text", F.col("as_int").cast("string")).alias("level")
+    return counted.select("feature", "level_type", level, "as_int", "as_float", "n")
 
 
 def rank_levels(levels: DataFrame, caps: dict[str, int], default_cap: int) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +51,55 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, grouped by application."""
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/flowspark-{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/flowspark-{app}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete every scratch table made inside the scope at its end. Results that are still read later
+    must be written elsewhere before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove_path(spark, path)
+
+
+def read_text(path: str) -> str | None:
+    """A small file, None if there is none. A path with a scheme is read through Hadoop's file systems."""
+    if "://" not in path:
+        if not os.path.exists(path):
+            return None
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    if not path_exists(spark, path):
+        return None
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def write_text(path: str, text: str) -> None:
+    if "://" not in path:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

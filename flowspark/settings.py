@@ -7,6 +7,8 @@ import logging
 import os
 from dataclasses import dataclass, field
 
+from flowspark.session import read_text, write_text
+
 log = logging.getLogger(__name__)
 
 
@@ -60,14 +62,14 @@ def parse_metadata(doc: dict, path: str | None = None) -> ModelMetadata:
 
 def load_metadata(model_path: str, metadata_path: str | None = None) -> ModelMetadata | None:
     """The first usable of: the given file, ``stem.meta.json``, ``stem.json``."""
-    stem = os.path.splitext(os.path.abspath(model_path))[0]
-    candidates = [metadata_path and os.path.abspath(metadata_path), f"{stem}.meta.json", f"{stem}.json"]
+    stem = os.path.splitext(_full(model_path))[0]
+    candidates = [metadata_path and _full(metadata_path), f"{stem}.meta.json", f"{stem}.json"]
     for path in dict.fromkeys(p for p in candidates if p):
-        if not os.path.exists(path):
-            continue
         try:
-            with open(path, encoding="utf-8") as f:
-                found = parse_metadata(json.load(f), path)
+            text = read_text(path)
+            if text is None:
+                continue
+            found = parse_metadata(json.loads(text), path)
         except (OSError, ValueError, AttributeError) as e:
             log.warning("cannot read model metadata %s: %s", path, e)
             continue
@@ -77,13 +79,17 @@ def load_metadata(model_path: str, metadata_path: str | None = None) -> ModelMet
     return None
 
 
+def _full(path: str) -> str:
+    return path if "://" in path else os.path.abspath(path)
+
+
 def load_class_info(path: str | None) -> ModelMetadata | None:
     if path is None:
         return None
-    if not os.path.exists(path):
+    text = read_text(path)
+    if text is None:
         raise FileNotFoundError(path)
-    with open(path, encoding="utf-8") as f:
-        return parse_metadata(json.load(f), path)
+    return parse_metadata(json.loads(text), path)
 
 
 @dataclass(frozen=True)
@@ -125,6 +131,5 @@ def write_metadata(
         "benign_label": benign_label,
         "benign_class_index": classes.index(benign_label) if benign_label in classes else None,
     }
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(doc, f, indent=2, ensure_ascii=False)
+    write_text(path, json.dumps(doc, indent=2, ensure_ascii=False))
     return doc

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 from collections.abc import Callable
@@ -12,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def identifier(settings: dict) -> str:
-    """A name for a set of settings: base64 of the SHA-1 of their sorted JSON, letters and digits."""
-    text = json.dumps(settings, sort_keys=True, indent=0)
-    name = base64.b64encode(hashlib.sha1(text.encode("utf8")).digest()).decode("ascii")
-    return name.translate(str.maketrans("+=/", "000"))
+    """A name for a set of settings: the first 40 hex digits of a digest of their sorted JSON. Entries
+    are only ever read by this library."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:40]
 
 
 def cache_key(dataset: str, n_rows: int, preprocessing: dict, local: dict) -> str:

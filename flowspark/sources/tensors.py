@@ -60,9 +60,14 @@ def validate_messages(
 
 
 def accepted_messages(validated: DataFrame) -> DataFrame:
-    """Good messages, each sequence number once (duplicates collapse before the shuffle).
+    """Good messages, each sequence number once: of differing duplicates the smallest, so the result does
+    not depend on their order. Combined before the shuffle.
 
-    On a stream, ``dropDuplicatesWithinWatermark`` bounds the state instead.
+    On a stream the first one that arrives is kept and ``dropDuplicatesWithinWatermark`` bounds the state.
     """
     good = validated.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    return good.dropDuplicatesWithinWatermark(["seq"]) if good.isStreaming else good.dropDuplicates(["seq"])
+    if good.isStreaming:
+        return good.dropDuplicatesWithinWatermark(["seq"])
+    rest = [c for c in good.columns if c != "seq"]
+    least = good.groupBy("seq").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_m"))
+    return least.select(*[F.col("seq") if c == "seq" else F.col(f"_m.`{c}`").alias(c) for c in good.columns])

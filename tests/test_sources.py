@@ -67,7 +67,7 @@ def test_column_reader(spark, tmp_path):
 
 def test_cache_key_and_reuse(spark, tmp_path):
     a, b = cache.identifier({"x": 1, "y": 2}), cache.identifier({"y": 2, "x": 1})
-    assert a == b and a != cache.identifier({"x": 1, "y": 3}) and a.isalnum() and len(a) == 28
+    assert a == b and a != cache.identifier({"x": 1, "y": 3}) and a.isalnum() and len(a) == 40
     assert cache.cache_key("d", 5, {}, {}).startswith("d_5_")
     calls = []
 
@@ -114,6 +114,53 @@ def test_message_size_bound(spark):
         tensors.tensor_messages(df, ["a"], F.lit(1), max_bytes=90).collect()
 
 
+def test_differing_duplicates_collapse_alike(spark):
+    two = message(spark).unionByName(message(spark, payload=[9.0, 2.0, 3.0]))
+    for rows in (two, two.orderBy("payload", ascending=False).coalesce(1)):
+        kept = tensors.accepted_messages(tensors.validate_messages(rows, [1, 2], 1000)).collect()
+        assert len(kept) == 1 and list(kept[0]["payload"]) == [1.0, 2.0, 3.0]
+
+
+def test_metadata_on_a_hadoop_path(spark, tmp_path):
+    path = f"file://{tmp_path}/model.meta.json"
+    settings.write_metadata(path, ["input_a"], {"b": 4}, ["Benign", "X"])
+    assert settings.load_metadata(f"file://{tmp_path}/model.onnx").class_labels == ("Benign", "X")
+    assert settings.load_class_info(path).benign_class_index == 0
+    with pytest.raises(FileNotFoundError):
+        settings.load_class_info(f"file://{tmp_path}/none.json")
+
+
+def test_damage_anywhere_in_a_file_skips_the_file(spark, tmp_path):
+    good, bad = str(tmp_path / "a b+c"), tmp_path / "bad"
+    records(spark, 6).write.parquet(good)
+    records(spark, 5).coalesce(1).write.parquet(str(bad))
+    part = next(bad.glob("*.parquet"))
+    raw = bytearray(part.read_bytes())
+    raw[len(raw) // 2 :] = b"x" * (len(raw) - len(raw) // 2)
+    part.write_bytes(bytes(raw))
+    out = readers.read_labelled(spark, [(str(bad), "Bad"), (good, "Good")])
+    assert {r["Attack"]: r["count"] for r in out.groupBy("Attack").count().collect()} == {"Good": 6}
+
+
+def test_first_rows_read_only_the_first_files(spark, tmp_path):
+    path = str(tmp_path / "flows")
+    records(spark, 40).repartitionByRange(8, "L4_SRC_PORT").sortWithinPartitions("L4_SRC_PORT").write.csv(path, header=True)
+    df = spark.read.schema(NFV1_SCHEMA).csv(path, header=True)
+    assert len(readers._first_files(spark, df, NFV1_SCHEMA, 3)) < len(df.inputFiles())
+    got = readers.read_flows(spark, path, n_rows=7).collect()
+    assert sorted(r["L4_SRC_PORT"] for r in got) == list(range(7))
+
+
+def test_scratch_scope(spark):
+    from flowspark.session import materialize, path_exists, scratch_path, scratch_scope
+
+    with scratch_scope(spark):
+        inside = scratch_path(spark, "t")
+        materialize(spark.range(3).toDF("v"), "t", inside)
+        assert path_exists(spark, inside)
+    assert not path_exists(spark, inside)
+
+
 def test_class_labels_and_metadata(tmp_path):
     assert settings.class_labels_of({"class_map": {"2": "c", "0": "a", "x": "?", "1": "b"}}) == ["a", "b", "c"]
     assert settings.class_labels_of({"label_encoder_classes": [1, 2]}) == ["1", "2"]
