@@ -39,6 +39,7 @@ CLASSES = 32
 # PAIRS_FROM has no similar set of SINGLES_BELOW or more, and every set from PAIRS_FROM on reaches its cover.
 PAIRS_FROM, SINGLES_BELOW = 42, 53
 SKETCH = 8  # longs of a parity sketch
+HELD_TOKENS = 2_000_000  # tokens of the sets that a task counts at once
 
 
 def slack(n: int, percent: int) -> int:
@@ -60,30 +61,56 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (name of the set), prefix (first tokens in hash order)."""
-    schema = "doc_id bigint, n int, h1 bigint, h2 bigint, prefix array<bigint>"
-
-    def row(tokens):
-        n = len(tokens)
-        if n == 0:
-            return 0, 0, 0, tokens
-        return n, *_set_name(tokens), tokens[: slack(n, percent) + n // 20 + 1]
+    """doc_id, n (set size), h1 and h2 (name of the set), and the first tokens in hash order, counted among
+    the sets that a task holds at once: ``known`` of them stand in several of its sets, ``lone`` are the
+    others, ``shown`` the known ones that this set shows to other tasks.
+
+    A set of many copies, or a token of very many sets, is one row per task from there on.
+    """
+    schema = "doc_id bigint, n int, h1 bigint, h2 bigint, known int, lone array<bigint>, shown array<bigint>"
+
+    def counted(held):
+        ids = pa.concat_arrays([h[0] for h in held])
+        sets = [x for h in held for x in h[1]]
+        names = [(*_set_name(t), k) if k else (0, 0, 0) for t, k in sets]
+        prefixes, seen = [], set()
+        for (tokens, n), name in zip(sets, names):
+            fresh = n > 0 and name not in seen
+            seen.add(name)
+            prefixes.append(tokens[: slack(n, percent) + n // 20 + 1] if fresh else tokens[:0])
+        owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
+        flat = np.concatenate(prefixes)
+        _, first, at, count = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+        several = count[at] > 1
+        shows = several & (first[at] == np.arange(len(flat)))
+
+        def lists(mask):
+            ends = np.searchsorted(owner[mask], np.arange(len(prefixes) + 1)).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[mask].view(np.int64)))
+
+        h1, h2, n = zip(*names)
+        known = np.bincount(owner[several], minlength=len(prefixes)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids, pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(known),
+                lists(~several), lists(shows),
+            ],
+            names=["doc_id", "n", "h1", "h2", "known", "lone", "shown"],
+        )
 
     def run(batches):
+        held, size_held = [], 0
         for batch in batches:
             data, bounds = texts_of(batch.column("text"))
             for first, last in row_chunks(bounds):
-                rows = [row(t) for t in shingle_sets(data, bounds[first : last + 1], size)]
-                n, h1, h2, prefix = zip(*rows)
-                ends = np.append(0, np.cumsum([len(p) for p in prefix])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(first, last - first),
-                        pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).view(np.int64))),
-                    ],
-                    names=["doc_id", "n", "h1", "h2", "prefix"],
-                )
+                sets = [(t, len(t)) for t in shingle_sets(data, bounds[first : last + 1], size)]
+                held.append((batch.column("doc_id").slice(first, last - first), sets))
+                size_held += sum(k for _, k in sets)
+                if size_held >= HELD_TOKENS:
+                    yield from counted(held)
+                    held, size_held = [], 0
+        if held:
+            yield from counted(held)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -97,14 +124,16 @@ def _node() -> Column:
 def classes_in_search(sets: DataFrame) -> DataFrame:
     """(node, h1, h2) of the classes that share enough first tokens with other classes."""
     by_token = Window.partitionBy("token")
-    first = sets.filter("n > 0").select("h1", F.explode("prefix").alias("token"))
-    shared = (
-        first.withColumn("last", F.lag("h1").over(by_token.orderBy("h1")))
-        .withColumn("low", F.min("h1").over(by_token))
-        .withColumn("high", F.max("h1").over(by_token))
-        .filter("low <> high AND (last IS NULL OR last <> h1)")
-        .groupBy("h1").agg(F.count("*").alias("shared"))
+    lone = sets.select("h1", F.explode("lone").alias("token"), F.lit(True).alias("asks"))
+    shown = sets.select("h1", F.explode("shown").alias("token"), F.lit(False).alias("asks"))
+    found = (
+        lone.unionByName(shown)
+        .withColumn("low", F.min("h1").over(by_token)).withColumn("high", F.max("h1").over(by_token))
+        .filter("asks AND low <> high").select("h1", F.lit(1).alias("k"))
     )
+    # copies in several tasks count more than once, which only keeps a class in
+    shared = found.unionByName(sets.filter("known > 0").select("h1", F.col("known").alias("k")))
+    shared = shared.groupBy("h1").agg(F.sum("k").alias("shared"))
     classes = sets.filter("n > 0").groupBy("h1", "h2", "n").agg(_node())
     # a similar set has at least 4/5 of the tokens, and the one whose prefix ends first sets the count
     return classes.join(shared, "h1").filter("shared >= n div 25 + 1").select("node", "h1", "h2", "n")
@@ -274,7 +303,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     prefixes = materialize(shingles(docs, size, percent), "shingles", path)
     wanted = materialize(classes_in_search(prefixes), "classes")
     # the prefixes have served; the names of the sets go on
-    sets = materialize(prefixes.drop("prefix"), "sets")
+    sets = materialize(prefixes.select("doc_id", "n", "h1", "h2"), "sets")
     remove_path(docs.sparkSession, path)
     tokens = materialize(class_tokens(docs, sets, wanted, size), "tokens")
     _, found = similar_classes(tokens, percent)
