@@ -31,6 +31,11 @@ def words_in(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def _stream_name() -> Column:
+    """A name for the source and shard of a row; a null source has one of its own."""
+    return F.concat_ws("/", F.col("_shard").cast("string"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+
+
 def source_targets(sizes: DataFrame, percent: int = 150, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, n_rows, weight, target) from one row per source with source and source_size.
 
@@ -133,17 +138,17 @@ def mix(
     )
     per_shard = apportion(
         shards, ["source"], ["_shard"], "_shard_size", F.first("_source_quota").over(Window.partitionBy("source"))
-    ).withColumnsRenamed({"source": "_s", "_shard": "_t", "quota": "_quota"}).drop("_source_quota")
+    ).select(_stream_name().alias("_key"), "_shard_size", F.col("quota").alias("_quota"))
     placed = (
         rows.join(by_source.select("_source", "source_size", "target", "_shards"), on_source(rows))
         .withColumn("_shard", F.pmod(F.col("_h"), F.col("_shards"))).drop("_source")
+        .withColumn("_key", _stream_name())
     )
-    stream = Window.partitionBy("source", "_shard").orderBy("_h", "doc_id", "_crc")
+    # texts are dealt out once: the stream and the quota have the same key
+    stream = Window.partitionBy("_key").orderBy("_h", "doc_id", "_crc")
     upto = stream.rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_from", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    placed = placed.join(
-        per_shard, placed["source"].eqNullSafe(per_shard["_s"]) & (placed["_shard"] == per_shard["_t"])
-    )
+    placed = placed.join(per_shard, "_key")
     # rounding to blocks never takes more than ``most`` passes
     whole = F.least(F.col("_quota") * block, most * F.col("_shard_size"))
     passes = F.when(F.col("_shard_size") > 0, F.floor(whole / F.col("_shard_size"))).otherwise(F.lit(0))
