@@ -17,12 +17,12 @@ by code point; repeated rows get the same answer; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,30 +131,36 @@ def fit(
         for size in range(1, LONGEST + 1)
     ]))
     grams = words.select("lang", F.explode(pieces).alias("entry"), "n").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-    top_words = _top(words, entries // len(languages)).collect()
-    top_grams = _top(grams, entries // len(languages)).collect()
+    # at most ``entries`` rows of each kind
+    top_words = _top(words, entries // len(languages)).toArrow()
+    top_grams = _top(grams, entries // len(languages)).toArrow()
     words.unpersist()
+    word_rows, word_table, _ = _log_frequencies(top_words, languages, by_length=False)
+    gram_rows, gram_table, floor = _log_frequencies(top_grams, languages, by_length=True)
+    gram_rows = {gram: k + len(word_rows) for gram, k in gram_rows.items()}
+    return LanguageModel(
+        languages, word_rows, gram_rows, np.concatenate([word_table, gram_table]).astype(np.float32),
+        np.full(len(languages), floor),
+    )
+
+
+def _log_frequencies(found: pa.Table, languages: list[str], by_length: bool) -> tuple[dict[str, int], np.ndarray, float]:
+    """Row of each entry, the log frequencies by language, and the lowest of them. Frequencies are shares
+    of all entries, or of those with the same number of letters; an entry that a language lacks counts half."""
+    entries = found.column("entry").to_pylist()
     code = {lang: k for k, lang in enumerate(languages)}
-    table, numbers = [], ({}, {})
-    floors = []
-    for found, names in ((top_words, numbers[0]), (top_grams, numbers[1])):
-        counts: dict[str, np.ndarray] = {}
-        kind_totals: dict[int, np.ndarray] = {}
-        for r in found:
-            counts.setdefault(r["entry"], np.zeros(len(languages)))[code[r["lang"]]] += r["n"]
-        by_words = found is top_words
-        for entry, n in counts.items():
-            size = 0 if by_words else len(entry)
-            kind_totals[size] = kind_totals.get(size, np.zeros(len(languages))) + n
-        floor = {s: np.log(0.5 / (t + 1)) for s, t in kind_totals.items()}
-        floors.append(min((float(f.min()) for f in floor.values()), default=-20.0))
-        for entry in sorted(counts):
-            size = 0 if by_words else len(entry)
-            n = counts[entry]
-            names[entry] = len(table)
-            table.append(np.where(n > 0, np.log(np.maximum(n, 1) / (kind_totals[size] + 1)), floor[size]))
-    unseen = np.full(len(languages), floors[1] if math.isfinite(floors[1]) else -20.0)
-    return LanguageModel(languages, *numbers, np.array(table, np.float32).reshape(-1, len(languages)), unseen)
+    rows = {e: k for k, e in enumerate(sorted(set(entries)))}
+    counts = np.zeros((len(rows), len(languages)))
+    at = [rows[e] for e in entries], [code[v] for v in found.column("lang").to_pylist()]
+    np.add.at(counts, at, found.column("n").to_numpy())
+    length = np.array([len(e) if by_length else 0 for e in rows], np.int64)
+    table, lowest = np.empty_like(counts), -20.0
+    for size in np.unique(length):
+        same = length == size
+        total = counts[same].sum(axis=0) + 1
+        table[same] = np.log(np.maximum(counts[same], 0.5) / total)
+        lowest = min(lowest, float(np.log(0.5 / total).min()))
+    return rows, table, lowest
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
