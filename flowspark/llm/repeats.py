@@ -7,8 +7,9 @@ Consecutive windows of one document with equal anchor strings form a *stretch*:
 ``hi``, text ``lo`` to ``hi + window``. Stretches partition the windows of a document; a periodic text is
 one long stretch, which may repeat itself (``own``).
 
-One shuffle by anchor decides most stretches: an anchor seen once repeats nothing, stretches with the
-same text repeat as a whole. Only different stretches with the same anchor need their text, one copy
+Stretches with the same text are first counted inside each task, so a group of copies or a passage in a
+third of all documents is one row per task from there on. One shuffle by anchor then decides most
+stretches: an anchor seen once repeats nothing, stretches with the same text repeat as a whole. Only different stretches with the same anchor need their text, one copy
 of each; ``compare`` (a suffix tree or a suffix array per shard) decides their windows.
 """
 
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 from flowspark.llm.text import (
     mix, prefix_sums, range_hash, row_chunks, texts_of, word_bounds, word_hashes,
 )
+from flowspark.session import remove_path, scratch_path
 from flowspark.llm.scratch import materialize
 
 PIECE = 1 << 19  # units per array step; longer texts are cut into pieces that share window - 1 units
 _INDEX_BITS = np.uint64(24)
 SHARD_BYTES = 1 << 20  # text compared at once in a task
+HELD_STRETCHES = 1_000_000  # stretches a task counts at once
 WIDE_GROUP = 20_000  # different stretches of one anchor beyond which windows are counted one by one
 
 
@@ -100,10 +103,37 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def find_stretches(docs: DataFrame, units: Units) -> DataFrame:
-    """One row per stretch of ``docs`` (doc_id, crc, text)."""
-    schema = "doc_id bigint, crc bigint, lo int, hi int, anchor bigint, body bigint, own boolean"
+    """One row per stretch of ``docs`` (doc_id, crc, text), with ``copies`` (stretches of the same text
+    among those that the task holds at once) and ``first`` (true for one of them)."""
+    schema = (
+        "doc_id bigint, crc bigint, lo int, hi int, anchor bigint, body bigint, own boolean, copies bigint, first boolean"
+    )
+
+    def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        anchor, body = (table.column(c).to_numpy() for c in ("anchor", "body"))
+        order = np.lexsort((body, anchor))
+        a, b = anchor[order], body[order]
+        start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        sizes = np.diff(np.append(start, len(a)))
+        copies, first = np.empty(len(a), np.int64), np.zeros(len(a), bool)
+        copies[order] = np.repeat(sizes, sizes)
+        first[order[start]] = True
+        table = table.append_column("copies", pa.array(copies)).append_column("first", pa.array(first))
+        yield from table.to_batches(max_chunksize=50_000)
 
     def run(batches):
+        held, rows = [], 0
+        for batch in pieces(batches):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= HELD_STRETCHES:
+                yield from counted(held)
+                held, rows = [], 0
+        if held:
+            yield from counted(held)
+
+    def pieces(batches):
         for batch in batches:
             data, bounds = texts_of(batch.column("text"))
             for first, last in row_chunks(bounds):
@@ -127,17 +157,18 @@ def find_stretches(docs: DataFrame, units: Units) -> DataFrame:
 
 
 def repeated_stretches(found: DataFrame) -> DataFrame:
-    """Stretches that may repeat, with ``copies`` (stretches of the same text), ``kinds`` (different
-    texts with the anchor) and ``compare`` (its text is needed to decide its or another's windows)."""
+    """Stretches that may repeat, of those that stand for their task's copies, with ``alike`` (copies in
+    the task), ``copies`` (in all), ``kinds`` (different texts with the anchor) and ``compare`` (its text
+    is needed to decide its or another's windows)."""
     same = Window.partitionBy("anchor", "body")
-    alike = Window.partitionBy("anchor")
+    anchor = Window.partitionBy("anchor")
     return (
-        found.repartition("anchor")
-        .withColumn("copies", F.count("*").over(same))
+        found.filter("first").drop("first").withColumnRenamed("copies", "alike").repartition("anchor")
+        .withColumn("copies", F.sum("alike").over(same))
         .withColumn("nth", F.row_number().over(same.orderBy("doc_id", "crc", "lo")))
-        .withColumn("total", F.count("*").over(alike))
-        .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(alike))
-        .withColumn("open", F.min("copies").over(alike) == 1)
+        .withColumn("total", F.sum("alike").over(anchor))
+        .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(anchor))
+        .withColumn("open", F.min("copies").over(anchor) == 1)
         .filter("total > 1 OR own")
         .withColumn("compare", F.expr("nth = 1 AND open AND (kinds > 1 OR own)"))
         .drop("nth", "total", "open", "own")
@@ -289,17 +320,26 @@ def repeated_spans(
 ) -> DataFrame:
     """Per document (doc_id, crc) the unmerged ranges of units in repeated windows: array of (a, b),
     b exclusive. ``docs`` has doc_id, text and crc."""
-    hits = materialize(repeated_stretches(find_stretches(docs, units)), "stretches")
-    whole = hits.filter("copies > 1").select("doc_id", "crc", "lo", "hi")
-    mixed = hits.filter("compare")
-    texts = materialize(stretch_texts(docs, mixed, units), "stretch-texts")
+    spark, span = docs.sparkSession, ["doc_id", "crc", "lo", "hi"]
+    paths = [scratch_path(spark, n) for n in ("stretches", "repeated", "known", "stretch-texts")]
+    found = materialize(find_stretches(docs, units), "stretches", paths[0])
+    hits = materialize(repeated_stretches(found), "repeated", paths[1])
+    known = materialize(found.filter("copies > 1").select(*span), "known", paths[2])
+    remove_path(spark, paths[0])
+    texts = materialize(stretch_texts(docs, hits.filter("compare"), units), "stretch-texts", paths[3])
+    whole = known.unionByName(hits.filter("alike = 1 AND copies > 1").select(*span))
     parts = compare_stretches(texts.filter(F.col("kinds") <= wide_group), units, compare)
     wide = count_windows(texts.filter(F.col("kinds") > wide_group), units)
-    return (
-        whole.unionByName(parts).unionByName(wide)
-        .select("doc_id", "crc", F.struct(F.col("lo").alias("a"), (F.col("hi") + units.window).alias("b")).alias("s"))
+    ranges = F.struct(F.col("lo").alias("a"), (F.col("hi") + units.window).alias("b")).alias("s")
+    spans = (
+        whole.unionByName(parts).unionByName(wide).select("doc_id", "crc", ranges)
         .groupBy("doc_id", "crc").agg(F.collect_list("s").alias("spans"))
     )
+    spans = materialize(spans, "spans")
+    # the tables on the way have served
+    for path in paths[1:]:
+        remove_path(spark, path)
+    return spans
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
