@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 LONGEST = 4
 MAX_LANGUAGES = 100
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000  # scored words a task remembers
+_CACHE = 100_000  # scored words a task remembers
 
 
 @dataclass(frozen=True)

@@ -39,7 +39,7 @@ CLASSES = 32
 # PAIRS_FROM has no similar set of SINGLES_BELOW or more, and every set from PAIRS_FROM on reaches its cover.
 PAIRS_FROM, SINGLES_BELOW = 42, 53
 SKETCH = 8  # longs of a parity sketch
-HELD_TOKENS = 2_000_000  # tokens of the sets that a task counts at once
+HELD_TOKENS = 1_000_000  # tokens of the sets that a task counts at once
 
 
 def slack(n: int, percent: int) -> int:
