@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import DataFrame
 
 from flowspark import session
@@ -14,5 +16,9 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     stand for them. A long chain of steps would fill the disks before that happens by itself.
     """
     written = session.materialize(df, name, path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    context = df.sparkSession.sparkContext
+    # the end of the query is announced first, for its announcement holds the plan as well
+    with suppress(Exception):
+        context._jsc.sc().listenerBus().waitUntilEmpty(2000)
+    context._jvm.System.gc()
     return written
