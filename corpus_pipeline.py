@@ -23,7 +23,7 @@ SHARDS = 40
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language.fit(docs.filter(~language.held_out()).select("text", "lang"))
+    model = language.fit(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
     found = language.predict(docs, model)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 

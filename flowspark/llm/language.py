@@ -5,13 +5,15 @@ The model holds, per language, the log frequency of its common words and of the
 word is scored by its 4-grams, each unseen one by its 3-grams, and so on down to letters. Words are
 runs of letters, lower-cased.
 
-Fitting uses a bounded sample of the labelled rows: at most about ``sample`` rows per language, drawn by
-a hash of the text; words and n-grams are counted by Spark, and of each kind the ``entries`` most frequent,
-in equal parts for the languages, are kept. With at most ``MAX_LANGUAGES`` languages the model has
+Fitting uses a sample of the labelled rows that hold letters: about ``sample`` rows per language, drawn by
+a hash of doc_id and text, and at least one; of a language with fewer different texts than that, all rows.
+Words and n-grams are counted by Spark, and of each kind the ``entries`` most frequent, in equal parts for
+the languages, are kept. An entry that a language lacks scores the same in every language. With at most ``MAX_LANGUAGES`` languages the model has
 2 * entries * MAX_LANGUAGES numbers at most, so it can be sent to every task.
 
 Results for odd input: a null text or one without letters gets ``und`` and score 0; rows with a null
-lang teach nothing; without any labelled row every text is ``und``; ties go to the language that is first
+lang and labelled rows without letters teach nothing, and a language that has no others is not part of
+the model; without any language every text is ``und``; ties go to the language that is first
 by code point; repeated rows get the same answer; other columns are ignored.
 """
 
@@ -102,23 +104,35 @@ def _top(counts: DataFrame, kept: int) -> DataFrame:
     return counts.withColumn("rank", ranked).filter(F.col("rank") <= kept).select("lang", "entry", "n")
 
 
+def _last_hash(size, sample: int) -> int:
+    """The highest hash of the rows drawn of a language."""
+    if size["texts"] < sample or size["count"] <= sample:
+        return (1 << 63) - 1
+    return max(size["first"], sample * (1 << 64) // size["count"] - (1 << 63))
+
+
 def fit(
     labelled: DataFrame, sample: int = 2000, entries: int = 100_000, max_languages: int = MAX_LANGUAGES
 ) -> LanguageModel:
-    """Learn from the columns text and lang; the most frequent ``max_languages`` languages are learned."""
-    rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    """Learn from the columns text, lang and, where there is one, doc_id, which tells equal texts apart in
+    the draw; the most frequent ``max_languages`` languages are learned."""
+    key = [c for c in ("doc_id", "text") if c in labelled.columns]
+    rows = labelled.filter("lang IS NOT NULL").filter(F.rlike("text", F.lit(r"\p{L}"))).select(
+        "lang", "text", F.xxhash64(*key).alias("_h")
+    )
+    sizes = (
+        rows.groupBy("lang").agg(
+            F.count("*").alias("count"), F.countDistinct(F.xxhash64("text")).alias("texts"), F.min("_h").alias("first"),
+        )
+        .orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    )
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return LanguageModel([], {}, {}, np.zeros((0, 0)), np.zeros(0))
     spark = labelled.sparkSession
-    # rows whose hash lies below the share, of all rows alike
-    shares = spark.createDataFrame(
-        [(r["lang"], int(min(1.0, sample / r["count"]) * (1 << 31))) for r in sizes], "lang string, share bigint"
-    )
-    drawn = rows.select("lang", "text").join(F.broadcast(shares), "lang").filter(
-        F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < F.col("share")
-    )
+    # rows whose hash lies in the share, counted from the lowest hash; the first row always does
+    lasts = spark.createDataFrame([(r["lang"], _last_hash(r, sample)) for r in sizes], "lang string, last bigint")
+    drawn = rows.join(F.broadcast(lasts), "lang").filter(F.col("_h") <= F.col("last"))
     words = drawn.select("lang", F.explode(_words("text")).alias("entry")).groupBy("lang", "entry").agg(
         F.count("*").alias("n")
     ).cache()
@@ -146,7 +160,8 @@ def fit(
 
 def _log_frequencies(found: pa.Table, languages: list[str], by_length: bool) -> tuple[dict[str, int], np.ndarray, float]:
     """Row of each entry, the log frequencies by language, and the lowest of them. Frequencies are shares
-    of all entries, or of those with the same number of letters; an entry that a language lacks counts half."""
+    of all entries, or of those with the same number of letters; an entry that a language lacks counts half
+    in the largest language's total, so that no language gains by having few words."""
     entries = found.column("entry").to_pylist()
     code = {lang: k for k, lang in enumerate(languages)}
     rows = {e: k for k, e in enumerate(sorted(set(entries)))}
@@ -158,8 +173,9 @@ def _log_frequencies(found: pa.Table, languages: list[str], by_length: bool) ->
     for size in np.unique(length):
         same = length == size
         total = counts[same].sum(axis=0) + 1
-        table[same] = np.log(np.maximum(counts[same], 0.5) / total)
-        lowest = min(lowest, float(np.log(0.5 / total).min()))
+        floor = float(np.log(0.5 / total.max()))
+        table[same] = np.where(counts[same] > 0, np.log(np.maximum(counts[same], 0.5) / total), floor)
+        lowest = min(lowest, floor)
     return rows, table, lowest
 
 

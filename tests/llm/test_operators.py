@@ -213,6 +213,28 @@ def test_language_of_odd_rows(spark, empty):
     assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
 
 
+def test_languages_with_few_counted_words(spark):
+    rnd = random.Random(11)
+    own = {k: ["".join(rnd.choice(k) for _ in range(rnd.randint(2, 7))) for _ in range(300)] for k in ("abcdef", "ghijkl", "mnopqr")}
+    say = lambda k, n=40: " ".join(rnd.choice(own[k]) for _ in range(n))
+    rows = [(say("abcdef"), "aa") for _ in range(60)] + [(say("ghijkl"), "gg") for _ in range(60)]
+    rows += [(say("mnopqr"), "one")]  # one document
+    rows += [("12 345 - 6", "none"), (" ", "none"), ("", "none")]  # no letters
+    copied = {f"copy{c}": f"{c}st{c}u {c}v{c}{c}" for c in "wxyzäö"}
+    rows += [(text, lang) for lang, text in copied.items() for _ in range(30)]  # more rows than drawn, one text
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    for labelled in (table, table.drop("doc_id"), table.withColumn("doc_id", F.lit(None).cast("bigint"))):
+        model = language.fit(labelled, sample=10)
+        assert model.languages == sorted({"aa", "gg", "one", *copied})
+        guess = lambda text: model.predict(text, {})[0]
+        for _ in range(20):
+            assert guess(say("abcdef")) == "aa" and guess(say("ghijkl")) == "gg" and guess(say("mnopqr")) == "one"
+        assert {lang: guess(text) for lang, text in copied.items()} == {lang: lang for lang in copied}
+    # what no language knows says next to nothing
+    assert np.ptp(model.word_scores("ßßß")) < 0.1
+    assert language.fit(table.filter("lang = 'none'")).languages == []
+
+
 def test_backoff_from_words_to_letters():
     model = language.LanguageModel(
         ["de", "en"], {"the": 0}, {"_der": 1, "sch": 2, "w": 3},
