@@ -8,8 +8,9 @@ runs of letters, lower-cased.
 Fitting uses a sample of the labelled rows that hold letters: about ``sample`` rows per language, drawn by
 a hash of doc_id and text, and at least one; of a language with fewer different texts than that, all rows.
 Words and n-grams are counted by Spark, and of each kind the ``entries`` most frequent, in equal parts for
-the languages, are kept. An entry that a language lacks scores the same in every language. With at most ``MAX_LANGUAGES`` languages the model has
-2 * entries * MAX_LANGUAGES numbers at most, so it can be sent to every task.
+the languages but never less than ``LEAST_ENTRIES`` of one, are kept. An entry that a language lacks scores
+the same in every language, so beyond ``DENSE_LANGUAGES`` languages only the others are stored. All languages
+are learned; more than ``MAX_LANGUAGES`` are refused, so the model can be sent to every task.
 
 Results for odd input: a null text or one without letters gets ``und`` and score 0; rows with a null
 lang and labelled rows without letters teach nothing, and a language that has no others is not part of
@@ -21,17 +22,50 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LONGEST = 4
-MAX_LANGUAGES = 100
+MAX_LANGUAGES = 1000
+DENSE_LANGUAGES = 100
+LEAST_ENTRIES = 1000
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 100_000  # scored words a task remembers
+_CACHE = 10_000_000  # scores a task remembers, for 100,000 words at most
+
+
+@dataclass(frozen=True)
+class SparseTable:
+    """Rows of log frequencies that are the floor of the row but for the languages that have the entry."""
+
+    begin: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+    floor: np.ndarray
+    width: int
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        row = np.full(self.width, self.floor[k])
+        own = slice(self.begin[k], self.begin[k + 1])
+        row[self.at[own]] = self.value[own]
+        return row
+
+    def dense(self) -> np.ndarray:
+        out = np.repeat(self.floor[:, None], self.width, axis=1)
+        out[np.repeat(np.arange(len(self.floor)), np.diff(self.begin)), self.at] = self.value
+        return out
+
+    def then(self, other: SparseTable) -> SparseTable:
+        """These rows and those of ``other``."""
+        return SparseTable(
+            np.concatenate([self.begin, other.begin[1:] + self.begin[-1]]), np.concatenate([self.at, other.at]),
+            np.concatenate([self.value, other.value]), np.concatenate([self.floor, other.floor]), self.width,
+        )
 
 
 @dataclass(frozen=True)
@@ -41,7 +75,7 @@ class LanguageModel:
     languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
-    table: np.ndarray
+    table: np.ndarray | SparseTable
     unseen: np.ndarray
 
     def _gram_scores(self, word: str, size: int) -> np.ndarray:
@@ -79,15 +113,18 @@ class LanguageModel:
         counts: dict[str, int] = {}
         for w in words:
             counts[w] = counts.get(w, 0) + 1
-        rows = np.empty((len(counts), len(self.languages)))
-        for k, w in enumerate(counts):
-            row = cache.get(w)
-            if row is None:
-                if len(cache) >= _CACHE:
-                    cache.clear()
-                row = cache[w] = self.word_scores(w)
-            rows[k] = row
-        total = np.array(list(counts.values()), float) @ rows
+        most = min(100_000, _CACHE // len(self.languages))  # words at a time
+        for first in range(0, len(counts), most):
+            part = dict(islice(counts.items(), first, first + most))
+            rows = np.empty((len(part), len(self.languages)))
+            for k, w in enumerate(part):
+                row = cache.get(w)
+                if row is None:
+                    if len(cache) >= most:
+                        cache.clear()
+                    row = cache[w] = self.word_scores(w)
+                rows[k] = row
+            total += np.array(list(part.values()), float) @ rows
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
@@ -115,7 +152,7 @@ def fit(
     labelled: DataFrame, sample: int = 2000, entries: int = 100_000, max_languages: int = MAX_LANGUAGES
 ) -> LanguageModel:
     """Learn from the columns text, lang and, where there is one, doc_id, which tells equal texts apart in
-    the draw; the most frequent ``max_languages`` languages are learned."""
+    the draw; more than ``max_languages`` languages are an error."""
     key = [c for c in ("doc_id", "text") if c in labelled.columns]
     rows = labelled.filter("lang IS NOT NULL").filter(F.rlike("text", F.lit(r"\p{L}"))).select(
         "lang", "text", F.xxhash64(*key).alias("_h")
@@ -124,8 +161,10 @@ def fit(
         rows.groupBy("lang").agg(
             F.count("*").alias("count"), F.countDistinct(F.xxhash64("text")).alias("texts"), F.min("_h").alias("first"),
         )
-        .orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+        .limit(max_languages + 1).collect()
     )
+    if len(sizes) > max_languages:
+        raise ValueError(f"the model holds at most {max_languages} languages")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return LanguageModel([], {}, {}, np.zeros((0, 0)), np.zeros(0))
@@ -145,38 +184,40 @@ def fit(
         for size in range(1, LONGEST + 1)
     ]))
     grams = words.select("lang", F.explode(pieces).alias("entry"), "n").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-    # at most ``entries`` rows of each kind
-    top_words = _top(words, entries // len(languages)).toArrow()
-    top_grams = _top(grams, entries // len(languages)).toArrow()
+    # at most ``entries`` rows of each kind, or LEAST_ENTRIES of every language
+    kept = max(entries // len(languages), min(entries, LEAST_ENTRIES))
+    top_words = _top(words, kept).toArrow()
+    top_grams = _top(grams, kept).toArrow()
     words.unpersist()
     word_rows, word_table, _ = _log_frequencies(top_words, languages, by_length=False)
     gram_rows, gram_table, floor = _log_frequencies(top_grams, languages, by_length=True)
     gram_rows = {gram: k + len(word_rows) for gram, k in gram_rows.items()}
-    return LanguageModel(
-        languages, word_rows, gram_rows, np.concatenate([word_table, gram_table]).astype(np.float32),
-        np.full(len(languages), floor),
-    )
+    table = word_table.then(gram_table)
+    if len(languages) <= DENSE_LANGUAGES:
+        table = table.dense()
+    return LanguageModel(languages, word_rows, gram_rows, table, np.full(len(languages), floor))
 
 
-def _log_frequencies(found: pa.Table, languages: list[str], by_length: bool) -> tuple[dict[str, int], np.ndarray, float]:
+def _log_frequencies(found: pa.Table, languages: list[str], by_length: bool) -> tuple[dict[str, int], SparseTable, float]:
     """Row of each entry, the log frequencies by language, and the lowest of them. Frequencies are shares
     of all entries, or of those with the same number of letters; an entry that a language lacks counts half
     in the largest language's total, so that no language gains by having few words."""
     entries = found.column("entry").to_pylist()
-    code = {lang: k for k, lang in enumerate(languages)}
     rows = {e: k for k, e in enumerate(sorted(set(entries)))}
-    counts = np.zeros((len(rows), len(languages)))
-    at = [rows[e] for e in entries], [code[v] for v in found.column("lang").to_pylist()]
-    np.add.at(counts, at, found.column("n").to_numpy())
+    row = np.array([rows[e] for e in entries], np.int64)
+    at = pc.index_in(found.column("lang"), pa.array(languages)).to_numpy().astype(np.int32)
+    n = found.column("n").to_numpy().astype(float)
     length = np.array([len(e) if by_length else 0 for e in rows], np.int64)
-    table, lowest = np.empty_like(counts), -20.0
-    for size in np.unique(length):
-        same = length == size
-        total = counts[same].sum(axis=0) + 1
-        floor = float(np.log(0.5 / total.max()))
-        table[same] = np.where(counts[same] > 0, np.log(np.maximum(counts[same], 0.5) / total), floor)
-        lowest = min(lowest, floor)
-    return rows, table, lowest
+    total = np.ones((length.max(initial=0) + 1, len(languages)))
+    np.add.at(total, (length[row], at), n)
+    floor = np.log(0.5 / total.max(axis=1))
+    order = np.argsort(row, kind="stable")
+    row, at, n = row[order], at[order], n[order]
+    table = SparseTable(
+        np.searchsorted(row, np.arange(len(rows) + 1)), at, np.log(n / total[length[row], at]).astype(np.float32),
+        floor[length].astype(np.float32), len(languages),
+    )
+    return rows, table, min(-20.0, float(floor[np.unique(length)].min(initial=0)))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -235,6 +235,22 @@ def test_languages_with_few_counted_words(spark):
     assert language.fit(table.filter("lang = 'none'")).languages == []
 
 
+def test_many_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = {f"l{a}{b}": f"{a}{b}{a} {b}{a}{a}{b} q{a}{b}q" for a in letters[:12] for b in letters[12:22]}
+    # the rarer half has one row each, the others two
+    rows = [(t, lang) for k, (lang, t) in enumerate(text.items()) for _ in range(1 + (k < 60))]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    model = language.fit(table)
+    assert len(model.languages) == 120 and isinstance(model.table, language.SparseTable)
+    assert {lang: model.predict(t, {})[0] for lang, t in text.items()} == {lang: lang for lang in text}
+    # the two forms of the table hold the same numbers
+    dense = model.table.dense()
+    assert all((model.table[k] == dense[k]).all() for k in range(len(dense)))
+    with pytest.raises(ValueError):
+        language.fit(table, max_languages=119)
+
+
 def test_backoff_from_words_to_letters():
     model = language.LanguageModel(
         ["de", "en"], {"the": 0}, {"_der": 1, "sch": 2, "w": 3},
