@@ -144,8 +144,10 @@ def _grams_table(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
 def _search_large(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """The same search as joins, for a test set too large to send to the tasks."""
     rows = docs.select(F.struct("doc_id", F.crc32("text").alias("c")).alias("d"), "text")
-    grams = _grams_table(items.withColumn("i", F.struct("item_id", F.crc32("text").alias("c"))), "i", [*range(1, SIZE + 1)])
-    grams = grams.filter(f"size = {SIZE} OR words = size").drop("words")
+    item_rows = items.select(F.struct("item_id", F.crc32("text").alias("c")).alias("i"), "text")
+    grams = _grams_table(item_rows, "i", [*range(1, SIZE + 1)])
+    # a row that stands several times counts once; its results are given to each of its rows at the end
+    grams = grams.filter(f"size = {SIZE} OR words = size").select("i", "size", "gram").distinct()
     per_item = grams.groupBy("i", "size").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("h"), "gram")).alias("g"))
     per_item = per_item.withColumn("part", F.length(F.bin(F.size("g"))))
     largest = per_item.groupBy("size", "part").agg(F.max(F.size("g")).alias("u"))
@@ -154,14 +156,17 @@ def _search_large(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     )
     index = sketch.select("i", "size", F.explode(F.slice(F.sort_array("g"), 1, F.col("k").cast("int"))).alias("s"))
     index = index.select("i", "size", F.col("s.gram").alias("gram"))
-    held = materialize(_grams_table(rows, "d", [*range(1, SIZE + 1)]).select("d", "size", "gram"), "doc-grams")
+    # one row of each (doc_id, text) is enough: shingles are made of it alone
+    once = rows.dropDuplicates(["d"])
+    held = materialize(_grams_table(once, "d", [*range(1, SIZE + 1)]).select("d", "size", "gram"), "doc-grams")
     candidates = held.join(index, ["size", "gram"]).select("d", "i").distinct()
     common = (
         candidates.join(grams, "i").join(held, ["d", "size", "gram"])
         .groupBy("d", "i").agg(F.count("*").alias("n_common"))
     )
     sizes = per_item.select("i", F.size("g").cast("bigint").alias("n_item_shingles"))
-    return common.join(sizes, "i").filter(F.col("n_common") * 100 >= percent * F.col("n_item_shingles")).select(
+    found = common.join(sizes, "i").filter(F.col("n_common") * 100 >= percent * F.col("n_item_shingles"))
+    return found.join(rows.select("d"), "d").join(item_rows.select("i"), "i").select(
         "d.doc_id", "i.item_id", "n_item_shingles", "n_common"
     )
 

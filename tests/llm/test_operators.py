@@ -325,6 +325,20 @@ def test_contained_items_equal_brute_force(spark, most):
     assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {w[0] for w in want}
 
 
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_containment_of_repeated_rows(spark, most):
+    item = " ".join(f"w{k}" for k in range(24))  # 20 shingles
+    whole, half = f"x {item} y", " ".join(item.split()[:12])  # 8 of them
+    docs = [(1, whole), (1, whole), (2, half), (2, half), (2, half), (3, whole), (None, whole), (None, whole), (None, half)]
+    items = [(7, item), (7, item), (8, "w1 W2"), (8, "w1 w2"), (9, None)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contained_items(frame, table, max_item_words=most).collect()
+    got = [(r["doc_id"], r["item_id"], r["n_item_shingles"], r["n_common"]) for r in found]
+    want = [(d, i, *h) for d, t in docs for i, x in items if (h := held(t, x))]
+    assert collections.Counter(got) == collections.Counter(want) and (1, 7, 20, 20) in want and (2, 7, 20, 8) not in got
+
+
 def test_containment_of_empty_tables(spark, empty):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert decontaminate.contained_items(empty, items).count() == 0
