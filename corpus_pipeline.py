@@ -12,6 +12,8 @@ each; of a component the row with the smallest doc_id stays, equal rows once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +24,22 @@ MIN_SCORE = 0.5
 SHARDS = 40
 
 
+def _aside(docs: DataFrame, needed: tuple[str, ...], operate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operate`` on ``docs``, whose columns other than ``needed`` have private names meanwhile, so that
+    none gives way to a column of the operator."""
+    names = [c if c in needed else f"_doc{k}" for k, c in enumerate(docs.columns)]
+    out = operate(docs.toDF(*names))
+    return out.select(*[F.col(name).alias(c) for name, c in zip(names, docs.columns)])
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
-    found = language.predict(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    known = (F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)
+    return _aside(docs, ("doc_id", "text"), lambda rows: language.predict(rows, model).filter(known))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.drop_similar(docs, size=5, percent=80)
+    return _aside(docs, ("doc_id", "text"), lambda rows: ngram_join.drop_similar(rows, size=5, percent=80))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +48,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.take_documents(mixing.mix(docs)).select(*docs.columns)
+    return _aside(docs, ("doc_id", "source", "text"), lambda rows: mixing.take_documents(mixing.mix(rows)))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -378,6 +378,17 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     assert max(sizes.values()) - min(sizes[s] for s in range(40)) <= 1
 
 
+def test_stages_keep_columns_with_names_of_operators(spark, sf_dir):
+    names = ["score", "lang_pred", "size", "source_size", "target", "taken", "_h", "_crc", "_shard", "_key", "_nth", "a.b"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), "doc_id") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in names), name
+
+
 def test_pipeline_with_odd_rows(spark, tmp_path, empty):
     items = spark.createDataFrame([(1, "some test item of several words")], "item_id bigint, text string")
     for k, table in enumerate((odd(spark).select("doc_id", "text", "lang", "source", "n_chars"), empty)):
