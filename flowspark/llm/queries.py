@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from flowspark.llm import (
     decontaminate, language, line_templates, mixing, ngram_join, quality, sharding, substring_tree, suffix_array,
-    token_counts,
+    token_counts, url_filter,
 )
+from flowspark.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -215,3 +216,37 @@ FROM n LEFT JOIN t USING (doc_id)
 def op10(spark, sf_dir):
     out = suffix_array.drop_repeated_bytes(documents(spark, sf_dir, "doc_id", "text"), window=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+URL_RULES = (
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
+
+
+@query("op12_sorted_digest_url_filter", r"""
+WITH r(rhost, rpath, verdict) AS (VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+),
+a AS (
+  SELECT page_id, row_number() OVER () AS k,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+u AS (
+  SELECT page_id, k,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a
+),
+m AS (
+  SELECT u.*, rhost || rpath AS rule, verdict,
+    row_number() OVER (PARTITION BY k ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS place
+  FROM u LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE place = 1
+""")
+def op12(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rules = small_table(spark, list(URL_RULES), "rule STRING, verdict STRING")
+    out = url_filter.filter_urls(pages, rules, default="allow")
+    return out.select("page_id", "host", "path", "rule", "verdict")
