@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.llm import (
-    decontaminate, language, line_templates, mixing, ngram_join, quality, sharding, substring_tree, suffix_array,
-    token_counts, url_filter,
+    decontaminate, language, line_templates, mixing, ngram_join, quality, sharding,
+    substring_tree, suffix_array,
+    spelling, token_counts, url_filter,
 )
 from flowspark.session import small_table
 
@@ -250,3 +251,57 @@ def op12(spark, sf_dir):
     rules = small_table(spark, list(URL_RULES), "rule STRING, verdict STRING")
     out = url_filter.filter_urls(pages, rules, default="allow")
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _letters(text: str) -> str:
+    """SQL for the UTF-8 bytes of a text of ASCII and Latin-1 letters, as a list of numbers."""
+    code = "CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END"
+    return f"flatten(list_transform(string_split({text}, ''), lambda c: {code}))"
+
+
+# the table of the checksum, and the checksum of a list of bytes
+CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+)"""
+
+
+def _crc32(letters: str) -> str:
+    step = "lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])"
+    return f"xor(list_reduce(list_prepend(4294967295, {letters}), {step}), 4294967295)"
+
+
+@query("op11_bloom_spelling_variants", rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents
+),
+g AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS id, run, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT run, n, CAST({_crc32(_letters("id"))} AS BIGINT) AS h FROM g, crc WHERE length(run) >= 7),
+d AS (
+  SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h
+),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+c AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+cut AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM c),
+gap AS (SELECT word, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole FROM c),
+p AS (
+  SELECT cut.word AS a, v.word AS b FROM cut JOIN v ON v.word = cut.less
+  UNION ALL SELECT v.word, cut.word FROM cut JOIN v ON v.word = cut.less
+  UNION ALL SELECT x.word, y.word FROM gap x JOIN gap y ON x.hole = y.hole AND x.word <> y.word
+),
+b AS (
+  SELECT p.a, p.b, v.n, row_number() OVER (PARTITION BY p.a ORDER BY v.n DESC, p.b) AS place, count(*) OVER (PARTITION BY p.a) AS n_near
+  FROM p JOIN v ON v.word = p.b
+),
+f AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= 10 * v.n THEN b.b END AS form, CASE WHEN b.n >= 10 * v.n THEN b.n END AS form_n
+  FROM v LEFT JOIN b ON b.a = v.word AND b.place = 1
+),
+w(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, w.root FROM w JOIN f ON f.form = w.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN w ON w.word = f.word
+""")
+def op11(spark, sf_dir):
+    words = spelling.count_words(documents(spark, sf_dir, "doc_id", "text"), 7, 2, spelling.drop_letter)
+    return spelling.group_variants(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
