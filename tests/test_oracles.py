@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
@@ -29,7 +30,7 @@ def rows_of(frame):
     frame = frame[sorted(frame.columns)]
 
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
         return v.item() if hasattr(v, "item") else v
 
