@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.llm import (
-    decontaminate, language, line_templates, mixing, ngram_join, quality, sharding,
+    conversations, decontaminate, language, line_templates, mixing, ngram_join, quality, sharding,
     substring_tree, suffix_array,
     spelling, token_counts, url_filter,
 )
@@ -305,3 +305,79 @@ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN w ON w.word = f.word
 def op11(spark, sf_dir):
     words = spelling.count_words(documents(spark, sf_dir, "doc_id", "text"), 7, 2, spelling.drop_letter)
     return spelling.group_variants(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_agenda_conversation_repair", rf"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations
+),
+h AS (SELECT o.*, CAST({_crc32("list_transform(string_split(id, ''), lambda c: ord(c))")} AS BIGINT) % 20 AS h FROM o, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM h WHERE h <> 0
+),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 32), md5(text), copy) AS i,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d
+),
+f AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT bare[-1:] IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault,
+    role[1:1] AS c, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS p
+  FROM n
+),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE p IS NOT NULL AND p || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+),
+ins(q, a, w, r) AS (VALUES
+  (0, '', 0, []), (1, '', 0, []), (2, '', 0, []), (3, '', 0, []),
+  (0, 'I', 2, ['user:']), (1, 'I', 2, ['user:']), (2, 'I', 3, ['assistant:']), (3, 'I', 2, ['user:']),
+  (0, 'II', 3, ['user:', 'assistant:']), (1, 'II', 3, ['user:', 'assistant:']),
+  (2, 'II', 2, ['assistant:', 'user:']), (3, 'II', 3, ['user:', 'assistant:'])
+),
+ins1 AS (SELECT q, a, CASE WHEN a = '' THEN q ELSE w END AS w, r FROM ins),
+op(w, e, c, q2, role) AS (VALUES
+  (0, 'D', '', 0, ''), (1, 'D', '', 1, ''), (2, 'D', '', 2, ''), (3, 'D', '', 3, ''),
+  (0, 'R', '', 2, 'user'), (1, 'R', '', 2, 'user'), (2, 'R', '', 3, 'assistant'), (3, 'R', '', 2, 'user'),
+  (0, 'K', 's', 1, ''), (0, 'K', 'u', 2, ''), (1, 'K', 'u', 2, ''), (3, 'K', 'u', 2, ''), (2, 'K', 'a', 3, '')
+),
+st AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS res FROM f
+  UNION ALL
+  SELECT conv_id, i, q, b.cost, b.audit, b.res FROM (
+    SELECT st.conv_id, f.i, op.q2 AS q, min({{
+      'cost': st.cost + 3 * length(ins1.a) + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+        + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END,
+      'audit': st.audit || ins1.a || e,
+      'res': st.res || ins1.r || CASE e WHEN 'D' THEN [] WHEN 'R' THEN [op.role || ':' || f.text] ELSE [f.role || ':' || f.text] END
+    }}) AS b
+    FROM st JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.i = st.i + 1
+    JOIN ins1 ON ins1.q = st.q JOIN op ON op.w = ins1.w AND (op.c = '' OR op.c = f.c)
+    WHERE e = 'D' OR fault IN ('fine', 'truncated')
+    GROUP BY st.conv_id, f.i, op.q2
+  ) x
+),
+m AS (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id),
+z AS (
+  SELECT st.conv_id, min({{
+    'cost': cost + CASE q WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'audit': audit || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'res': res || CASE q WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END
+  }}) AS b FROM st JOIN m ON m.conv_id IS NOT DISTINCT FROM st.conv_id AND m.i = st.i GROUP BY st.conv_id
+)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(z.b.cost, 0) AS cost, coalesce(z.b.audit, '') AS audit,
+  sha256(coalesce(array_to_string(z.b.res, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id
+""")
+def op13(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversations.repair_conversations(conversations.damage(rows), rows)
