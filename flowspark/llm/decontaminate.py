@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.llm.keys import KEY, row_key
 from flowspark.llm.text import gram_hashes, row_chunks, texts_of, word_bounds, word_hashes
 from flowspark.llm.scratch import materialize
 
 SIZE = 5
 MAX_ITEM_WORDS = 2_000_000
 _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
-PAIR = "doc_id bigint, item_id bigint, n_item_shingles bigint, n_common bigint"
+ITEM = "item_id bigint, n_item_shingles bigint, n_common bigint"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -72,7 +73,7 @@ def sketches(items: list[tuple[int, str]], percent: int) -> list[tuple[int, int,
     return out
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], percent: int) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[int, str]], percent: int, names: list[str]) -> DataFrame:
     found = sketches(items, percent)
     by_size = {}
     for size in {s for _, s, _, _ in found}:
@@ -87,7 +88,6 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], percent: int) -> Data
         items, index = shared.value
         for batch in batches:
             data, bounds = texts_of(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
             out = []
             for first, last in row_chunks(bounds):
                 starts, ends, begin = word_bounds(data, bounds[first : last + 1])
@@ -112,14 +112,19 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], percent: int) -> Data
                     item_id, _, _, wanted = items[k]
                     common = len(wanted & grams)
                     if common * 100 >= percent * len(wanted):
-                        out.append((ids[first + d], item_id, len(wanted), common))
+                        out.append((first + d, item_id, len(wanted), common))
             if out:
+                rows, *values = (pa.array(c, pa.int64()) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in zip(*out)],
-                    names=["doc_id", "item_id", "n_item_shingles", "n_common"],
+                    [*(batch.column(c).take(rows) for c in names), *values],
+                    names=[*names, "item_id", "n_item_shingles", "n_common"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, PAIR)
+    return docs.select(*names, "text").mapInArrow(run, _schema(docs, names))
+
+
+def _schema(docs: DataFrame, names: list[str]) -> str:
+    return ", ".join([*(f"{c} {dict(docs.dtypes)[c]}" for c in names), ITEM])
 
 
 def _grams_table(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
@@ -141,10 +146,12 @@ def _grams_table(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     return out
 
 
-def _search_large(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+def _search_large(docs: DataFrame, items: DataFrame, percent: int, names: list[str]) -> DataFrame:
     """The same search as joins, for a test set too large to send to the tasks."""
-    rows = docs.select(F.struct("doc_id", F.crc32("text").alias("c")).alias("d"), "text")
-    item_rows = items.select(F.struct("item_id", F.crc32("text").alias("c")).alias("i"), "text")
+    rows = docs.select(F.struct(*(column.alias(k) for k, column in row_key().items())).alias("d"), *names, "text")
+    item_rows = items.select(
+        F.struct(*(column.alias(k) for k, column in row_key("item_id").items())).alias("i"), "item_id", "text"
+    )
     grams = _grams_table(item_rows, "i", [*range(1, SIZE + 1)])
     # a row that stands several times counts once; its results are given to each of its rows at the end
     grams = grams.filter(f"size = {SIZE} OR words = size").select("i", "size", "gram").distinct()
@@ -166,29 +173,42 @@ def _search_large(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     )
     sizes = per_item.select("i", F.size("g").cast("bigint").alias("n_item_shingles"))
     found = common.join(sizes, "i").filter(F.col("n_common") * 100 >= percent * F.col("n_item_shingles"))
-    return found.join(rows.select("d"), "d").join(item_rows.select("i"), "i").select(
-        "d.doc_id", "i.item_id", "n_item_shingles", "n_common"
+    return found.join(rows.select("d", *names), "d").join(item_rows.select("i", "item_id"), "i").select(
+        *names, "item_id", "n_item_shingles", "n_common"
     )
 
 
-def contained_items(
-    docs: DataFrame, items: DataFrame, percent: int = 80, max_item_words: int = MAX_ITEM_WORDS
+def _found(
+    docs: DataFrame, items: DataFrame, percent: int, max_item_words: int, names: list[str]
 ) -> DataFrame:
-    """(doc_id, item_id, n_item_shingles, n_common) of every document that holds at least ``percent`` of
-    an item's shingles. ``docs`` has doc_id and text, ``items`` item_id and text."""
+    """The columns ``names`` of a document with the item it holds; ``docs`` has doc_id and text as well."""
     blanks = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     n = items.agg(F.coalesce(F.sum(blanks), F.lit(0)) + F.count("*")).first()[0]
     if n > max_item_words:
-        return _search_large(docs, items, percent)
+        return _search_large(docs, items, percent, names)
     rows = items.select("item_id", "text").collect()  # bounded by the line above
     found = [(r["item_id"], r["text"]) for r in rows]
     if not any(words_of(t) for _, t in found):
-        return docs.sparkSession.createDataFrame([], PAIR)
-    return _search(docs, found, percent)
+        return docs.sparkSession.createDataFrame([], _schema(docs, names))
+    return _search(docs, found, percent, names)
+
+
+def contained_items(
+    docs: DataFrame, items: DataFrame, percent: int = 80, max_item_words: int = MAX_ITEM_WORDS
+) -> DataFrame:
+    """(doc_id, item_id, n_item_shingles, n_common) of every document that holds at least ``percent`` of
+    an item's shingles. ``docs`` has doc_id and text, ``items`` item_id and text."""
+    return _found(docs, items, percent, max_item_words, ["doc_id"])
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that hold a test item; all columns stay."""
-    bad = contained_items(docs, items, percent).select("doc_id").distinct().withColumnRenamed("doc_id", "_bad")
-    # a null doc_id is a document like any other
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, percent: int = 80, max_item_words: int = MAX_ITEM_WORDS
+) -> DataFrame:
+    """``docs`` without the rows that hold a test item; all columns stay. A row is known by doc_id and text,
+    so other rows with its doc_id, or without any, stay."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    names = {c: f"_row_{c}" for c in KEY}
+    keyed = docs.withColumns({names[c]: column for c, column in row_key().items()})
+    held = keyed.select("doc_id", "text", *names.values())
+    bad = _found(held, items, percent, max_item_words, [*names.values()]).select(*names.values()).distinct()
+    return keyed.join(bad, [*names.values()], "left_anti").select(*columns)

@@ -29,8 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.components import components
+from flowspark.llm.keys import KEY, row_key
 from flowspark.llm.text import mix, row_chunks, shingle_sets, texts_of
-from flowspark.session import remove_path, scratch_path
+from flowspark.session import lookup_join, remove_path, scratch_path
 from flowspark.llm.scratch import materialize
 
 RARE = 32  # most sets with a token that is indexed alone
@@ -320,13 +321,29 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
 
 
 def drop_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of the doc_id which names it. Rows without a set
-    stay. Rows with one doc_id count as one document; a row without doc_id is known by its text and gives
-    way to rows with one."""
-    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn("_key", F.coalesce("doc_id", unnamed))
-    found = similar_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), size, percent)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))
-    kept = keyed.join(stay, "_key", "left_semi").withColumn("_nth", first).filter("_nth = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each component of similar texts: that of the smallest doc_id. Rows without a
+    set stay, equal ones once.
+
+    A row is known by doc_id and text: rows without doc_id, and rows whose doc_id others have as well, are
+    told apart by numbers from 2**62 on, so no text is lost to another one's doc_id; they give way to rows
+    that are alone with their doc_id.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    names = [f"_row_{c}" for c in KEY]
+    keyed = docs.withColumns({f"_row_{c}": column for c, column in row_key().items()})
+    shared = (
+        keyed.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 OR doc_id IS NULL")
+        .select(F.col("doc_id").alias("_shared"))
+    )
+    # numbers follow tasks, so they are written before they are used
+    numbers = materialize(
+        keyed.join(shared, keyed["doc_id"].eqNullSafe(shared["_shared"]), "left_semi").select(*names).distinct()
+        .withColumn("_row_number", F.monotonically_increasing_id() + F.lit(1 << 62)),
+        "row-numbers",
+    )
+    keyed = lookup_join(keyed, numbers, names).withColumn("_row_name", F.coalesce("_row_number", "doc_id"))
+    found = similar_documents(keyed.select(F.col("_row_name").alias("doc_id"), "text"), size, percent)
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_row_name")).distinct()
+    # rows with one key are equal in doc_id and text
+    first = F.row_number().over(Window.partitionBy("_row_name").orderBy(F.xxhash64(*columns)))
+    return keyed.join(stay, "_row_name", "left_semi").withColumn("_row_nth", first).filter("_row_nth = 1").select(*columns)

@@ -37,7 +37,7 @@ WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 @query("op1_sainte_lague_mixing")
 def op1(spark, sf_dir):
-    out = mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text"))
+    out = mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text"), narrow=True)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -55,7 +55,8 @@ d AS (SELECT DISTINCT leaf, tokens, doc_id, text FROM s),
 v AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, text FROM d) q GROUP BY leaf HAVING count(*) >= 10),
 b AS (SELECT leaf, tokens, count(*) AS docs FROM d JOIN v USING (leaf) GROUP BY leaf, tokens),
 k AS (SELECT leaf, tokens, docs, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS pos FROM b),
-f AS (SELECT leaf, pos, token FROM k GROUP BY leaf, pos, token HAVING sum(docs) >= 10 AND token <> '<*>'),
+h AS (SELECT DISTINCT k.leaf, k.pos, k.token, d.doc_id, d.text FROM k JOIN d ON d.leaf = k.leaf AND d.tokens = k.tokens),
+f AS (SELECT leaf, pos, token FROM h WHERE token <> '<*>' GROUP BY leaf, pos, token HAVING count(*) >= 10),
 m AS (
   SELECT k.leaf, k.tokens, string_agg(coalesce(f.token, '<*>'), ' ' ORDER BY k.pos) AS template
   FROM k LEFT JOIN f ON f.leaf = k.leaf AND f.pos = k.pos AND f.token = k.token GROUP BY k.leaf, k.tokens

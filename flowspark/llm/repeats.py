@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.llm.keys import KEY
 from flowspark.llm.text import (
     mix, prefix_sums, range_hash, row_chunks, texts_of, word_bounds, word_hashes,
 )
@@ -103,10 +104,10 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def find_stretches(docs: DataFrame, units: Units) -> DataFrame:
-    """One row per stretch of ``docs`` (doc_id, crc, text), with ``copies`` (stretches of the same text
+    """One row per stretch of ``docs`` (k1, k2, text), with ``copies`` (stretches of the same text
     among those that the task holds at once) and ``first`` (true for one of them)."""
     schema = (
-        "doc_id bigint, crc bigint, lo int, hi int, anchor bigint, body bigint, own boolean, copies bigint, first boolean"
+        "k1 bigint, k2 bigint, lo int, hi int, anchor bigint, body bigint, own boolean, copies bigint, first boolean"
     )
 
     def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +147,14 @@ def find_stretches(docs: DataFrame, units: Units) -> DataFrame:
                     base = start - cut[t]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column("doc_id").take(rows), batch.column("crc").take(rows),
+                            batch.column("k1").take(rows), batch.column("k2").take(rows),
                             pa.array((lo + base).astype(np.int32)), pa.array((hi + base).astype(np.int32)),
                             pa.array(_signed(anchor)), pa.array(_signed(body)), pa.array(own),
                         ],
-                        names=["doc_id", "crc", "lo", "hi", "anchor", "body", "own"],
+                        names=["k1", "k2", "lo", "hi", "anchor", "body", "own"],
                     )
 
-    return docs.select("doc_id", "crc", "text").mapInArrow(run, schema)
+    return docs.select("k1", "k2", "text").mapInArrow(run, schema)
 
 
 def repeated_stretches(found: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def repeated_stretches(found: DataFrame) -> DataFrame:
     return (
         found.filter("first").drop("first").withColumnRenamed("copies", "alike").repartition("anchor")
         .withColumn("copies", F.sum("alike").over(same))
-        .withColumn("nth", F.row_number().over(same.orderBy("doc_id", "crc", "lo")))
+        .withColumn("nth", F.row_number().over(same.orderBy("k1", "k2", "lo")))
         .withColumn("total", F.sum("alike").over(anchor))
         .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(anchor))
         .withColumn("open", F.min("copies").over(anchor) == 1)
@@ -177,24 +178,22 @@ def repeated_stretches(found: DataFrame) -> DataFrame:
 
 def stretch_texts(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
     """The text of each wanted stretch as bytes; words are joined by one space."""
-    per_doc = wanted.groupBy("doc_id", "crc").agg(
+    per_doc = wanted.groupBy("k1", "k2").agg(
         F.collect_list(F.struct("anchor", "lo", "hi", "copies", "kinds")).alias("parts")
     )
-    joined = docs.select("doc_id", "crc", "text").dropDuplicates(["doc_id", "crc"]).join(
-        per_doc, docs["doc_id"].eqNullSafe(per_doc["doc_id"]) & docs["crc"].eqNullSafe(per_doc["crc"])
-    ).select(docs["doc_id"], docs["crc"], "text", "parts")
-    schema = "doc_id bigint, crc bigint, lo int, hi int, anchor bigint, copies bigint, kinds bigint, body binary"
+    joined = docs.select(*KEY, "text").dropDuplicates(KEY).join(per_doc, KEY)
+    schema = "k1 bigint, k2 bigint, lo int, hi int, anchor bigint, copies bigint, kinds bigint, body binary"
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, crc, text, parts in zip(*(batch.column(c) for c in ("doc_id", "crc", "text", "parts"))):
+            for k1, k2, text, parts in zip(*(batch.column(c) for c in ("k1", "k2", "text", "parts"))):
                 raw = text.as_py().encode()
                 whole = raw.split() if units.words else raw
                 for p in parts.as_py():
                     part = whole[p["lo"] : p["hi"] + units.window]
                     rows.append((
-                        doc_id.as_py(), crc.as_py(), p["lo"], p["hi"], p["anchor"], p["copies"], p["kinds"],
+                        k1.as_py(), k2.as_py(), p["lo"], p["hi"], p["anchor"], p["copies"], p["kinds"],
                         b" ".join(part) if units.words else part,
                     ))
                     if len(rows) >= 5000:
@@ -204,7 +203,7 @@ def stretch_texts(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame
                 yield _rows(rows)
 
     def _rows(rows):
-        names = ["doc_id", "crc", "lo", "hi", "anchor", "copies", "kinds", "body"]
+        names = ["k1", "k2", "lo", "hi", "anchor", "copies", "kinds", "body"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names
@@ -213,7 +212,7 @@ def stretch_texts(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame
     return joined.mapInArrow(run, schema)
 
 
-SPAN = "doc_id bigint, crc bigint, lo int, hi int"
+SPAN = "k1 bigint, k2 bigint, lo int, hi int"
 
 
 def _runs(flags: np.ndarray, group: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,11 +243,11 @@ def compare_stretches(texts: DataFrame, units: Units, compare: Callable) -> Data
         base = batch.column("lo").to_numpy()[g]
         return pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id").combine_chunks().take(rows),
-                batch.column("crc").combine_chunks().take(rows),
+                batch.column("k1").combine_chunks().take(rows),
+                batch.column("k2").combine_chunks().take(rows),
                 pa.array((base + lo).astype(np.int32)), pa.array((base + hi).astype(np.int32)),
             ],
-            names=["doc_id", "crc", "lo", "hi"],
+            names=["k1", "k2", "lo", "hi"],
         )
 
     def run(batches):
@@ -283,12 +282,12 @@ def compare_stretches(texts: DataFrame, units: Units, compare: Callable) -> Data
 def count_windows(texts: DataFrame, units: Units) -> DataFrame:
     """The same for anchors with very many different stretches: the prefix is extended to the whole
     window, so equal windows are counted by hash and no group is gathered in a task."""
-    schema = "doc_id bigint, crc bigint, at int, w1 bigint, w2 bigint, copies bigint"
+    schema = "k1 bigint, k2 bigint, at int, w1 bigint, w2 bigint, copies bigint"
 
     def run(batches):
         for batch in batches:
-            for doc_id, crc, lo, copies, body in zip(
-                *(batch.column(c).to_pylist() for c in ("doc_id", "crc", "lo", "copies", "body"))
+            for k1, k2, lo, copies, body in zip(
+                *(batch.column(c).to_pylist() for c in ("k1", "k2", "lo", "copies", "body"))
             ):
                 data = np.frombuffer(body, np.uint8)
                 found, _ = units.of(data, np.array([0, len(data)]))
@@ -298,29 +297,29 @@ def count_windows(texts: DataFrame, units: Units) -> DataFrame:
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([doc_id] * n, pa.int64()), pa.array([crc] * n, pa.int64()),
+                        pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()),
                         pa.array((lo + at).astype(np.int32)),
                         pa.array(_signed(range_hash(sums, at, at + units.window))),
                         pa.array(_signed(range_hash(other, at, at + units.window))),
                         pa.array([copies] * n, pa.int64()),
                     ],
-                    names=["doc_id", "crc", "at", "w1", "w2", "copies"],
+                    names=["k1", "k2", "at", "w1", "w2", "copies"],
                 )
 
     windows = texts.mapInArrow(run, schema)
     often = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1")
     return (
         windows.filter("copies = 1").join(often, ["w1", "w2"], "left_semi")
-        .select("doc_id", "crc", F.col("at").alias("lo"), F.col("at").alias("hi"))
+        .select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
     )
 
 
 def repeated_spans(
     docs: DataFrame, units: Units, compare: Callable, wide_group: int = WIDE_GROUP
 ) -> DataFrame:
-    """Per document (doc_id, crc) the unmerged ranges of units in repeated windows: array of (a, b),
-    b exclusive. ``docs`` has doc_id, text and crc."""
-    spark, span = docs.sparkSession, ["doc_id", "crc", "lo", "hi"]
+    """Per document (k1, k2) the unmerged ranges of units in repeated windows: array of (a, b),
+    b exclusive. ``docs`` has text and a row key."""
+    spark, span = docs.sparkSession, ["k1", "k2", "lo", "hi"]
     paths = [scratch_path(spark, n) for n in ("stretches", "repeated", "known", "stretch-texts")]
     found = materialize(find_stretches(docs, units), "stretches", paths[0])
     hits = materialize(repeated_stretches(found), "repeated", paths[1])
@@ -332,8 +331,8 @@ def repeated_spans(
     wide = count_windows(texts.filter(F.col("kinds") > wide_group), units)
     ranges = F.struct(F.col("lo").alias("a"), (F.col("hi") + units.window).alias("b")).alias("s")
     spans = (
-        whole.unionByName(parts).unionByName(wide).select("doc_id", "crc", ranges)
-        .groupBy("doc_id", "crc").agg(F.collect_list("s").alias("spans"))
+        whole.unionByName(parts).unionByName(wide).select("k1", "k2", ranges)
+        .groupBy("k1", "k2").agg(F.collect_list("s").alias("spans"))
     )
     spans = materialize(spans, "spans")
     # the tables on the way have served
@@ -355,7 +354,4 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with ``spans``; null where nothing repeats."""
-    keyed = spans.withColumnsRenamed({"doc_id": "_d", "crc": "_c"})
-    return docs.join(
-        keyed, docs["doc_id"].eqNullSafe(keyed["_d"]) & docs["crc"].eqNullSafe(keyed["_c"]), "left"
-    ).drop("_d", "_c")
+    return docs.join(spans, KEY, "left")

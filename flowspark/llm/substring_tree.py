@@ -17,8 +17,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from flowspark.llm.keys import row_key
 from flowspark.llm.repeats import Units, merge_spans, repeated_spans, with_spans
 from flowspark.llm.text import word_bounds, word_hashes
 
@@ -90,9 +90,9 @@ def compare_words(window: int):
 
 
 def repeated_words(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``docs`` (doc_id, text) with ``crc`` and ``spans``: array of word ranges (a, b), b exclusive, to
+    """``docs`` (doc_id, text) with its row key and ``spans``: array of word ranges (a, b), b exclusive, to
     remove; ranges may overlap, null where nothing repeats."""
-    keyed = docs.select("doc_id", "text", F.crc32("text").alias("crc"))
+    keyed = docs.select("doc_id", "text").withColumns(row_key())
     units = Units(True, window, min(GRAM, window))
     return with_spans(keyed, repeated_spans(keyed, units, compare_words(window)))
 
