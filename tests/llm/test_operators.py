@@ -379,6 +379,9 @@ def plain_model(rows):
         for lang in langs:
             for e, n in tables[lang].items():
                 total[group(e), lang] += n
+        for g in {g for g, _ in total}:
+            for lang in langs:
+                total[g, lang] += 1  # so that none is zero
         most = {g: max(total[g, lang] for lang in langs) for g, _ in total}
         return {
             e: [np.log(tables[lang][e] / total[group(e), lang]) if tables[lang][e] else np.log(0.5 / most[group(e)]) for lang in langs]
@@ -390,7 +393,7 @@ def plain_model(rows):
 
 def test_model_equals_a_plain_one(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang")
-    model = language.fit(docs)
+    model = language.fit(docs, entries=10**6)  # none is cut off
     langs, word_scores, gram_scores = plain_model([(r["text"], r["lang"]) for r in docs.collect() if r["lang"] is not None])
     assert model.languages == langs and set(model.words) == set(word_scores) and set(model.grams) == set(gram_scores)
     for names, want in ((model.words, word_scores), (model.grams, gram_scores)):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from flowspark.llm import repeats, substring_tree, suffix_array
+from flowspark.llm.keys import row_key
 
 SCHEMA = "doc_id bigint, text string, crc string, spans string, lo int"
 BLANK = " \t\n\x0b\x0c\r"
@@ -73,12 +74,12 @@ def test_bytes_equal_brute_force(spark, seed):
 def test_wide_groups_are_counted_exactly(spark):
     """The path for very many different texts behind one prefix gives the same windows."""
     texts = odd_texts(5)
-    docs = table(spark, texts).selectExpr("doc_id", "text", "crc32(text) AS crc")
+    docs = table(spark, texts).select("doc_id", "text").withColumns(row_key())
     units = repeats.Units(True, 9, 5)
     compare = substring_tree.compare_words(9)
     def spans(wide):
         rows = repeats.repeated_spans(docs, units, compare, wide_group=wide).collect()
-        return {r["doc_id"]: repeats.merge_spans([tuple(s) for s in r["spans"]]) for r in rows}
+        return {(r["k1"], r["k2"]): repeats.merge_spans([tuple(s) for s in r["spans"]]) for r in rows}
     assert spans(0) == spans(1000)
 
 
