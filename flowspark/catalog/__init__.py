@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from flowspark.catalog import detection, encoding, evaluation, files, preparation, splits, windowing
+from flowspark.catalog import (
+    detection, encoding, evaluation, files, preparation, splits, timelines, windowing,
+)
 from flowspark.catalog.base import REGISTRY
 
 __all__ = [
-    "REGISTRY", "detection", "encoding", "evaluation", "files", "preparation", "splits", "windowing",
+    "REGISTRY", "detection", "encoding", "evaluation", "files", "preparation", "splits", "timelines", "windowing",
 ]
