@@ -185,7 +185,7 @@ def _steps(rows):
 )
 def _batches_binary(spark, sf_dir):
     rows = binary_roles(spark, sf_dir).withColumn("side", split.binary_class(F.col("Attack")))
-    return split.plan_batches(split.class_positions(rows, "side"), split.binary_shares(BATCH), _steps(rows))
+    return split.plan_batches(split.class_rows(rows, "side"), split.binary_shares(BATCH), _steps(rows))
 
 
 BINARY_DISTINCT = (
@@ -200,7 +200,7 @@ BINARY_DISTINCT = (
 def _batches_binary_random(spark, sf_dir):
     rows = binary_roles(spark, sf_dir).withColumn("side", split.binary_class(F.col("Attack")))
     return split.plan_batches(
-        split.class_positions(rows, "side"), split.binary_shares(BATCH), _steps(rows), mode="distinct"
+        split.class_rows(rows, "side"), split.binary_shares(BATCH), _steps(rows), mode="distinct"
     )
 
 
@@ -208,7 +208,7 @@ def _batches_binary_random(spark, sf_dir):
 def _batches_multiclass(spark, sf_dir):
     rows = multiclass_roles(spark, sf_dir)
     shares = split.batch_shares(_class_order(rows), BATCH)
-    return split.plan_batches(split.class_positions(rows, "Attack"), shares, _steps(rows))
+    return split.plan_batches(split.class_rows(rows, "Attack"), shares, _steps(rows))
 
 
 MULTI_RANDOM = f"{number_sql('''concat('42-', CAST(plan.step AS STRING), '-', CAST(plan.slot AS STRING))''')} % plan.n"
@@ -219,5 +219,5 @@ def _batches_multiclass_random(spark, sf_dir):
     rows = multiclass_roles(spark, sf_dir)
     shares = split.batch_shares(_class_order(rows), BATCH)
     return split.plan_batches(
-        split.class_positions(rows, "Attack"), shares, _steps(rows), mode="replace"
+        split.class_rows(rows, "Attack"), shares, _steps(rows), mode="replace"
     )

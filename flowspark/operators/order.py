@@ -171,6 +171,36 @@ def subset_positions(
     return joined.withColumn(pos, F.col("_before") + F.col("_in")).drop("_chunk", "_in", "_before")
 
 
+def rows_at_positions(
+    df: DataFrame, wanted: DataFrame, groups: list[str], idx: str = "idx", pos: str = "pos"
+) -> DataFrame:
+    """``wanted`` (the groups, pos and others) with the ``idx`` of the row at each position of its group, where
+    positions are those of ``subset_positions``.
+
+    Counts per group and chunk of the index tell the chunk that holds a position; only the rows of these
+    chunks are numbered, so a few positions of a large table cost one pass of counting.
+    """
+    chunked = df.select(*groups, idx, F.floor(F.col(idx) / SUBSET_CHUNK).alias("_chunk"))
+    in_group = W.Window.partitionBy(*groups)
+    lead = in_group.orderBy("_chunk").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = chunked.groupBy(*groups, "_chunk").agg(F.count("*").alias("_n")).select(
+        *groups, F.coalesce(F.sum("_n").over(lead), F.lit(0)).alias(pos), F.lit(0).alias("_asks"), "_chunk"
+    )
+    asked = wanted.select(*groups, F.col(pos).cast("bigint").alias(pos), F.lit(1).alias("_asks")).distinct()
+    # the last chunk that starts at the position or before; chunks and positions asked for are few
+    upto = in_group.orderBy(pos, "_asks").rowsBetween(W.Window.unboundedPreceding, 0)
+    begun = F.when(F.col("_asks") == 0, F.struct(F.col("_chunk").alias("c"), F.col(pos).alias("before")))
+    needed = (
+        starts.unionByName(asked, allowMissingColumns=True).withColumn("_at", F.last(begun, True).over(upto))
+        .filter("_asks = 1 AND _at IS NOT NULL")
+        .select(*groups, F.col("_at.c").alias("_chunk"), F.col("_at.before").alias("_before")).distinct()
+    )
+    held = lookup_join(chunked, needed, [*groups, "_chunk"]).filter("_before IS NOT NULL")
+    inside = F.row_number().over(W.Window.partitionBy(*groups, "_chunk").orderBy(idx)) - 1
+    numbered = held.select(*groups, idx, (F.col("_before") + inside).alias(pos))
+    return numbered.join(wanted, [*groups, pos])
+
+
 def hash_key(col, seed: int):
     """Seeded random-looking order key of an id: lower-case md5 hex, equal in every engine."""
     col = F.col(col) if isinstance(col, str) else col

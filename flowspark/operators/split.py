@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.numeric import int_div, quoted
-from flowspark.operators.order import flag_first_by_hash, shuffle_rows, subset_positions
+from flowspark.operators.order import (
+    flag_first_by_hash, rows_at_positions, shuffle_rows, subset_positions,
+)
 from flowspark.operators.stats import is_positive
 from flowspark.schemas import require_columns
 from flowspark.session import MAX_LOOKUP_ROWS, small_table
@@ -156,10 +158,14 @@ def balance(
 
 
 # -- batch plans -----------------------------------------------------------------------------
+def class_rows(df: DataFrame, cls: str, idx: str = "idx") -> DataFrame:
+    """(class, idx): training rows, as ``plan_batches`` takes them from a table of any size."""
+    return df.filter(F.col("role") == "train").select(F.col(cls).cast("string").alias("class"), idx)
+
+
 def class_positions(df: DataFrame, cls: str, idx: str = "idx") -> DataFrame:
     """(class, pos, idx): training rows numbered inside their class in row order."""
-    train = df.filter(F.col("role") == "train").select(F.col(cls).cast("string").alias("class"), idx)
-    return subset_positions(train, ["class"], idx)
+    return subset_positions(class_rows(df, cls, idx), ["class"], idx)
 
 
 def batch_shares(classes: list[str], batch_size: int) -> dict[str, int]:
@@ -186,7 +192,9 @@ def plan_batches(
     rows per step out of L. ``replace`` draws with replacement by hash; ``distinct`` draws without
     replacement inside a batch by a seeded affine permutation of 0..L-1.
 
-    The plan has steps * batch rows, known beforehand; it is broadcast only when small.
+    ``positions`` are the rows of ``class_positions`` or of ``class_rows``; the latter are numbered only
+    where the plan needs them. The plan has steps * batch rows, known beforehand; it is broadcast only when
+    small.
     """
     spark = positions.sparkSession
     sizes = {
@@ -220,6 +228,8 @@ def plan_batches(
     else:
         raise ValueError(f"unknown mode {mode!r}")
     plan = plan.select("step", "slot", "class", pos.cast("bigint").alias("pos"))
+    if "pos" not in positions.columns:
+        return rows_at_positions(positions, plan, ["class"]).select("step", "slot", "class", "idx")
     if steps * batch <= MAX_LOOKUP_ROWS:
         plan = F.broadcast(plan)
     return positions.join(plan, ["class", "pos"]).select("step", "slot", "class", "idx")

@@ -11,6 +11,7 @@ from flowspark.functions.numeric import int_div, quoted
 from flowspark.operators.order import order_rows
 from flowspark.operators.split import affine_position, hash_number
 from flowspark.schemas import FittedParams, require_columns
+from flowspark.session import MAX_LOOKUP_ROWS, fetch_small
 
 # Rows per chunk. A chunk fits the in-memory buffer of a window task and dwarfs the halo.
 CHUNK_ROWS = 4096
@@ -123,13 +124,33 @@ def edge_window(
 
 def windows_at(
     df: DataFrame, targets: DataFrame, cols: list[str], window: int = 8, keep: list[str] | None = None,
-    idx: str = "idx",
+    idx: str = "idx", max_rows: int = MAX_LOOKUP_ROWS,
 ) -> DataFrame:
-    """Windows ending at the rows of ``targets``. Rows are marked by their index, which is unique, before
-    any window is built."""
+    """Windows ending at the rows of ``targets``. Rows are marked by their index, which is unique.
+
+    While the targets' windows have at most ``max_rows`` rows, these rows alone are picked out of the table,
+    which is not shuffled for it; for more targets all rows go through ``sliding_windows``.
+    """
     marks = targets.select(F.col(idx).alias("_target")).distinct()
-    marked = df.join(marks, df[idx] == marks["_target"], "left")
-    return sliding_windows(marked, cols, window, keep=keep, ends=F.col("_target").isNotNull(), idx=idx)
+    few = fetch_small(marks, max_rows // window)
+    if few is None:
+        marked = df.join(marks, df[idx] == marks["_target"], "left")
+        return sliding_windows(marked, cols, window, keep=keep, ends=F.col("_target").isNotNull(), idx=idx)
+    require_columns(df, [*cols, *(keep or []), idx])
+    kept = [n for n in keep or [] if n != idx]
+    members = few.select("_target", F.explode(F.sequence(F.col("_target") - (window - 1), F.col("_target"))).alias("_member"))
+    picked = df.select(
+        F.col(idx).alias("_member"), F.struct(*[quoted(n) for n in cols]).alias("_row"),
+        F.struct(F.col(idx).alias("_i"), *[quoted(n) for n in kept]).alias("_keep"),
+    ).join(F.broadcast(members), "_member")
+    found = picked.groupBy("_target").agg(
+        F.sort_array(F.collect_list(F.struct("_member", F.col("_row").alias("r")))).alias("_rows"),
+        F.max_by("_keep", "_member").alias("_keep"),
+    )
+    return found.filter((F.size("_rows") == window) & (F.col("_keep._i") == F.col("_target"))).select(
+        F.col("_target").alias(idx), *[F.col("_keep")[n].alias(n) for n in kept],
+        F.transform("_rows", lambda x: x["r"]).alias("win"),
+    )
 
 
 def random_context_windows(

@@ -171,7 +171,7 @@ def training_batches(
     sizes = {str(r[0]): r[1] for r in roles.filter("role = 'train'").groupBy(label).count().limit(MAX_CLASSES).collect()}
     shares = split.batch_shares([c for c in data.spec.classes if sizes.get(c)], batch)
     mode = "sequential" if all(sizes[c] > m for c, m in shares.items()) else "replace"
-    plan = materialize(split.plan_batches(split.class_positions(roles, label), shares, steps, mode, seed), "plan")
+    plan = materialize(split.plan_batches(split.class_rows(roles, label), shares, steps, mode, seed), "plan")
     names = list(data.spec.feature_names)
     found = windows.windows_at(roles, plan.select("idx"), names, window, keep=["y"])
     vectors = score.window_vectors(found, data.params, pooling, keep=["idx", "y"], window=window)
@@ -188,7 +188,7 @@ def binary_batches(
     shares = split.binary_shares(batch)
     sizes = {r[0]: r[1] for r in roles.filter("role = 'train'").groupBy("_side").count().collect()}
     mode = "distinct" if all(sizes.get(c, 0) >= m for c, m in shares.items()) else "replace"
-    plan = materialize(split.plan_batches(split.class_positions(roles, "_side"), shares, steps, mode, seed), "plan")
+    plan = materialize(split.plan_batches(split.class_rows(roles, "_side"), shares, steps, mode, seed), "plan")
     found = windows.windows_at(roles, plan.select("idx"), list(data.spec.feature_names), window, keep=[label])
     vectors = score.window_vectors(found, data.params, pooling, keep=["idx", label], window=window)
     return plan.select("step", "slot", "idx").join(vectors, "idx").select("step", "slot", label, "features")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import logging
+import re
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.numeric import quoted
 from flowspark.operators.order import first_rows
 from flowspark.schemas import NFV1_SCHEMA
-from flowspark.session import path_exists
+from flowspark.session import lookup_join, path_exists, small_table
 from flowspark.specs import DatasetSpec
 
 log = logging.getLogger(__name__)
@@ -99,14 +102,19 @@ def read_labelled(
         spark.read.schema(schema).format(fmt).options(**options)
         .option("ignoreCorruptFiles", "true").load(there)
     )
-    # the given path is the file or a folder above it; scheme and host are left out on both sides
+    # the given path is the file or a folder above it, the longest one if several fit; scheme and host are left out
     where = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-zA-Z0-9]+:(//[^/]*)?", "")
-    label = F.lit(None).cast("string")
-    for path in sorted(labels, key=len):  # a longer path is more exact
-        label = F.when((F.col("_path") == path) | F.startswith(F.col("_path"), F.lit(f"{path}/")), labels[path]).otherwise(label)
+    table = []
+    for uri in df.inputFiles():
+        path = re.sub("^[a-zA-Z0-9]+:(//[^/]*)?", "", unquote(uri))
+        above = path
+        while above not in labels:
+            above = above.rsplit("/", 1)[0]
+        table.append((path, labels[above]))
+    by_file = small_table(spark, table, f"_path STRING, `{label_column}` STRING")
     placed = df.select("*", where.alias("_path"))
     names = [quoted(c) for c in df.columns if c != label_column]
-    out = placed.select(*names, label.alias(label_column), "_path")
+    out = lookup_join(placed.select(*names, "_path"), by_file, ["_path"]).select(*names, quoted(label_column), "_path")
     held = {r[0] for r in out.groupBy(label_column, "_path").count().select("_path").collect()}
     for path in labels:
         if not any(h == path or h.startswith(f"{path}/") for h in held):

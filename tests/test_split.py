@@ -117,3 +117,16 @@ def test_affine_positions_do_not_overflow(spark):
     x = F.lit(n - 1).cast("bigint")
     r = spark.range(1).select(split.affine_position(x, F.lit(n).cast("bigint"), F.lit(12345).cast("bigint"), [n]).alias("p")).first()
     assert r["p"] == (split.multiplier_for([n]) * (n - 1) + 12345) % n
+
+
+def test_rows_at_positions_number_only_some_chunks(spark, monkeypatch):
+    from flowspark.operators import order
+
+    monkeypatch.setattr(order, "SUBSET_CHUNK", 16)
+    rows = spark.range(1000).select(F.col("id").alias("idx"), F.when(F.col("id") % 7 == 0, "B").otherwise("A").alias("class"))
+    every = {(r["class"], r["pos"]): r["idx"] for r in order.subset_positions(rows, ["class"]).collect()}
+    wanted = [("A", 0, "x"), ("A", 0, "y"), ("A", 500, "x"), ("B", 142, "z"), ("B", 5, "x"), ("A", 10**6, "none"), ("C", 0, "none")]
+    table = spark.createDataFrame(wanted, "class string, pos bigint, tag string")
+    found = order.rows_at_positions(rows, table, ["class"])
+    got = {(r["class"], r["pos"], r["tag"], r["idx"]) for r in found.collect()}
+    assert got == {(c, p, t, every[c, p]) for c, p, t in wanted if t != "none"}

@@ -114,3 +114,15 @@ def test_random_context_draws_without_replacement_in_a_batch(spark):
         assert all(r["win"][-1]["x"] == r["idx"] for r in batch)
     with pytest.raises(ValueError):
         Wn.random_context_windows(targets, context, rows, ["x"], 350, 8, 64, 5)
+
+
+def test_windows_at_few_rows_leave_the_table_where_it_is(spark):
+    table = spark.range(10_000).select(F.col("id").alias("idx"), (F.col("id") * 2).alias("x"), (F.col("id") % 3).alias("y"))
+    targets = spark.createDataFrame([(3,), (7,), (8,), (8,), (4096,), (4100,), (9999,), (10_500,)], "idx bigint")
+    few = Wn.windows_at(table, targets, ["x"], 8, keep=["y"])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    # the picked rows are grouped; the table meets them by a broadcast
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(_chunk" not in plan
+    many = Wn.windows_at(table, targets, ["x"], 8, keep=["y"], max_rows=0)
+    rows = sorted(map(repr, few.collect()))
+    assert rows == sorted(map(repr, many.collect())) and len(rows) == 5 and few.columns == ["idx", "y", "win"]
