@@ -21,9 +21,7 @@ by code point; repeated rows get the same answer; other columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -37,15 +35,17 @@ LONGEST = 4
 MAX_LANGUAGES = 1000
 DENSE_LANGUAGES = 100
 LEAST_ENTRIES = 1000
+_NO_DIGITS = re.compile(r"[^\W\d_]+")
 _CACHE = 10_000_000  # scores a task remembers, for 100,000 words at most
 
 
-@lru_cache(maxsize=1)
-def _letters() -> re.Pattern:
-    """Runs of letters (the classes of Unicode that start with L), as ``\\p{L}+`` finds them: of the word
-    characters neither digits nor other numbers, such as superscripts, fractions and Roman numerals."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(f"[^\\W_{re.escape(numbers)}]+")
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters (the classes of Unicode that start with L), as ``\\p{L}+`` finds them."""
+    runs = _NO_DIGITS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    # other numbers, such as superscripts, fractions and Roman numerals, separate words as well
+    return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,7 @@ class LanguageModel:
         return self._gram_scores(marked, size) / (len(marked) - size + 1)
 
     def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        words = _letters().findall((text or "").lower())
+        words = letter_runs((text or "").lower())
         if not words or not self.languages:
             return "und", 0.0
         total = np.zeros(len(self.languages))

@@ -358,7 +358,7 @@ def test_numbers_are_no_letters(spark):
     assert got[5] == got[7] == ("und", 0.0) and got[6][0] != "und" and got[8][0] == "en"
     # fit and prediction cut words alike
     spark_words = docs.select(language._words("text").alias("w")).collect()
-    assert [r["w"] for r in spark_words] == [language._letters().findall(t.lower()) for _, t, _ in rows]
+    assert [r["w"] for r in spark_words] == [language.letter_runs(t.lower()) for _, t, _ in rows]
 
 
 def plain_model(rows):
