@@ -26,7 +26,7 @@ from flowspark.session import lookup_join
 WEIGHTS = (3, 1, 2)
 BLOCK = 16
 SHARD_ROWS = 2000
-_ROUNDS, _THRESHOLDS = 3, 15  # counts of quotients above so many thresholds, so many times
+_ROUNDS, _THRESHOLDS = 1, 31  # counts of quotients above so many thresholds, so many times
 _EPS = 1e-9  # more than the rounding of a quotient
 
 
