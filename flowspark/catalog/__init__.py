@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from flowspark.catalog import (
-    detection, encoding, evaluation, files, preparation, splits, timelines, windowing,
+    detection, encoding, evaluation, files, preparation, reports, splits, timelines, windowing,
 )
 from flowspark.catalog.base import REGISTRY
 
 __all__ = [
-    "REGISTRY", "detection", "encoding", "evaluation", "files", "preparation", "splits", "timelines", "windowing",
+    "REGISTRY", "detection", "encoding", "evaluation", "files", "preparation", "reports", "splits", "timelines", "windowing",
 ]
