@@ -24,20 +24,31 @@ def assemble_flows_stream(
     ``ticks`` is a stream of times (column ts) that moves the watermark on while no packet comes; a tick
     is no packet and forms no flow. ``drain`` sends the last one.
     """
-    timed = packets.withColumn("ts", F.col("ts").cast("timestamp"))
-    if ticks is not None:
-        clock = ticks.select(F.col("ts").cast("timestamp").alias("ts"), F.lit(True).alias("_tick"))
-        timed = timed.withColumn("_tick", F.lit(False)).unionByName(clock, allowMissingColumns=True)
-    timed = timed.withWatermark("ts", watermark)
-    if ticks is not None:
-        # naming ts keeps the filter above the watermark, which must see the ticks
-        timed = timed.filter(~F.col("_tick") | F.col("ts").isNull()).drop("_tick")
+    timed = with_clock(packets, watermark, ticks)
     grouped = with_conversation(timed).groupBy(F.session_window("ts", idle_timeout).alias("w"), *KEY)
     first = F.min_by("forward", F.struct("us", "packet_id")).alias("first_forward")
     flows = grouped.agg(first, *direction_sums())
     return flows.select(*flow_columns(F.col("first_forward")))
 
 
+def with_ticks(stream: DataFrame, ticks: DataFrame | None) -> DataFrame:
+    """``stream`` with the column ``_tick``, and a row for each tick that holds nothing but its time."""
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_tick", F.lit(False))
+    if ticks is None:
+        return timed
+    clock = ticks.select(F.col("ts").cast("timestamp").alias("ts"), F.lit(True).alias("_tick"))
+    return timed.unionByName(clock, allowMissingColumns=True)
+
+
+def with_clock(stream: DataFrame, watermark: str, ticks: DataFrame | None = None) -> DataFrame:
+    """``stream`` with a watermark on ts, which the ticks move on as well; the ticks themselves are left out."""
+    if ticks is None:
+        return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    timed = with_ticks(stream, ticks).withWatermark("ts", watermark)
+    # naming ts keeps the filter above the watermark, which must see the ticks
+    return timed.filter(~F.col("_tick") | F.col("ts").isNull()).drop("_tick")
+
+
 def tick_stream(spark: SparkSession, path: str) -> DataFrame:
     """The ticks written under ``path`` as a stream."""
     return spark.readStream.schema("ts timestamp").parquet(path)
