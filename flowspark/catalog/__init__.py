@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from flowspark.catalog import (
-    arrivals, detection, encoding, evaluation, files, preparation, reports, splits, timelines, windowing,
+    arrivals, detection, encoding, evaluation, files, fits, frames, preparation, reports, splits, timelines, windowing,
 )
 from flowspark.catalog.base import REGISTRY
 
 __all__ = [
-    "REGISTRY", "arrivals", "detection", "encoding", "evaluation", "files", "preparation", "reports", "splits", "timelines", "windowing",
+    "REGISTRY", "arrivals", "detection", "encoding", "evaluation", "files", "fits", "frames", "preparation", "reports", "splits", "timelines", "windowing",
 ]

@@ -51,8 +51,11 @@ def fit_numeric(
     return one.select(F.inline(F.array(*entries)))
 
 
-def count_levels(df: DataFrame, features: list[str], where: Column | None = None) -> DataFrame:
-    """(feature, level, n, sort keys) for all features in one pass; NULL is not a level."""
+def count_levels(
+    df: DataFrame, features: list[str], where: Column | None = None, among: DataFrame | None = None
+) -> DataFrame:
+    """(feature, level, n, sort keys) for all features in one pass; NULL is not a level. ``among`` (feature, text, as_int)
+    names the levels to count, if not all."""
     require_columns(df, features)
     src = df if where is None else df.filter(where)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -71,6 +74,10 @@ def count_levels(df: DataFrame, features: list[str], where: Column | None = None
             )
         )
     stacked = src.select(F.inline(F.array(*entries))).filter("text IS NOT NULL OR as_int IS NOT NULL")
+    if among is not None:
+        wanted = among.select(*[F.col(c).alias(f"_w_{c}") for c in ("feature", "text", "as_int")])
+        same = [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in ("feature", "text", "as_int")]
+        stacked = stacked.join(wanted, same[0] & same[1] & same[2], "left_semi")
     counted = stacked.groupBy("feature", "level_type", "text", "as_int", "as_float").agg(F.count("*").alias("n"))
     level = F.coalesce("text", F.col("as_int").cast("string")).alias("level")
     return counted.select("feature", "level_type", level, "as_int", "as_float", "n")
@@ -110,12 +117,16 @@ def fit_params(
     where: Column | None = None, limit: float = NUMERIC_FILTER, caps: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per feature in the parameter schema."""
-    num = fit_numeric(df, numerical, where, limit).select(
+    return params_rows(fit_numeric(df, numerical, where, limit), fit_categorical(df, categorical, top_k, where, caps))
+
+
+def params_rows(ranges: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Fitted ranges and ranked levels in the parameter schema."""
+    num = ranges.select(
         "feature", F.lit("numerical").alias("kind"), "min", "range",
         F.lit(None).cast("array<string>").alias("levels"),
         F.lit(None).cast("string").alias("level_type"), F.lit(None).cast("int").alias("n_levels"),
     )
-    ranked = fit_categorical(df, categorical, top_k, where, caps)
     cat = (
         ranked.groupBy("feature", "level_type")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "level"))).alias("l"))
@@ -251,5 +262,5 @@ __all__ = [
     "FIXED_LEVEL_CAPS", "class_codes", "class_lists", "collect_params", "count_levels",
     "encode_labels", "eval_sizes", "feature_statistics", "fit_categorical", "fit_numeric",
     "fit_params", "input_spec", "is_positive", "label_distribution", "levels_per_feature",
-    "observed_codes", "rank_levels",
+    "observed_codes", "params_rows", "rank_levels",
 ]
