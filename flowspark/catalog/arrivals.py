@@ -17,7 +17,6 @@ from flowspark.streaming.sessions import assemble_flows_stateful, rocksdb_state
 DAY = 24 * 3600
 PARTS = 3
 DELAY_S = DAY
-AGGS = {"n_flows": ("sum", F.lit(1)), "bytes": ("sum", F.col("OUT_BYTES")), "most": ("max", F.col("OUT_PKTS"))}
 
 # a thirteenth of the flows arrives one part after its time
 ARRIVED = f"""SELECT *, least(CAST(floor((epoch_us(ts) - lo) * {PARTS} / (hi - lo + 1)) AS INT) + CASE WHEN flow_id % 13 = 5 THEN 1 ELSE 0 END, {PARTS - 1}) AS part
@@ -28,8 +27,13 @@ def placed_sql(width: int, slide: int) -> str:
     """CTE ``w``: each flow once per window, with ``late`` where the window was closed when it came."""
     return f"""WITH f AS ({ARRIVED}), m AS (SELECT part, max(epoch_us(ts)) AS newest FROM f GROUP BY part),
  c AS (SELECT part, max(newest) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clock FROM m),
- w AS (SELECT f.*, s.start AS window_start, coalesce((s.start + {width}) * 1000000 <= clock - {DELAY_S} * 1000000, false) AS late
-  FROM f JOIN c USING (part), LATERAL (SELECT CAST(epoch_us(ts) // ({slide} * 1000000) * {slide} - i * {slide} AS BIGINT) AS start FROM range({width // slide}) t(i)) s)"""
+ w AS (SELECT f.*, s.start AS window_start, coalesce((s.start + {width}) * CAST(1000000 AS BIGINT) <= clock - {DELAY_S} * CAST(1000000 AS BIGINT), false) AS late
+  FROM f JOIN c USING (part), LATERAL (SELECT CAST(epoch_us(ts) // ({slide} * CAST(1000000 AS BIGINT)) * {slide} - i * {slide} AS BIGINT) AS start FROM range({width // slide}) t(i)) s)"""
+
+
+def totals(key, width_s, slide_s=None):
+    aggs = {"n_flows": ("sum", F.lit(1)), "bytes": ("sum", F.col("OUT_BYTES")), "most": ("max", F.col("OUT_PKTS"))}
+    return EventTotals([key], aggs, width_s, slide_s)
 
 
 def run_windows(spark, sf_dir, spec):
@@ -56,27 +60,23 @@ def run_windows(spark, sf_dir, spec):
     return out
 
 
-TUMBLING = EventTotals(["PROTOCOL"], AGGS, DAY // 4)
-
-
 @query("t1_tumbling_windows_late_rows", f"""{placed_sql(DAY // 4, DAY // 4)}
 SELECT window_start, PROTOCOL, late, count(*) AS n_flows, CAST(sum(OUT_BYTES) AS BIGINT) AS bytes, max(OUT_PKTS) AS most FROM w GROUP BY ALL""")
 def _tumbling(spark, sf_dir):
-    out = run_windows(spark, sf_dir, TUMBLING)
-    columns = ["window_start", "PROTOCOL", *AGGS]
+    spec = totals("PROTOCOL", DAY // 4)
+    out = run_windows(spark, sf_dir, spec)
+    columns = ["window_start", "PROTOCOL", *spec.aggs]
     closed = spark.read.parquet(f"{out}/closed").select(*columns, F.lit(False).alias("late"))
-    late = TUMBLING.totals(spark.read.parquet(f"{out}/late")).select(*columns, F.lit(True).alias("late"))
+    late = spec.totals(spark.read.parquet(f"{out}/late")).select(*columns, F.lit(True).alias("late"))
     return closed.unionByName(late)
 
 
-HOPPING = EventTotals(["L7_PROTO"], AGGS, DAY, DAY // 4)
-
-
 @query("t1_hopping_windows_updates", f"""{placed_sql(DAY, DAY // 4)}
 SELECT window_start, L7_PROTO, count(*) AS n_flows, CAST(sum(OUT_BYTES) AS BIGINT) AS bytes, max(OUT_PKTS) AS most FROM w WHERE NOT late GROUP BY ALL""")
 def _hopping(spark, sf_dir):
-    out = run_windows(spark, sf_dir, HOPPING)
-    return latest_totals(spark.read.parquet(f"{out}/updates"), HOPPING)
+    spec = totals("L7_PROTO", DAY, DAY // 4)
+    out = run_windows(spark, sf_dir, spec)
+    return latest_totals(spark.read.parquet(f"{out}/updates"), spec)
 
 
 # -- two streams -------------------------------------------------------------------------------------

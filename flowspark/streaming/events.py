@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.numeric import quoted
 from flowspark.schemas import require_columns
 from flowspark.session import path_exists, remove_path, small_table
-from flowspark.streaming.flows import with_clock
+from flowspark.streaming.flows import EARLIEST_US, with_clock
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -147,8 +147,10 @@ def join_following(
     us = F.unix_micros("ts")
     lefts = with_clock(left, watermark, left_ticks).filter("ts IS NOT NULL").withColumn("_cell", F.floor(us / F.lit(cell)))
     cells = F.array_distinct(F.array(F.floor(us / F.lit(cell)), F.floor((us - within_s * 1_000_000) / F.lit(cell))))
+    # the join needs keys that are not null: naming ts keeps that test above the watermark, which must see the ticks
+    timed = F.unix_micros("ts") > F.lit(EARLIEST_US)
     rights = with_clock(right, watermark, right_ticks).filter("ts IS NOT NULL").select(
-        *[quoted(k).alias(f"_r_{k}") for k in on], F.col("ts").alias("_r_ts"), F.explode(cells).alias("_r_cell"),
+        *[F.when(timed, quoted(k)).alias(f"_r_{k}") for k in on], F.col("ts").alias("_r_ts"), F.explode(cells).alias("_r_cell"),
         *[quoted(c).alias(f"_v{i}") for i, c in enumerate(values)],
     )
     met = F.col("_cell") == F.col("_r_cell")
