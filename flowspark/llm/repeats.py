@@ -9,14 +9,21 @@ one long stretch, which may repeat itself (``own``).
 
 Stretches with the same text are first counted inside each task, so a group of copies or a passage in a
 third of all documents is one row per task from there on. One shuffle by anchor then decides most
-stretches: an anchor seen once repeats nothing, stretches with the same text repeat as a whole. Only different stretches with the same anchor need their text, one copy
-of each; ``compare`` (a suffix tree or a suffix array per shard) decides their windows.
+stretches: an anchor seen once repeats nothing, stretches with the same text repeat as a whole. Only
+different stretches with the same anchor need their text, one copy of each; ``compare`` (a suffix tree
+or a suffix array per shard) decides their windows.
+
+The prefixes that part the suffixes vary in length: a group whose different stretches hold more than
+``GROUP_UNITS`` is not compared but parted again, by grams of twice the length, until every group fits.
+Stretches are cut anew at each length. At the length of the window a group is one text, held as one row
+with its count, so the parting ends whatever the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +41,8 @@ PIECE = 1 << 19  # units per array step; longer texts are cut into pieces that s
 _INDEX_BITS = np.uint64(24)
 SHARD_BYTES = 1 << 20  # text compared at once in a task
 HELD_STRETCHES = 1_000_000  # stretches a task counts at once
-WIDE_GROUP = 20_000  # different stretches of one anchor beyond which windows are counted one by one
+GROUP_UNITS = 1 << 19  # units in the different stretches of one prefix; a larger group gets longer prefixes
+TEXT_BYTES = 1 << 22  # text of stretches sent on at once
 
 
 @dataclass(frozen=True)
@@ -54,7 +62,10 @@ class Units:
 
 
 def stretches(units: np.ndarray, window: int, gram: int, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, lo, hi, anchor hash, text hash, own) of every stretch; lo and hi count from 0 in units."""
+    """(text number, lo, hi, anchor hash, text hash, own) of every stretch; lo and hi count from 0 in units.
+
+    A gram as long as the window is the window, so each is a stretch of its own.
+    """
     n_starts = len(units) - window + 1
     empty = np.zeros(0, np.int64)
     none = empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool)
@@ -80,10 +91,13 @@ def stretches(units: np.ndarray, window: int, gram: int, bounds: np.ndarray) ->
     a, t = anchor[starts], text[starts]
     g = grams[a]
     new = np.ones(len(starts), bool)
-    new[1:] = (g[1:] != g[:-1]) | (t[1:] != t[:-1]) | (starts[1:] != starts[:-1] + 1)
+    if gram < window:
+        new[1:] = (g[1:] != g[:-1]) | (t[1:] != t[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:] - 1, len(starts) - 1)
     lo, hi = starts[first], starts[last]
+    if gram == window:  # the anchor is the text already; a second name makes 128 bits of it
+        sums = prefix_sums(mix(units.astype(np.uint64) + np.uint64(77)))
     return t[first], lo, hi, g[first], range_hash(sums, lo, hi + window), a[first] != a[last]
 
 
@@ -104,10 +118,12 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def find_stretches(docs: DataFrame, units: Units) -> DataFrame:
-    """One row per stretch of ``docs`` (k1, k2, text), with ``copies`` (stretches of the same text
-    among those that the task holds at once) and ``first`` (true for one of them)."""
+    """One row per stretch of ``docs`` (k1, k2, base, copies, text): a text that starts at unit ``base`` of its
+    document and stands for ``copies`` texts. lo and hi count from the document's start; ``copies`` is now
+    that of all stretches of the same text that the task holds at once, ``first`` true for one of them."""
     schema = (
-        "k1 bigint, k2 bigint, lo int, hi int, anchor bigint, body bigint, own boolean, copies bigint, first boolean"
+        "k1 bigint, k2 bigint, base int, lo int, hi int, anchor bigint, body bigint, own boolean, "
+        "copies bigint, first boolean"
     )
 
     def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +132,12 @@ def find_stretches(docs: DataFrame, units: Units) -> DataFrame:
         order = np.lexsort((body, anchor))
         a, b = anchor[order], body[order]
         start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        sizes = np.diff(np.append(start, len(a)))
+        stands = table.column("copies").to_numpy()[order]
         copies, first = np.empty(len(a), np.int64), np.zeros(len(a), bool)
-        copies[order] = np.repeat(sizes, sizes)
+        copies[order] = np.repeat(np.add.reduceat(stands, start), np.diff(np.append(start, len(a))))
         first[order[start]] = True
-        table = table.append_column("copies", pa.array(copies)).append_column("first", pa.array(first))
+        table = table.drop(["copies"]).append_column("copies", pa.array(copies))
+        table = table.append_column("first", pa.array(first))
         yield from table.to_batches(max_chunksize=50_000)
 
     def run(batches):
@@ -144,23 +161,25 @@ def find_stretches(docs: DataFrame, units: Units) -> DataFrame:
                     if len(t) == 0:
                         continue
                     rows = pa.array(t + text + first)
-                    base = start - cut[t]
+                    base = batch.column("base").take(rows)
+                    shift = start - cut[t] + base.to_numpy()
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column("k1").take(rows), batch.column("k2").take(rows),
-                            pa.array((lo + base).astype(np.int32)), pa.array((hi + base).astype(np.int32)),
+                            batch.column("k1").take(rows), batch.column("k2").take(rows), base,
+                            pa.array((lo + shift).astype(np.int32)), pa.array((hi + shift).astype(np.int32)),
                             pa.array(_signed(anchor)), pa.array(_signed(body)), pa.array(own),
+                            batch.column("copies").take(rows),
                         ],
-                        names=["k1", "k2", "lo", "hi", "anchor", "body", "own"],
+                        names=["k1", "k2", "base", "lo", "hi", "anchor", "body", "own", "copies"],
                     )
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, schema)
+    return docs.select("k1", "k2", "base", "copies", "text").mapInArrow(run, schema)
 
 
-def repeated_stretches(found: DataFrame) -> DataFrame:
+def repeated_stretches(found: DataFrame, units: Units) -> DataFrame:
     """Stretches that may repeat, of those that stand for their task's copies, with ``alike`` (copies in
-    the task), ``copies`` (in all), ``kinds`` (different texts with the anchor) and ``compare`` (its text
-    is needed to decide its or another's windows)."""
+    the task), ``copies`` (in all), ``held`` (units in the different texts with the anchor) and ``compare``
+    (its text is needed to decide its or another's windows)."""
     same = Window.partitionBy("anchor", "body")
     anchor = Window.partitionBy("anchor")
     return (
@@ -169,45 +188,44 @@ def repeated_stretches(found: DataFrame) -> DataFrame:
         .withColumn("nth", F.row_number().over(same.orderBy("k1", "k2", "lo")))
         .withColumn("total", F.sum("alike").over(anchor))
         .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(anchor))
+        .withColumn("held", F.sum(F.expr(f"CASE WHEN nth = 1 THEN hi - lo + {units.window}L END")).over(anchor))
         .withColumn("open", F.min("copies").over(anchor) == 1)
         .filter("total > 1 OR own")
         .withColumn("compare", F.expr("nth = 1 AND open AND (kinds > 1 OR own)"))
-        .drop("nth", "total", "open", "own")
+        .drop("nth", "total", "open", "own", "kinds")
     )
 
 
-def stretch_texts(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
-    """The text of each wanted stretch as bytes; words are joined by one space."""
-    per_doc = wanted.groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("anchor", "lo", "hi", "copies", "kinds")).alias("parts")
-    )
-    joined = docs.select(*KEY, "text").dropDuplicates(KEY).join(per_doc, KEY)
-    schema = "k1 bigint, k2 bigint, lo int, hi int, anchor bigint, copies bigint, kinds bigint, body binary"
+def stretch_texts(sources: DataFrame, keys: list[str], wanted: DataFrame, units: Units) -> DataFrame:
+    """The text of each wanted stretch as bytes; words are joined by one space. ``sources`` has one row per
+    ``keys`` with the text that the stretches were found in."""
+    parts = F.collect_list(F.struct("base", "anchor", "lo", "hi", "copies", "held")).alias("parts")
+    joined = sources.join(wanted.groupBy(*keys).agg(parts), keys)
+    schema = "k1 bigint, k2 bigint, lo int, hi int, anchor bigint, copies bigint, held bigint, body binary"
+    names = ["k1", "k2", "lo", "hi", "anchor", "copies", "held", "body"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
-            rows = []
             for k1, k2, text, parts in zip(*(batch.column(c) for c in ("k1", "k2", "text", "parts"))):
-                raw = text.as_py().encode()
+                raw = text.as_py()
+                raw = raw.encode() if isinstance(raw, str) else raw
                 whole = raw.split() if units.words else raw
+                key = k1.as_py(), k2.as_py()
                 for p in parts.as_py():
-                    part = whole[p["lo"] : p["hi"] + units.window]
-                    rows.append((
-                        k1.as_py(), k2.as_py(), p["lo"], p["hi"], p["anchor"], p["copies"], p["kinds"],
-                        b" ".join(part) if units.words else part,
-                    ))
-                    if len(rows) >= 5000:
-                        yield _rows(rows)
-                        rows = []
-            if rows:
-                yield _rows(rows)
-
-    def _rows(rows):
-        names = ["k1", "k2", "lo", "hi", "anchor", "copies", "kinds", "body"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names
-        )
+                    part = whole[p["lo"] - p["base"] : p["hi"] - p["base"] + units.window]
+                    body = b" ".join(part) if units.words else part
+                    rows.append((*key, p["lo"], p["hi"], p["anchor"], p["copies"], p["held"], body))
+                    size += len(body)
+                    if len(rows) >= 5000 or size >= TEXT_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return joined.mapInArrow(run, schema)
 
@@ -279,64 +297,47 @@ def compare_stretches(texts: DataFrame, units: Units, compare: Callable) -> Data
     return texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPAN)
 
 
-def count_windows(texts: DataFrame, units: Units) -> DataFrame:
-    """The same for anchors with very many different stretches: the prefix is extended to the whole
-    window, so equal windows are counted by hash and no group is gathered in a task."""
-    schema = "k1 bigint, k2 bigint, at int, w1 bigint, w2 bigint, copies bigint"
-
-    def run(batches):
-        for batch in batches:
-            for k1, k2, lo, copies, body in zip(
-                *(batch.column(c).to_pylist() for c in ("k1", "k2", "lo", "copies", "body"))
-            ):
-                data = np.frombuffer(body, np.uint8)
-                found, _ = units.of(data, np.array([0, len(data)]))
-                sums = prefix_sums(found)
-                other = prefix_sums(mix(found.astype(np.uint64) + np.uint64(77)))
-                at = np.arange(len(found) - units.window + 1)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()),
-                        pa.array((lo + at).astype(np.int32)),
-                        pa.array(_signed(range_hash(sums, at, at + units.window))),
-                        pa.array(_signed(range_hash(other, at, at + units.window))),
-                        pa.array([copies] * n, pa.int64()),
-                    ],
-                    names=["k1", "k2", "at", "w1", "w2", "copies"],
-                )
-
-    windows = texts.mapInArrow(run, schema)
-    often = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1")
-    return (
-        windows.filter("copies = 1").join(often, ["w1", "w2"], "left_semi")
-        .select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    )
-
-
 def repeated_spans(
-    docs: DataFrame, units: Units, compare: Callable, wide_group: int = WIDE_GROUP
+    docs: DataFrame, units: Units, compare: Callable, group_units: int = GROUP_UNITS
 ) -> DataFrame:
     """Per document (k1, k2) the unmerged ranges of units in repeated windows: array of (a, b),
     b exclusive. ``docs`` has text and a row key."""
     spark, span = docs.sparkSession, ["k1", "k2", "lo", "hi"]
-    paths = [scratch_path(spark, n) for n in ("stretches", "repeated", "known", "stretch-texts")]
-    found = materialize(find_stretches(docs, units), "stretches", paths[0])
-    hits = materialize(repeated_stretches(found), "repeated", paths[1])
-    known = materialize(found.filter("copies > 1").select(*span), "known", paths[2])
-    remove_path(spark, paths[0])
-    texts = materialize(stretch_texts(docs, hits.filter("compare"), units), "stretch-texts", paths[3])
-    whole = known.unionByName(hits.filter("alike = 1 AND copies > 1").select(*span))
-    parts = compare_stretches(texts.filter(F.col("kinds") <= wide_group), units, compare)
-    wide = count_windows(texts.filter(F.col("kinds") > wide_group), units)
+    keys, sources = KEY, docs.select(*KEY, "text").dropDuplicates(KEY)
+    searched = docs.select(*KEY, F.lit(0).alias("base"), F.lit(1).cast("bigint").alias("copies"), "text")
+    parts, paths = [], []
+    while True:
+        stretch, repeated, known_at, texts_at = (
+            scratch_path(spark, n) for n in ("stretches", "repeated", "known", "stretch-texts")
+        )
+        found = materialize(find_stretches(searched, units), "stretches", stretch)
+        hits = materialize(repeated_stretches(found, units), "repeated", repeated)
+        known = materialize(found.filter("copies > 1").select(*span), "known", known_at)
+        remove_path(spark, stretch)
+        parts += [known, hits.filter("alike = 1 AND copies > 1").select(*span)]
+        paths += [repeated, known_at]
+        if units.gram == units.window:
+            break
+        texts = stretch_texts(sources, keys, hits.filter("compare"), units)
+        texts = materialize(texts, "stretch-texts", texts_at)
+        paths.append(texts_at)
+        parts.append(compare_stretches(texts.filter(F.col("held") <= group_units), units, compare))
+        large = texts.filter(F.col("held") > group_units)
+        if large.isEmpty():
+            break
+        # one text per stretch, so a stretch is known by its document and start
+        keys = [*KEY, "base"]
+        searched = large.select(*KEY, F.col("lo").alias("base"), "copies", F.col("body").alias("text"))
+        sources = searched.drop("copies")
+        units = replace(units, gram=min(2 * units.gram, units.window))
     ranges = F.struct(F.col("lo").alias("a"), (F.col("hi") + units.window).alias("b")).alias("s")
     spans = (
-        whole.unionByName(parts).unionByName(wide).select("k1", "k2", ranges)
+        reduce(DataFrame.unionByName, parts).select("k1", "k2", ranges)
         .groupBy("k1", "k2").agg(F.collect_list("s").alias("spans"))
     )
     spans = materialize(spans, "spans")
     # the tables on the way have served
-    for path in paths[1:]:
+    for path in paths:
         remove_path(spark, path)
     return spans
 

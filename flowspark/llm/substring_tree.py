@@ -1,8 +1,9 @@
 """Substring dedup (4): suffix trees over words, partitioned by prefix.
 
 Suffixes are grouped by a prefix: the gram at the anchor of their window (``repeats``). Whole groups
-are packed into shards of bounded size, one subtree each; a prefix with too many different suffixes
-is extended to the whole window instead. A subtree is held as its sorted leaves and the common
+are packed into shards of bounded size, one subtree each. Prefixes vary in length: where the suffixes of
+one hold too much text, it is extended from 8 words to 16, 32 and at last the window, until each group
+fits; at the window a subtree is one leaf with a count. A subtree is held as its sorted leaves and the common
 prefixes of neighbours. Its internal nodes of depth ``window`` or more are the maximal runs of leaves
 whose common prefixes reach that depth; all windows below such a node repeat.
 

@@ -1,7 +1,7 @@
 """Suffix-array dedup (10): repeated byte strings by induced sorting.
 
 Anchors deal the text out to shards (``repeats``), so that equal strings of ``window`` bytes meet in
-one shard. A shard's suffix array is built by induced sorting: suffixes are classed as smaller (S) or
+one shard; a group too large for one is parted again by longer strings. A shard's suffix array is built by induced sorting: suffixes are classed as smaller (S) or
 larger (L) than their successor, leftmost S substrings are sorted and named, recursively while names
 repeat, and the order of all suffixes is induced from them in linear passes. The passes run on whole
 buckets with arrays; only the recursion on names uses plain lists. Common prefixes are computed in text

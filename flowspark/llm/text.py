@@ -65,10 +65,13 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts and the n + 1 offsets into them; a null text is empty."""
+    """Bytes of all texts (strings or binary) and the n + 1 offsets into them; a null text is empty."""
     if pa.types.is_dictionary(column.type):
         column = column.dictionary_decode()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    else:
+        column = pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds

@@ -71,16 +71,45 @@ def test_bytes_equal_brute_force(spark, seed):
         assert got[k]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
-def test_wide_groups_are_counted_exactly(spark):
-    """The path for very many different texts behind one prefix gives the same windows."""
-    texts = odd_texts(5)
-    docs = table(spark, texts).select("doc_id", "text").withColumns(row_key())
-    units = repeats.Units(True, 9, 5)
-    compare = substring_tree.compare_words(9)
-    def spans(wide):
-        rows = repeats.repeated_spans(docs, units, compare, wide_group=wide).collect()
-        return {(r["k1"], r["k2"]): repeats.merge_spans([tuple(s) for s in r["spans"]]) for r in rows}
-    assert spans(0) == spans(1000)
+def merged_spans(spark, docs, units, compare, group_units):
+    rows = repeats.repeated_spans(docs, units, compare, group_units=group_units).collect()
+    return {(r["k1"], r["k2"]): repeats.merge_spans([tuple(s) for s in r["spans"]]) for r in rows}
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_prefixes_grow_until_groups_fit(spark, words):
+    """Every bound of the groups, from none that fits to all that do, gives the same windows."""
+    docs = table(spark, odd_texts(5)).select("doc_id", "text").withColumns(row_key())
+    units = repeats.Units(words, 9, 2) if words else repeats.Units(words, 24, 6)
+    compare = (substring_tree.compare_words if words else suffix_array.compare_bytes)(units.window)
+    want = merged_spans(spark, docs, units, compare, 1 << 19)
+    assert want
+    for bound in (0, 30, 120):
+        assert merged_spans(spark, docs, units, compare, bound) == want
+
+
+def test_one_prefix_of_very_many_texts_and_periodic_texts(spark):
+    """30,000 different texts around one gram, two of them sharing a longer run; periodic texts of 500,000
+    words, two of period 5 and different lengths, one word repeated."""
+    def hash_of(gram):
+        words, _ = repeats.Units(True, 35, 8).of(np.frombuffer(gram.encode(), np.uint8), np.array([0, len(gram)]))
+        return int(repeats.range_hash(repeats.prefix_sums(words), np.array([0]), np.array([8]))[0])
+
+    # the smallest hash of many, so that most texts have their anchor at it
+    gram = min((" ".join(f"common{k}x{i}" for i in range(8)) for k in range(300)), key=hash_of)
+    around = [
+        " ".join([*(f"l{k}x{i}" for i in range(27)), gram, *(f"r{k}x{i}" for i in range(27))]) for k in range(30_000)
+    ]
+    twin = around[7] + " end"
+    wave = [f"p{i % 5}" for i in range(500_000)]
+    texts = around + [twin, " ".join(wave), " ".join(wave[:300_000]), "same " * 500_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    out = substring_tree.repeated_words(docs, 35)
+    got = {
+        r["doc_id"]: sum(b - a for a, b in repeats.merge_spans([tuple(s) for s in r["spans"]]))
+        for r in out.filter("spans IS NOT NULL").select("doc_id", "spans").collect()
+    }
+    assert got == {7: 62, 30_000: 62, 30_001: 500_000, 30_002: 300_000, 30_003: 500_000}
 
 
 def test_long_text_is_cut_without_loss(spark, monkeypatch):
