@@ -6,7 +6,7 @@ alone, needs only bit operations on the ledger, not the texts. All expressions a
 
 Results for odd input: a null or blank text has no words, fails ``few_words`` and passes the ratios; a
 text without lines or letters counts zero; rows are independent, so repeated rows repeat; an empty table
-gives an empty ledger; columns named like a measurement are overwritten.
+gives an empty ledger; columns named like a measurement are overwritten, all others stay.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ RULES = (
 )
 BASE = Policy("base", ("few_words", "repeated_words"))
 STRICT = Policy("v1", tuple(r.name for r in RULES))
+_HASH = "xxhash64({})"  # of a window of words
 MEASUREMENTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -52,40 +53,60 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def _private(names: Sequence[str], columns: Sequence[str]) -> list[str]:
+    """``names`` with as many leading underscores as tell them from ``columns``, which ignore case."""
+    taken = {c.lower() for c in columns}
+    mark = "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def measure(docs: DataFrame, window: int = 5) -> DataFrame:
     """``docs`` with the measurements of ``text`` (all bigint).
 
     n_words; word_chars, code points in words; n_symbols, characters of ``#*$%&|<>``; n_lines, lines
     with a word; n_dup_lines, those equal to an earlier one; n_repeat_words, words in windows of ``window``
     words that stand in the text twice or more. For the last, one number per window holds its hash above and
-    its place below; the more places, the fewer bits of hash, which only bring equal windows together.
+    its place below; the more places, the fewer bits of hash, which only bring equal windows together: words
+    are compared between neighbours, and between all windows of a hash that two different ones share.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(BLANKS)) != "")
     last = window - 1
-    # equal windows are neighbours among the sorted keys; their words confirm it
+    inner = _private(["words", "lines", "bits", "mask", "keys", "near"], docs.columns)
+    words, line_list, bits, mask, keys, near = (f"`{c}`" for c in inner)
+    alike = f"slice({words}, int(p.a & {mask}), {window}) = slice({words}, int(p.b & {mask}), {window})"
+    # windows with one hash are neighbours among the sorted keys; their words confirm that they are equal
     pairs = f"""filter(
-        transform(sequence(1, greatest(size(_keys) - 1, 1)), j -> named_struct('a', _keys[j - 1], 'b', _keys[j])),
-        p -> shiftright(p.a, _bits) = shiftright(p.b, _bits)
-          AND slice(_words, int(p.a & _mask), {window}) = slice(_words, int(p.b & _mask), {window}))"""
-    starts = f"array_sort(array_distinct(flatten(transform({pairs}, p -> array(p.a & _mask, p.b & _mask)))))"
+        transform(sequence(1, greatest(size({keys}) - 1, 1)), j -> named_struct('a', {keys}[j - 1], 'b', {keys}[j])),
+        p -> shiftright(p.a, {bits}) = shiftright(p.b, {bits}))"""
+    # between equal windows a different one of the same hash may stand: then each meets all of that hash
+    shared = f"array_distinct(transform(filter({near}, p -> NOT ({alike})), p -> shiftright(p.a, {bits})))"
+    clashes = f"""CASE WHEN exists({near}, p -> NOT ({alike})) THEN flatten(transform({shared}, h -> flatten(transform(
+        filter({keys}, a -> shiftright(a, {bits}) = h), a -> transform(
+            filter({keys}, b -> b > a AND shiftright(b, {bits}) = h), b -> named_struct('a', a, 'b', b))))))
+        ELSE array() END"""
+    equal = f"filter(concat({near}, {clashes}), p -> {alike})"
+    starts = f"array_sort(array_distinct(flatten(transform({equal}, p -> array(p.a & {mask}, p.b & {mask})))))"
     covered = f"""aggregate({starts}, named_struct('n', 0L, 'until', 0L),
         (s, i) -> named_struct('n', s.n + least({window}L, i + {window} - s.until), 'until', i + {window}),
         s -> s.n)"""
     return (
-        docs.withColumn("_words", _words(text)).withColumn("_lines", lines)
-        .withColumn("n_words", F.size("_words").cast("bigint"))
-        .withColumn("_bits", F.length(F.bin(F.col("n_words"))))
-        .withColumn("_mask", F.expr("shiftleft(1L, _bits) - 1"))
-        .withColumn("_keys", F.expr(f"""CASE WHEN n_words > {window} THEN sort_array(transform(
-            sequence(1, size(_words) - {last}),
-            i -> shiftleft(xxhash64(slice(_words, i, {window})), _bits) | i)) END"""))
+        docs.withColumn(inner[0], _words(text)).withColumn(inner[1], lines)
+        .withColumn("n_words", F.size(words).cast("bigint"))
+        .withColumn(inner[2], F.length(F.bin(F.col("n_words"))))
+        .withColumn(inner[3], F.expr(f"shiftleft(1L, {bits}) - 1"))
+        .withColumn(inner[4], F.expr(f"""CASE WHEN n_words > {window} THEN sort_array(transform(
+            sequence(1, size({words}) - {last}),
+            i -> shiftleft({_HASH.format(f"slice({words}, i, {window})")}, {bits}) | i)) END"""))
+        .withColumn(inner[5], F.expr(pairs))
         .withColumn("word_chars", F.length(F.translate(text, BLANKS, "")).cast("bigint"))
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"))
-        .withColumn("n_lines", F.size("_lines").cast("bigint"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
-        .withColumn("n_repeat_words", F.expr(f"CASE WHEN _keys IS NULL THEN 0L ELSE {covered} END"))
-        .drop("_words", "_lines", "_bits", "_mask", "_keys")
+        .withColumn("n_lines", F.size(line_list).cast("bigint"))
+        .withColumn("n_dup_lines", (F.size(line_list) - F.size(F.array_distinct(line_list))).cast("bigint"))
+        .withColumn("n_repeat_words", F.expr(f"CASE WHEN {keys} IS NULL THEN 0L ELSE {covered} END"))
+        .drop(*inner)
     )
 
 

@@ -331,6 +331,18 @@ def test_measurements_equal_brute_force(spark):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_windows_of_one_hash_and_names_of_inner_columns(spark, monkeypatch):
+    """With a hash of three values every window meets different ones of its hash; columns keep their values."""
+    monkeypatch.setattr(quality, "_HASH", "pmod(xxhash64({}), 3L)")
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abc") for _ in range(n)) for n in [0, 4, 5, 6, 7, 30, 60, 90]] + [None]
+    schema = "doc_id bigint, text string, _words string, _LINES int, _bits int, _mask int, _keys int, __keys int"
+    docs = spark.createDataFrame([(k, t, "w", 1, 2, 3, 4, 5) for k, t in enumerate(texts)], schema)
+    rows = quality.measure(docs).collect()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in rows} == {k: measured(t)[4] for k, t in enumerate(texts)}
+    assert all(tuple(r)[2:8] == ("w", 1, 2, 3, 4, 5) for r in rows)
+
+
 def test_policies_and_ablations(spark):
     entries = spark.createDataFrame([(b,) for b in [0, 1, 1, 2, 3, 16, 17]], "fail_bits bigint")
     out = {(r["version"], r["rule"]): (r["failed"], r["only_this"], r["rejected"]) for r in quality.ablations(entries, [quality.BASE, quality.STRICT]).collect()}
