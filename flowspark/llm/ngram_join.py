@@ -13,7 +13,9 @@ single tokens and class members less one add up to slack + 1. Small sets, which
 that, are also indexed by single tokens. 4. Members of an index entry are compared with its most central
 member, the one with the smallest part of tokens that no other set has. Then members of different
 components are paired, if two bounds allow it: tokens that only one of them has at all, and the bits
-in which their parity sketches differ, both count against the overlap. Every comparison is exact.
+in which their parity sketches differ, both count against the overlap. Two members that both have more
+than a ninth of such tokens are never similar, so only the others start pairs: very many texts around one
+shared passage meet these few, not each other. Every comparison is exact.
 
 Results for odd input: a text of fewer than five words is one shingle; null or blank texts have no
 set and are linked with nothing; rows with the same doc_id count as one document; a component without any
@@ -260,6 +262,22 @@ def _sketches_fit(percent: int) -> Column:
     return (total - bits) * (100 + percent) >= total * (2 * percent)
 
 
+def meetings(placed: DataFrame, percent: int) -> DataFrame:
+    """Members of one entry and of different components that may be similar, once each, the second one's columns
+    ending in 2.
+
+    Of N tokens that two sets have together, A in one set of all only, at most N - A are in both, counted twice;
+    a similarity of ``percent`` needs A * (100 + percent) <= N * (100 - percent). One of them then has no
+    larger part of its own tokens alone, and stands first.
+    """
+    few = F.expr(f"alone * {100 + percent}L <= n * {100 - percent}L")
+    first = placed.withColumn("few", few).filter("few").drop("few")
+    other = placed.withColumn("few", few)
+    other = other.select("entry", *(F.col(c).alias(f"{c}2") for c in other.columns if c != "entry"))
+    once = (F.col("root") != F.col("root2")) & (~F.col("few2") | (F.col("root") < F.col("root2")))
+    return first.join(other, "entry").filter(once).drop("few2")
+
+
 def similar_classes(tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect all similar classes, and their components (node, root)."""
     entries = materialize(index_entries(tokens, percent), "entries")
@@ -285,10 +303,8 @@ def similar_classes(tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFra
         .join(tokens.select("node", "sketch"), "node")
     )
     placed = materialize(placed, "placed")
-    other = placed.select("entry", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "alone", "root", "sketch")))
     rest = (
-        placed.join(other, "entry")
-        .filter((F.col("root") < F.col("root2")) & _may_link(percent) & _sketches_fit(percent))
+        meetings(placed, percent).filter(_may_link(percent) & _sketches_fit(percent))
         .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     )
     more = materialize(verified(rest, tokens, percent), "links")

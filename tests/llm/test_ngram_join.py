@@ -68,6 +68,41 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, rare):
     assert len(found) == len(rows)
 
 
+def test_many_texts_around_a_passage_do_not_meet_each_other(spark):
+    """20,000 members of one entry with 15 % of their tokens alone meet two others, and no pair twice."""
+    many = [(1, k, 100, 15, k) for k in range(20_000)]
+    rows = [*many, (1, 20_000, 100, 5, 20_000), (1, 20_001, 95, 0, 20_001), (2, 5, 100, 15, 5), (2, 6, 100, 15, 6)]
+    placed = spark.createDataFrame(rows, "entry long, node long, n int, alone int, root long")
+    met = ngram_join.meetings(placed, 80)
+    assert met.count() == 2 * 20_000 + 1
+    assert met.selectExpr("least(node, node2) AS a", "greatest(node, node2) AS b").distinct().count() == 2 * 20_000 + 1
+
+
+def test_no_similar_pair_fails_to_meet(spark):
+    """All pairs of small sets: those that sizes and lone tokens allow meet."""
+    kinds = [(n, alone) for n in (5, 9, 10, 18, 20, 45, 50) for alone in range(0, n // 3 + 1)]
+    rows = [(1, k, n, alone, k) for k, (n, alone) in enumerate(kinds)]
+    placed = spark.createDataFrame(rows, "entry long, node long, n int, alone int, root long")
+    met = {frozenset(r) for r in ngram_join.meetings(placed, 80).select("node", "node2").collect()}
+    for i, (n, a) in enumerate(kinds):
+        for j, (m, b) in enumerate(kinds[:i]):
+            both = min(n - a, m - b)
+            if 100 * both >= 80 * (n + m - both):
+                assert frozenset((i, j)) in met
+
+
+@pytest.mark.parametrize("own", [12, 18, 24])
+def test_texts_around_a_passage_equal_brute_force(spark, own):
+    rnd = random.Random(own)
+    passage = [f"p{k}" for k in range(110)]
+    rows = [" ".join(passage + [f"u{rnd.randrange(10**9)}" for _ in range(own)]) for _ in range(80)]
+    rows += [" ".join(edited(passage, k % 3, rnd) + [f"u{k // 2}x{i}" for i in range(own)]) for k in range(20)]
+    rows = list(enumerate(rows + [" ".join(passage), " ".join(passage[:100])]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = ngram_join.similar_documents(docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows)
+
+
 def test_every_similar_pair_shares_an_entry():
     rnd = random.Random(3)
     for n in [1, 2, 5, 20, 41, 42, 52, 53, 70, 300]:
