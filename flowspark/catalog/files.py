@@ -179,7 +179,8 @@ def _validate_messages(spark, sf_dir):
     checked = tensors.validate_messages(broken, COUNTS, MESSAGE_BYTES)
     bad = checked.filter("reject_reason IS NOT NULL").select("seq", F.col("reject_reason").alias("outcome"))
     # every message twice: the copies collapse
-    good = tensors.accepted_messages(checked.unionByName(checked)).select("seq", F.lit("accepted").alias("outcome"))
+    twice = checked.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    good = tensors.accepted_messages(twice).select("seq", F.lit("accepted").alias("outcome"))
     return bad.unionByName(good)
 
 

@@ -54,18 +54,28 @@ def level_code(x: Column, dtype: T.DataType, levels, unknown: str = UNKNOWN_ZERO
     return found if unknown == UNKNOWN_ZERO else F.greatest(found, other)
 
 
-def one_hot(code: Column, width: int, first_code: int = 1, max_code: int | None = None) -> Column:
-    """Vector of ``width`` floats, 1 where the position's code equals ``code``, else all zeros.
+# Most entries of a table of one-hot vectors; a wider vector is cut out of a constant when it is needed.
+TABLE_ENTRIES = 1 << 16
 
-    ``code`` lies in 0..``max_code`` (default: the last position's code). The vector is a slice of
-    the constant ``0..0 1 0..0``: no per-element function runs and ``code`` is evaluated once.
+
+def one_hot(
+    code: Column, width: int, first_code: int = 1, max_code: int | None = None, dtype: str = "float"
+) -> Column:
+    """Vector of ``width`` numbers, 1 where the position's code equals ``code``, else all zeros.
+
+    ``code`` lies in 0..``max_code`` (default: the last position's code). The vector is looked up in a constant
+    table with one per code; past ``TABLE_ENTRIES`` it is a slice of the constant ``0..0 1 0..0``, which costs a
+    copy of it. Either way no per-element function runs and ``code`` is evaluated once.
     """
     if width <= 0:
-        return F.array().cast("array<float>")
+        return F.array().cast(f"array<{dtype}>")
     last = max(width + first_code - 1, max_code or 0)
-    ridge = np.zeros(last + width + 1, dtype=np.float32)
+    ridge = np.zeros(last + width + 1, dtype={"float": np.float32, "double": np.float64}[dtype])
     ridge[last] = 1.0
-    return F.slice(F.lit(ridge), F.lit(last + 1 + first_code) - code, F.lit(width))
+    if (last + 1) * width > TABLE_ENTRIES:
+        return F.slice(F.lit(ridge), F.lit(last + 1 + first_code) - code, F.lit(width))
+    starts = [last + first_code - c for c in range(last + 1)]
+    return F.get(F.array(*[F.lit(ridge[start : start + width]) for start in starts]), code)
 
 
 def one_hot_over(code: Column, codes: list[int]) -> Column:
@@ -100,10 +110,12 @@ def fit_width(vec: Column, width: int, expected: int, unknown_flag: bool = True)
     return F.concat(vec, pad)
 
 
-def one_hot_fitted(code: Column, width: int, expected: int, unknown_flag: bool = True) -> Column:
+def one_hot_fitted(
+    code: Column, width: int, expected: int, unknown_flag: bool = True, dtype: str = "float"
+) -> Column:
     """``fit_width(one_hot(code))`` in one step, for codes in 0..``width``."""
     if unknown_flag and expected > width:
         # 0 moves to width + 1, the first added position; other codes stay
         code = F.pmod(code + F.lit(width), F.lit(width + 1)) + F.lit(1)
-        return one_hot(code, expected, max_code=width + 1)
-    return one_hot(code, expected, max_code=width)
+        return one_hot(code, expected, max_code=width + 1, dtype=dtype)
+    return one_hot(code, expected, max_code=width, dtype=dtype)

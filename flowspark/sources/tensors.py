@@ -25,15 +25,21 @@ def tensor_messages(
     df: DataFrame, inputs: list[str], seq: Column, max_bytes: int | None = None
 ) -> DataFrame:
     """Inputs flattened in model order and joined: (magic, version, seq, n_inputs, total_floats,
-    elem_counts, payload). Too many inputs fail at once, an oversized message when it is reached."""
+    elem_counts, payload). Too many inputs fail at once, an oversized message when it is reached.
+
+    A message is made as one generated row, so that conditions on its fields read the message that was made and are
+    not turned into conditions on the inputs, which would make all of it anew for every field they name.
+    """
     if len(inputs) > MAX_INPUTS:
         raise ValueError(f"too many model inputs: {len(inputs)} > {MAX_INPUTS}")
-    flat = [_flat(df, n) for n in inputs]
-    rows = df.select(
-        F.lit(MAGIC).alias("magic"), F.lit(VERSION).alias("version"), seq.cast("bigint").alias("seq"),
-        F.lit(len(inputs)).alias("n_inputs"),
-        F.array(*[F.size(x) for x in flat]).alias("elem_counts"), F.concat(*flat).alias("payload"),
+    flat = [F.col(f"_flat{i}") for i in range(len(inputs))]
+    parts = df.select(seq.cast("bigint").alias("seq"), *[_flat(df, n).alias(f"_flat{i}") for i, n in enumerate(inputs)])
+    body = F.struct(
+        F.array(*[F.size(x) for x in flat]).alias("elem_counts"), F.concat(*flat).alias("payload")
     )
+    rows = parts.select("seq", F.inline(F.array(body))).withColumns({
+        "magic": F.lit(MAGIC), "version": F.lit(VERSION), "n_inputs": F.lit(len(inputs)),
+    })
     total = F.size("payload")
     if max_bytes is not None:
         too_large = total * FLOAT_BYTES + HEADER_BYTES > max_bytes

@@ -182,3 +182,20 @@ def test_address_label_overwrites_and_needs_the_column(spark):
     assert got == ["Dos", "Benign"]
     with pytest.raises(ValueError):
         prepare.label_by_address(df, "x", "Dos", address_column="nope")
+
+
+@pytest.mark.parametrize("width, first_code, max_code", [(6, 1, None), (6, 0, None), (4, 1, 6), (3, 0, 9), (1, 1, 7)])
+def test_vectors_from_the_table_equal_slices(spark, monkeypatch, width, first_code, max_code):
+    last = max(width + first_code - 1, max_code or 0)
+    codes = spark.range(last + 1).select(F.col("id").cast("int").alias("c"))
+
+    def vectors(dtype):
+        found = codes.select("c", C.one_hot(F.col("c"), width, first_code, max_code, dtype).alias("v"))
+        return {r["c"]: r["v"] for r in found.collect()}
+
+    want = {c: [float(p + first_code == c) for p in range(width)] for c in range(last + 1)}
+    assert vectors("float") == vectors("double") == want
+    # the vectors are elements of one constant, not copies cut out per row
+    assert "slice(" not in codes.select(C.one_hot(F.col("c"), width, first_code, max_code))._jdf.queryExecution().toString()
+    monkeypatch.setattr(C, "TABLE_ENTRIES", 0)
+    assert vectors("float") == vectors("double") == want

@@ -196,3 +196,14 @@ def test_settings_precedence(tmp_path):
 def test_input_spec_round_trip():
     spec = ModelInputSpec(("n", "c"), 1, (4,), "onehot", ("Benign", "X"), ("X",))
     assert ModelInputSpec.from_json(spec.to_json()) == spec and spec.categorical_features == ("c",)
+
+
+def test_conditions_on_messages_do_not_make_them_again(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "n long, x array<double>")
+    made = tensors.tensor_messages(df, ["x"], F.col("n"), max_bytes=1000)
+    checked = tensors.validate_messages(made, [2], 1000)
+    good = tensors.accepted_messages(checked.unionByName(checked))
+    assert sorted((r["seq"], r["elem_counts"], r["payload"]) for r in good.collect()) == [(1, [2], [1.0, 2.0]), (2, [2], [3.0, 4.0])]
+    plan = checked.filter("reject_reason IS NULL").select("seq")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("x#" in line for line in filters)
