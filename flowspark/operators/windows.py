@@ -237,8 +237,9 @@ def record_vector(row: Column, params: FittedParams, dims: dict[str, int] | None
     parts = [numbers]
     for f, p in params.categorical.items():
         expected = (dims or {}).get(f, p.n_levels)
-        parts.append(one_hot_fitted(row[f], p.n_levels, expected).cast("array<double>"))
-    return F.concat(*parts)
+        parts.append(one_hot_fitted(row[f], p.n_levels, expected, dtype="double"))
+    # flatten copies whole parts, also inside a function on array elements, where concat goes through each number
+    return F.flatten(F.array(*parts))
 
 
 def pool_window(vectors: Column, how: str, width: int, window: int) -> Column:

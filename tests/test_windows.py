@@ -126,3 +126,11 @@ def test_windows_at_few_rows_leave_the_table_where_it_is(spark):
     many = Wn.windows_at(table, targets, ["x"], 8, keep=["y"], max_rows=0)
     rows = sorted(map(repr, few.collect()))
     assert rows == sorted(map(repr, many.collect())) and len(rows) == 5 and few.columns == ["idx", "y", "win"]
+
+
+def test_record_vectors_are_copied_part_by_part(spark):
+    win = Wn.sliding_windows(coded(spark, [1, 2, 0]), ["n", "c"], 3)
+    v = win.select(F.transform("win", lambda s: Wn.record_vector(s, PARAMS)).alias("v"))
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(" not in plan and "slice(" not in plan
+    assert v.schema["v"].dataType.simpleString() == "array<array<double>>"
