@@ -133,15 +133,20 @@ class WindowFeed:
 _VERSIONS = "bucket INT, batch BIGINT"
 
 
+# Groups of keys that share one state of ``sliding_windows_stateful``.
+STATE_BUCKETS = 1024
+
+
 def sliding_windows_stateful(
     stream: DataFrame, key: str, cols: list[str], order: list[str], window: int = 8,
-    keep: list[str] | None = None, idle_s: float | None = None,
+    keep: list[str] | None = None, idle_s: float | None = None, buckets: int = STATE_BUCKETS,
 ) -> DataFrame:
     """The same per key as one continuous stateful query (state: the last ``window - 1`` rows, dropped
     when a key has had no row for ``idle_s`` seconds of processing time).
 
-    One key of one micro-batch is sorted in one task, so bound the trigger size, and use
-    ``WindowFeed`` when a single key carries a large share of the stream.
+    Keys share state in ``buckets``, so that keys of a few rows are handled together; their number stays
+    the same over a checkpoint's life. One bucket of one micro-batch is sorted in one task, so bound the
+    trigger size, and use ``WindowFeed`` when a single key carries a large share of the stream.
 
     Output: key, ``keep`` of the last row, and per column an array of ``window`` values.
     """
@@ -150,35 +155,91 @@ def sliding_windows_stateful(
     fields = [f"`{key}` {types[key]}"] + [f"`{c}` {types[c]}" for c in keep]
     fields += [f"`win_{c}` array<{types[c]}>" for c in cols]
     state_cols = list(dict.fromkeys([*cols]))
-    state_schema = ", ".join(f"`{c}` array<{types[c]}>" for c in state_cols)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        new = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-        past = state.get if state.exists else tuple([] for _ in state_cols)
+    # per key: its value, whether it is null, its number of rows, when it was last seen; per row: the columns
+    state_schema = f"`_keys` array<{types[key]}>, `_nulls` array<boolean>, `_counts` array<int>, `_seen` array<bigint>, "
+    state_schema += ", ".join(f"`{c}` array<{types[c]}>" for c in state_cols)
+    idle_ms = None if idle_s is None else int(idle_s * 1000)
+    # pandas has no null integers: these travel as a value and a flag
+    whole = [types[c] in ("tinyint", "smallint", "int", "bigint") for c in state_cols]
+
+    def exact(rows: pd.DataFrame, i: int) -> list:
+        values = rows[f"_value{i}" if whole[i] else state_cols[i]].tolist()
+        if whole[i] and rows[f"_absent{i}"].any():
+            return [None if gone else v for v, gone in zip(values, rows[f"_absent{i}"])]
+        return values
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        past = state.get if state.exists else tuple([] for _ in range(4 + len(state_cols)))
+        old_keys, old_nulls, counts, seen, held = *past[:4], past[4:]
+        new = None if state.hasTimedOut else pd.concat(list(batches), ignore_index=True)
+        fresh = 0 if new is None else len(new)
+        now = 0 if idle_ms is None else state.getCurrentProcessingTimeMs()
+        # a code for each key; None is a null key, whatever value stands for it
+        values = pd.Series([*old_keys, *(new["_key"].tolist() if fresh else [])], dtype=object)
+        nulls = np.array([*old_nulls, *(new["_null"].tolist() if fresh else [])], dtype=bool)
+        codes = pd.factorize(pd.factorize(values, use_na_sentinel=False)[0] * 2 + nulls)[0]
+        n_old, n_keys = len(old_keys), int(codes.max()) + 1 if len(codes) else 0
+        own, order_codes = codes[n_old:], codes[:n_old]
+        if fresh:
+            rank = new.assign(_code=own).sort_values(["_code", *order], kind="stable").index.to_numpy()
+            new, own = new.loc[rank], own[rank]
+        # rows carried along stand before the new ones of their key
+        owner = np.r_[np.repeat(order_codes, counts), own].astype(np.int64)
+        place = np.argsort(owner, kind="stable")
+        owner, is_new = owner[place], place >= len(place) - fresh
+        size = np.bincount(owner, minlength=n_keys)
+        start = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64) if n_keys else np.zeros(0, np.int64)
+        at = np.arange(len(owner)) - start[owner]
         history = {}
         for i, c in enumerate(state_cols):
             # an object array, so that nulls and wide integers stay what they are
-            history[c] = np.array([*past[i], *new[c].tolist()], dtype=object)
-        state.update(tuple(history[c][max(len(history[c]) - window + 1, 0):].tolist() for c in state_cols))
-        if idle_s is not None:
-            state.setTimeoutDuration(int(idle_s * 1000))
-        first = max(window - 1 - len(past[0]), 0)  # new rows before the first full window
-        n = len(new) - first
-        if n > 0:
-            out = {key: [k[0]] * n}
+            both = np.empty(len(place), dtype=object)
+            both[:] = [*held[i], *(exact(new, i) if fresh else [])]
+            history[c] = both[place]
+
+        first = np.zeros(n_keys, np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]  # a place in ``values`` that has the key
+        last_seen = np.zeros(n_keys, np.int64)
+        last_seen[order_codes] = seen
+        last_seen[own] = now
+        stays = np.ones(n_keys, bool) if idle_ms is None else last_seen + idle_ms >= now
+        carried = stays[owner] & (size[owner] - at < window)
+        if stays.any():
+            kept = np.flatnonzero(stays)
+            state.update((
+                values[first[kept]].tolist(), nulls[first[kept]].tolist(),
+                np.minimum(size[kept], window - 1).tolist(), last_seen[kept].tolist(),
+                # rows in the order of their keys
+                *[history[c][carried].tolist() for c in state_cols],
+            ))
+            if idle_ms is not None:
+                state.setTimeoutDuration(max(1, int(last_seen[kept].min()) + idle_ms - now))
+        elif state.exists:
+            state.remove()
+        ends = np.flatnonzero(is_new & (at >= window - 1))
+        if len(ends):
+            rows = place[ends] - (len(place) - fresh)
+            named = new["_key"].iloc[rows]
+            absent = new["_null"].iloc[rows].to_numpy(dtype=bool)
+            if absent.any():
+                named = pd.Series([None if gone else v for v, gone in zip(named.tolist(), absent)], dtype=object)
+            out = {key: named.reset_index(drop=True)}
             for c in keep:
-                out[c] = new[c].tolist()[first:]
+                out[c] = new[c].iloc[rows].reset_index(drop=True)
             for c in cols:
-                out[f"win_{c}"] = list(np.lib.stride_tricks.sliding_window_view(history[c], window)[-n:])
+                out[f"win_{c}"] = list(np.lib.stride_tricks.sliding_window_view(history[c], window)[ends - (window - 1)])
             yield pd.DataFrame(out)
 
-    narrow = stream.select(*[quoted(c) for c in dict.fromkeys([key, *keep, *cols, *order])])
-    return narrow.groupBy(key).applyInPandasWithState(
+    own_cols = [quoted(c) for c in dict.fromkeys([*keep, *order, *[c for c, w in zip(state_cols, whole) if not w]])]
+    for i, c in enumerate(state_cols):
+        if whole[i]:
+            own_cols += [F.coalesce(quoted(c), F.lit(0).cast(types[c])).alias(f"_value{i}"), quoted(c).isNull().alias(f"_absent{i}")]
+    absent = quoted(key).isNull()
+    dealt = stream.select(
+        F.pmod(F.xxhash64(quoted(key)), F.lit(buckets)).cast("int").alias("_bucket"), absent.alias("_null"),
+        F.coalesce(quoted(key), F.lit("0").cast(types[key])).alias("_key"), *own_cols,
+    )
+    return dealt.groupBy("_bucket").applyInPandasWithState(
         step, ", ".join(fields), state_schema, "append",
         GroupStateTimeout.NoTimeout if idle_s is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
-
-

@@ -166,3 +166,25 @@ def test_tensor_messages_from_a_stream(spark, sf_dir, tmp_path):
     assert m.filter(F.col("seq") > SEQ_PER_BATCH).count() == 500
     checked = validate_messages(m, [32, 8], 1000)
     assert accepted_messages(checked.unionByName(checked)).count() == 993
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_stateful_windows_of_keys_that_share_a_state(spark, tmp_path, buckets):
+    ddl = "key bigint, t int, id bigint, v bigint"
+    wide, rng = (1 << 60) + 1, random.Random(9)
+    rows = [(rng.choice([None, 0, 5, wide]), t, t, None if t % 5 == 0 else wide + t) for t in range(60)]
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for part in (rows[:20], rows[20:22], rows[22:]):
+        spark.createDataFrame(rng.sample(part, len(part)), ddl).coalesce(1).write.mode("append").parquet(src)
+        found = sliding_windows_stateful(stream_records(spark, src, ddl), "key", ["id", "v"], ["t"], 4, keep=["id"], buckets=buckets)
+        q = found.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        # one group of state for each bucket, not for each key
+        assert spark.read.format("statestore").load(state).count() <= buckets
+    want, past = {}, {}
+    for key, t, i, v in rows:
+        past.setdefault(key, []).append((i, v))
+        if len(past[key]) >= 4:
+            want[i] = (key, [list(x) for x in zip(*past[key][-4:])])
+    got = {r["id"]: (r["key"], [list(r["win_id"]), list(r["win_v"])]) for r in spark.read.parquet(out).collect()}
+    assert got == want
