@@ -163,3 +163,19 @@ def test_flows_with_own_state_equal_the_batch(spark, tmp_path):
     assert got == sorted(map(tuple, assemble_flows(table, 1.0).drop("application_name").collect()))
     assert open_sessions[-1] == 0 and all(n <= b < 15 for n, b in zip(open_sessions, bounds))
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+
+
+def test_sessions_of_conversations_that_share_a_state():
+    import pandas as pd
+
+    from flowspark.streaming.sessions import CONVERSATION, FIELDS, merge_sessions
+
+    def part(host, nulls, first, last, i):
+        return (host, 1, "b", 2, 6, nulls, first, last, i, True, 1, 0, 10, 0, 1 << i)
+
+    rows = [part("a", 0, 0, 5, 0), part("0", 0, 3, 4, 1), part("0", 1, 4, 4, 2), part("a", 0, 7, 9, 3), part("a", 0, 20, 21, 4)]
+    parts = pd.DataFrame(rows, columns=[*CONVERSATION, *FIELDS])
+    found = merge_sessions(parts, 2)
+    got = sorted(map(tuple, found[["lo_ip", "key_nulls", "first_us", "last_us", "f_pkts", "tcp_flags"]].to_numpy().tolist()))
+    # a null end point is no other conversation's, whatever value stands for it
+    assert got == [("0", 0, 3, 4, 1, 2), ("0", 1, 4, 4, 1, 4), ("a", 0, 0, 9, 2, 9), ("a", 0, 20, 21, 1, 16)]
