@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.catalog.base import (
@@ -143,6 +144,30 @@ def payload_sql(f: str) -> str:
     return f"string_agg({value}, ',' ORDER BY r.idx)"
 
 
+def payload_text(messages: DataFrame, numbers: int) -> DataFrame:
+    """``payload`` as comma-joined thousandths, for comparison. Its first ``numbers`` entries are expected to be scaled
+    numbers, the others 0 or 1; a payload with any other entry is written number by number, with equal results.
+
+    Functions on array elements are not compiled and round by way of decimals, so the long 0/1 part is written by compiled
+    casts of the whole array. The parts are cut out as a generated row: inside a function on elements they would be cut
+    out anew, also uncompiled.
+    """
+    rest = F.greatest(F.size("payload") - numbers, F.lit(0))
+    parts = F.struct(F.slice("payload", 1, numbers).alias("_numbers"), F.slice("payload", F.lit(numbers + 1), rest).alias("_bits"))
+    cut = messages.select("*", F.inline(F.array(parts)))
+    flags = F.col("_bits").cast("array<boolean>")
+    cut = cut.withColumn("_digits", F.to_json(flags.cast("array<int>")))
+    # one character an entry and nothing missing, between commas and brackets
+    plain = (flags.cast("array<float>") == F.col("_bits")) & (F.octet_length("_digits") == 2 * F.size("_bits") + 1)
+    # a float times 1000 is exact, and so is the sum that matters for its rounding
+    scaled = F.forall("_numbers", lambda v: (v >= 0) & (v < 1e9))
+    near = F.transform("_numbers", lambda v: F.floor(v.cast("double") * 1000 + 0.5).cast("string"))
+    bits = F.replace(F.substring("_digits", F.lit(2), 2 * F.size("_bits") - 1), F.lit("1"), F.lit("1000"))
+    single = F.transform("payload", lambda v: F.round(v.cast("double") * 1000).cast("bigint").cast("string"))
+    text = F.when(scaled & plain, F.concat(F.array_join(near, ","), F.lit(","), bits)).otherwise(F.array_join(single, ","))
+    return cut.withColumn("payload", text).drop("_numbers", "_bits", "_digits")
+
+
 @query(
     "s9_tensor_messages",
     f"""{CODES}, n AS (SELECT {WIDTHS})
@@ -151,13 +176,10 @@ def payload_sql(f: str) -> str:
     FROM e x JOIN e r ON r.idx BETWEEN x.idx - 7 AND x.idx CROSS JOIN n WHERE x.idx >= 7 GROUP BY x.idx""",
 )
 def _tensor_messages(spark, sf_dir):
-    m = messages(spark, sf_dir)
+    m = payload_text(messages(spark, sf_dir), WINDOW * len(NFV1.numerical))
     return m.select(
         "seq", "version", "n_inputs", "total_floats",
-        F.array_join(F.col("elem_counts").cast("array<string>"), ",").alias("elem_counts"),
-        F.array_join(
-            F.transform("payload", lambda v: F.round(v.cast("double") * 1000).cast("bigint").cast("string")), ","
-        ).alias("payload"),
+        F.array_join(F.col("elem_counts").cast("array<string>"), ",").alias("elem_counts"), "payload",
     )
 
 

@@ -207,3 +207,35 @@ def test_conditions_on_messages_do_not_make_them_again(spark):
     plan = checked.filter("reject_reason IS NULL").select("seq")._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert filters and not any("x#" in line for line in filters)
+
+
+def test_payload_texts_equal_those_made_number_by_number(spark):
+    from flowspark.catalog.files import payload_text
+
+    good = [0.0, 0.5, 0.0005, 0.0125, 0.4995, 0.99949, 1e-30, 2.5, 1234.5678, 9.9e8]
+    payloads = [[x, y, *bits] for x in good for y in good for bits in ([0.0, 1.0, 0.0], [1.0, 1.0, 1.0], [-0.0, 0.0, 1.0])]
+    fast = len(payloads)
+    payloads += [[x, 0.5, *bits] for x in (-0.0005, -2.5, 1e9, 3e12, None) for bits in ([0.0, 1.0, 0.0], [0.25, 0.0, 1.0])]
+    payloads += [[0.5, 0.25, *bits] for bits in ([2.0, 0.0, 1.0], [10.0, 0.0], [0.0005, 1.0, 0.0], [-1.0, 0.0, 1.0], [None, 1.0, 0.0], [None] * 3, [])]
+    payloads += [[0.5], [None, None], [], None]
+    df = spark.createDataFrame(list(enumerate(payloads)), "seq long, payload array<float>")
+    single = F.array_join(F.transform("payload", lambda v: F.round(v.cast("double") * 1000).cast("bigint").cast("string")), ",")
+    want = {r["seq"]: r["t"] for r in df.select("seq", single.alias("t")).collect()}
+    got = {r["seq"]: r["payload"] for r in payload_text(df, 2).collect()}
+    assert got == want and len(got) == len(payloads) and want[0] == "0,0,0,1000,0" and fast == 300
+
+
+def test_tensor_messages_do_not_write_one_hot_entries_one_by_one(spark, tmp_path):
+    import __spark_entry__ as entry_point
+
+    rows = [(i, i % 7, "abc"[i % 3], 1.5 * (i % 40), f'{{"k": {i % 90}}}') for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events = events.withColumn("ts", F.timestamp_seconds(F.col("event_id") + 1_700_000_000))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    out = entry_point.queries()["s9_tensor_messages"](spark, str(tmp_path))
+    found = {r["seq"]: r["payload"].split(",") for r in out.collect()}
+    assert sorted(found) == list(range(1, 54)) and {len(v) for v in found.values()} == {8 * (5 + 102)}
+    assert all(set(v[40:]) == {"0", "1000"} for v in found.values())
+    # the 0/1 part becomes digits at once; going through every number is left to payloads with other entries
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJson") == 1
