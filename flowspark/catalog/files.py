@@ -144,28 +144,44 @@ def payload_sql(f: str) -> str:
     return f"string_agg({value}, ',' ORDER BY r.idx)"
 
 
-def payload_text(messages: DataFrame, numbers: int) -> DataFrame:
-    """``payload`` as comma-joined thousandths, for comparison. Its first ``numbers`` entries are expected to be scaled
-    numbers, the others 0 or 1; a payload with any other entry is written number by number, with equal results.
-
-    Functions on array elements are not compiled and round by way of decimals, so the long 0/1 part is written by compiled
-    casts of the whole array. The parts are cut out as a generated row: inside a function on elements they would be cut
-    out anew, also uncompiled.
+def payload_text(messages: DataFrame, numbers: int, rows: int, dims: list[int]) -> DataFrame:
+    """``payload`` as comma-joined thousandths, for comparison. Expected are ``numbers`` scaled numbers, then for each
+    of ``dims`` as many one-hot vectors as ``rows``; any other payload is written number by number, with equal results.
+
+    Functions on array elements are not compiled and round by way of decimals, so the long one-hot part does not go
+    through them: the place of the first 1 in a vector leads to its text, once it is known that the part holds no other
+    1 and nothing else but 0. Numbers and vectors are cut out as a generated row: inside a function on elements they
+    would be cut out anew for each use.
     """
-    rest = F.greatest(F.size("payload") - numbers, F.lit(0))
-    parts = F.struct(F.slice("payload", 1, numbers).alias("_numbers"), F.slice("payload", F.lit(numbers + 1), rest).alias("_bits"))
-    cut = messages.select("*", F.inline(F.array(parts)))
-    flags = F.col("_bits").cast("array<boolean>")
-    cut = cut.withColumn("_digits", F.to_json(flags.cast("array<int>")))
-    # one character an entry and nothing missing, between commas and brackets
-    plain = (flags.cast("array<float>") == F.col("_bits")) & (F.octet_length("_digits") == 2 * F.size("_bits") + 1)
-    # a float times 1000 is exact, and so is the sum that matters for its rounding
-    scaled = F.forall("_numbers", lambda v: (v >= 0) & (v < 1e9))
+    one, zero = F.lit(1.0).cast("float"), F.lit(0.0).cast("float")
+    length = numbers + rows * sum(dims)
+    cut = messages.select("*", F.inline(F.array(F.struct(
+        F.slice("payload", 1, numbers).alias("_numbers"), F.slice("payload", numbers + 1, length - numbers).alias("_bits")
+    ))))
+    # The check of the numbers also keeps this step out of whole-stage code, whose one method would be too long to be
+    # compiled. A float times 1000 is exact, and so is the sum that matters for its rounding.
+    found = {"_scaled": F.forall("_numbers", lambda v: (v >= 0) & (v < 1e9)), "_rest": F.array_remove("_bits", one)}
+    texts, ones, start = [], F.lit(0), 1
+    for i, dim in enumerate(dims):
+        places = [F.array_position(F.slice("_bits", start + r * dim, dim), one).cast("int") for r in range(rows)]
+        found[f"_at{i}"] = F.array(*places)
+        start += rows * dim
+        # no 1, or a 1 at each place
+        hot = [",".join("1000" if p + 1 == at else "0" for p in range(dim)) for at in range(dim + 1)]
+        texts.append(F.array_join(F.transform(f"_at{i}", _entry(hot)), ","))
+        ones = ones + F.size(F.array_remove(f"_at{i}", 0))
     near = F.transform("_numbers", lambda v: F.floor(v.cast("double") * 1000 + 0.5).cast("string"))
-    bits = F.replace(F.substring("_digits", F.lit(2), 2 * F.size("_bits") - 1), F.lit("1"), F.lit("1000"))
     single = F.transform("payload", lambda v: F.round(v.cast("double") * 1000).cast("bigint").cast("string"))
-    text = F.when(scaled & plain, F.concat(F.array_join(near, ","), F.lit(","), bits)).otherwise(F.array_join(single, ","))
-    return cut.withColumn("payload", text).drop("_numbers", "_bits", "_digits")
+    expected = (
+        F.col("_scaled") & (F.size("payload") == length) & (F.size("_rest") + ones == length - numbers)
+        & (F.size(F.array_remove("_rest", zero)) == 0)
+    )
+    text = F.when(expected, F.concat_ws(",", F.array_join(near, ","), *texts)).otherwise(F.array_join(single, ","))
+    return cut.withColumns(found).withColumn("payload", text).drop("_numbers", "_bits", *found)
+
+
+def _entry(table: list[str]):
+    return lambda at: F.get(F.lit(table), at)
 
 
 @query(
@@ -176,7 +192,7 @@ def payload_text(messages: DataFrame, numbers: int) -> DataFrame:
     FROM e x JOIN e r ON r.idx BETWEEN x.idx - 7 AND x.idx CROSS JOIN n WHERE x.idx >= 7 GROUP BY x.idx""",
 )
 def _tensor_messages(spark, sf_dir):
-    m = payload_text(messages(spark, sf_dir), WINDOW * len(NFV1.numerical))
+    m = payload_text(messages(spark, sf_dir), WINDOW * len(NFV1.numerical), WINDOW, [DIMS[f] for f in NFV1.categorical])
     return m.select(
         "seq", "version", "n_inputs", "total_floats",
         F.array_join(F.col("elem_counts").cast("array<string>"), ",").alias("elem_counts"), "payload",

@@ -212,17 +212,24 @@ def test_conditions_on_messages_do_not_make_them_again(spark):
 def test_payload_texts_equal_those_made_number_by_number(spark):
     from flowspark.catalog.files import payload_text
 
-    good = [0.0, 0.5, 0.0005, 0.0125, 0.4995, 0.99949, 1e-30, 2.5, 1234.5678, 9.9e8]
-    payloads = [[x, y, *bits] for x in good for y in good for bits in ([0.0, 1.0, 0.0], [1.0, 1.0, 1.0], [-0.0, 0.0, 1.0])]
-    fast = len(payloads)
-    payloads += [[x, 0.5, *bits] for x in (-0.0005, -2.5, 1e9, 3e12, None) for bits in ([0.0, 1.0, 0.0], [0.25, 0.0, 1.0])]
-    payloads += [[0.5, 0.25, *bits] for bits in ([2.0, 0.0, 1.0], [10.0, 0.0], [0.0005, 1.0, 0.0], [-1.0, 0.0, 1.0], [None, 1.0, 0.0], [None] * 3, [])]
-    payloads += [[0.5], [None, None], [], None]
+    def vectors(*places):
+        return [float(p == at) for dim, at in zip((1, 1, 3, 3), places) for p in range(1, dim + 1)]
+
+    scaled = [0.0, 0.5, 0.0005, 0.0125, 0.4995, 0.99949, 1e-30, 2.5, 1234.5678, 9.9e8]
+    hot = [vectors(a, b, c, d) for a in (0, 1) for b in (0, 1) for c in range(4) for d in range(4)]
+    payloads = [[x, y, *hot[(7 * i + j) % 64]] for i, x in enumerate(scaled) for j, y in enumerate(scaled)]
+    payloads += [[0.25, 0.5, *v] for v in hot]
+    payloads += [[x, 0.5, *hot[27]] for x in (-0.0005, -2.5, 1e9, 3e12, None)]
+    # entries that are not 0 or 1, more than one 1 in a vector, nulls, other lengths
+    for at in range(8):
+        payloads += [[0.25, 0.5, *hot[27][:at], v, *hot[27][at + 1:]] for v in (-0.0, 0.0, 1.0, 2.0, -1.0, 0.0005, 0.9999, None)]
+    payloads += [[0.25, 0.5, *[1.0] * 8], [0.25, 0.5, *hot[27], 0.0], [0.25, 0.5, *hot[27][:-1]], [0.5], [None, None], [None] * 10, [], None]
     df = spark.createDataFrame(list(enumerate(payloads)), "seq long, payload array<float>")
     single = F.array_join(F.transform("payload", lambda v: F.round(v.cast("double") * 1000).cast("bigint").cast("string")), ",")
     want = {r["seq"]: r["t"] for r in df.select("seq", single.alias("t")).collect()}
-    got = {r["seq"]: r["payload"] for r in payload_text(df, 2).collect()}
-    assert got == want and len(got) == len(payloads) and want[0] == "0,0,0,1000,0" and fast == 300
+    out = payload_text(df, 2, 2, [1, 3])
+    got = {r["seq"]: r["payload"] for r in out.collect()}
+    assert got == want and len(got) == len(payloads) and out.columns == ["seq", "payload"]
 
 
 def test_tensor_messages_do_not_write_one_hot_entries_one_by_one(spark, tmp_path):
@@ -236,6 +243,6 @@ def test_tensor_messages_do_not_write_one_hot_entries_one_by_one(spark, tmp_path
     found = {r["seq"]: r["payload"].split(",") for r in out.collect()}
     assert sorted(found) == list(range(1, 54)) and {len(v) for v in found.values()} == {8 * (5 + 102)}
     assert all(set(v[40:]) == {"0", "1000"} for v in found.values())
-    # the 0/1 part becomes digits at once; going through every number is left to payloads with other entries
+    # a text per vector, looked up by the place of its 1, each found once
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("StructsToJson") == 1
+    assert plan.count("array_position(_bits") + plan.count("array_position(slice(_bits") == 8 * 5
